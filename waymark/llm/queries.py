@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, mixing, urls
 
 QUERIES = {
+    "op5_mixing": mixing.op5_mixing,
     "op9_bpe": bpe.op9_bpe,
+    "op10_urls": urls.op10_urls,
 }
 
 ORACLE: dict[str, str] = {}
