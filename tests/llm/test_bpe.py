@@ -5,7 +5,7 @@ import numpy as np
 
 from waymark.llm import bpe
 
-ODD = ["", " ", "a", "Hello<|startoftext|>World <|endoftext|>", "İIß ﬁ é é x y", "x" * 5000, "日本語" * 400, "it's we'll 'd 12 3.5!!", "́ lead", "a\x1cb\x85c\u0000d", "tab\tnew\nline\r\n\x0b\x0c end", "🙂🙂 👩‍👩‍👧 ok", "Σίσυφος ΣΑΣ"]
+ODD = ["", " ", "a", "Hello<|startoftext|>World <|endoftext|>", "İIß ﬁ é é x y", "x" * 5000, "日本語" * 400, "it's we'll 'd 12 3.5!!", "́ lead", "a\x1cb\x85c\u0000d", "tab\tnew\nline\r\n\x0b\x0c end", "🙂🙂 👩‍👩‍👧 ok", "Σίσυφος ΣΑΣ", "Été## ÇA!! a_b ÿ* ×2 ª º µ x<|endoftext|> <| |> don't# (y)"]
 
 
 def expected(texts):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, urls
+from . import bpe, html, mixing, urls
 
 QUERIES = {
+    "op3_html": html.op3_html,
     "op5_mixing": mixing.op5_mixing,
     "op9_bpe": bpe.op9_bpe,
     "op10_urls": urls.op10_urls,
