@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, html, mixing, urls
+from . import bpe, html, mixing, quality_rules, urls
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_html": html.op3_html,
     "op5_mixing": mixing.op5_mixing,
     "op9_bpe": bpe.op9_bpe,
     "op10_urls": urls.op10_urls,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
+}
