@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 from waymark.llm import quality_rules as q
 
@@ -8,7 +9,8 @@ def plain(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
-    covered = {p for i, w in enumerate(windows) if windows.count(w) > 1 for p in range(i, i + 8)}
+    times = Counter(windows)
+    covered = {p for i, w in enumerate(windows) if times[w] > 1 for p in range(i, i + 8)}
     seen, dup = set(), 0
     for line in text.split("\n"):
         if re.search(r"[^\x20\x09-\x0D]", line):

@@ -71,3 +71,18 @@ def window_hashes(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     out *= np.uint32(0x2C1B3C6D)
     out ^= out >> np.uint32(13)
     return out
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text, y) of at most ``most`` labelled rows of each label, held-out rows never among them.
+
+    The rows are the first by hash of their id, so the sample does not depend on the order of the
+    input.  Labels other than 0 and 1 are left out.  A repeated document takes part once a row, up
+    to twice ``most`` rows in all.
+    """
+    key = F.col(f"`{doc_id}`")
+    y = F.col(f"`{label}`").cast("int")
+    known = labels.filter(key.isNotNull() & y.isin(0, 1) & ~held_out(key)).select(key.alias("_id"), y.alias("y"))
+    chosen = [known.filter(F.col("y") == v).orderBy(F.xxhash64("_id"), "_id").limit(most) for v in (0, 1)]
+    few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * most rows of two numbers
+    return docs.select(key.alias("_doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(few, F.col("_doc") == F.col("_id")).select("text", "y").limit(2 * most)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, html, mixing, quality_rules, urls
+from . import bpe, html, mixing, quality_model, quality_rules, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_html": html.op3_html,
     "op5_mixing": mixing.op5_mixing,
+    "op7_quality_model": quality_model.op7_quality_model,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
     "op10_urls": urls.op10_urls,
 }
