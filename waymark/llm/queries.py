@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, html, mixing, order_minhash, quality_model, quality_rules, toxicity, urls
+from . import bpe, html, mixing, order_minhash, pii, quality_model, quality_rules, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_pii": pii.op2_pii,
     "op3_html": html.op3_html,
     "op4_order_minhash": order_minhash.op4_order_minhash,
     "op5_mixing": mixing.op5_mixing,
