@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, mixing, order_minhash, pii, quality_model, quality_rules, toxicity, urls
+from . import bpe, html, mixing, near_dedup, order_minhash, pii, quality_model, quality_rules, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html": html.op3_html,
     "op4_order_minhash": order_minhash.op4_order_minhash,
     "op5_mixing": mixing.op5_mixing,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_quality_model": quality_model.op7_quality_model,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
