@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as v
 from ..functions.text import place_text
+from .graph import groups, materialised
 from .locate import radius_join
 
 
@@ -51,9 +52,10 @@ def greedy(places: DataFrame, pairs: DataFrame, quality: str = "quality", id_: s
     transitive, so the groups of records that links connect are walked one by one; a record without
     links stays without a walk.
     """
-    groups = _groups(pairs)
-    linked = places.join(groups, F.col(id_) == groups["node"], "inner").select(F.col(id_).alias("id"), "ord", F.col(quality).alias("q"), "label")
-    links = pairs.join(groups, pairs["a"] == groups["node"]).select("label", "a", "b").toDF("group", "a", "b")
+    pairs = materialised(pairs)
+    linked_groups = groups(pairs)
+    linked = places.join(linked_groups, F.col(id_) == linked_groups["node"], "inner").select(F.col(id_).alias("id"), "ord", F.col(quality).alias("q"), "label")
+    links = pairs.join(linked_groups, pairs["a"] == linked_groups["node"]).select("label", "a", "b").toDF("group", "a", "b")
 
     def walk(key: tuple, rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         like: dict[str, set[str]] = {}
@@ -74,19 +76,6 @@ def greedy(places: DataFrame, pairs: DataFrame, quality: str = "quality", id_: s
     return places.join(lost, F.col(id_) == F.col("_lost"), "left_anti")
 
 
-def _groups(pairs: DataFrame) -> DataFrame:
-    """(node, label): groups that links connect, by least neighbour's label until nothing changes."""
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().cache()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))
-    while True:
-        labels = labels.cache()
-        seen = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(seen, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("next")).cache()
-        if new.filter("label != next").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", F.col("next").alias("label"))
-
-
 def merge_by_key(df: DataFrame, key: Column, order: str, scalars: list[str], lists: list[str]) -> DataFrame:
     """One row a key: of each column the first value that is not missing, of list columns the union in order.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import cell, column_width, haversine_km
 from ..functions.text import ascii_word
+from .graph import materialised
 
 #: Up to so many cities go to each row as one array; more are found through the grid.
 MOST_CITIES = 2000
@@ -42,7 +43,7 @@ def nearest(df: DataFrame, cities: DataFrame, lat: Column, lon: Column, name: st
 def _nearest_by_grid(df: DataFrame, cities: DataFrame, lat: Column, lon: Column, name: str, order: str) -> DataFrame:
     """The same through the grid, with wider cells for the rows that found no city in the narrower."""
     keyed = df.withColumn("_id", F.expr("uuid()")).withColumn("_lat", lat).withColumn("_lon", lon)
-    keyed = keyed.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else keyed.cache()
+    keyed = materialised(keyed)
     right, open_, found = cities.select(F.col(order).alias("_o"), F.col(name).alias("_n"), "city_lat", "city_lon"), keyed, None
     for km in (50.0, 400.0, 3200.0, 20100.0):
         pairs = radius_join(open_.select("_id", "_lat", "_lon"), right, km, ("_lat", "_lon"))
