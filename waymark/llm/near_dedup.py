@@ -179,20 +179,29 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     rows = cut_lineage(_sketch(docs, doc_id, text))
     first = lambda c: F.first(c).alias(c)
     nodes = cut_lineage(rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("id", "h")).alias("rep"), first("n"), first("keys"), first("bits")))
-    members = nodes.select(F.explode("keys").alias("key"), "node", "n", "bits")
-    leaders = cut_lineage(members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("least.node").alias("leader"), F.col("least.n").alias("m")))
+    members = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    leaders = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    leaders = cut_lineage(leaders.select("key", F.col("least.node").alias("leader"), F.col("least.n").alias("m")))
+    grouped = cut_lineage(members.join(leaders, "key"))  # the buckets of two nodes or more
+    sets = cut_lineage(_sets(docs, doc_id, text, nodes.join(grouped.select("node").distinct(), "node", "left_semi").select("rep.id", "rep.h")))
     close = lambda n, m: OF * F.least(n, m) >= ALIKE * F.greatest(n, m)
-    grouped = members.join(leaders, "key")
-    stars = cut_lineage(grouped.filter(F.col("node") != F.col("leader")).filter(close(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    in_groups = grouped.select("node").distinct()
-    sets = cut_lineage(_sets(docs, doc_id, text, nodes.join(in_groups, "node", "left_semi").select("rep.id", "rep.h")))
-    edges = cut_lineage(_checked(stars, sets))
+    stars = grouped.filter((F.col("node") != F.col("leader")) & close(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    label = lambda labels, x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    # one link a node first: to the least of its leaders; then to the other leaders that are not of its component yet
+    first_pairs = cut_lineage(stars.groupBy("a").agg(F.min("b").alias("b")))
+    edges = cut_lineage(_checked(first_pairs, sets))
     labels = components(edges)
+    apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
+    second = stars.distinct().join(label(labels, "a"), "a", "left").join(label(labels, "b"), "b", "left").filter(apart).select("a", "b")
+    more = cut_lineage(_checked(second.join(first_pairs, ["a", "b"], "left_anti"), sets))
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        labels = components(edges)
     # buckets whose nodes are still in several components
     own = F.coalesce("label", "node").alias("label")
-    placed = cut_lineage(grouped.drop("m").join(labels, "node", "left").select("key", "node", "leader", "n", "bits", own))
+    placed = cut_lineage(grouped.drop("m").join(labels, "node", "left").select("key", "node", "leader", "n", own))
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    placed = placed.join(mixed, "key", "left_semi")
+    placed = placed.join(mixed, "key", "left_semi").join(nodes.select("node", "bits"), "node")
     kinds = cut_lineage(placed.select("key", "label").distinct())
     across = kinds.alias("x").join(kinds.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.key").alias("key"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
     side = lambda c: placed.select("key", F.col("label").alias(f"l{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"), F.col("leader").alias(f"leader{c}"))

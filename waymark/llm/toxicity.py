@@ -27,7 +27,7 @@ MOST_LABELLED = 3000
 THRESHOLD = 0.7
 
 
-def _slices(texts: list[bytes], most: int = 4_000_000) -> Iterator[list[bytes]]:
+def _slices(texts: list[bytes], most: int = 500_000) -> Iterator[list[bytes]]:
     part, size = [], 0
     for t in texts:
         if part and size + len(t) > most:
@@ -128,10 +128,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = model.place()
         for batch in batches:
-            texts = [_bytes(t) for t in batch["text"]]
-            row, feature = hits(texts, place)
-            split = np.split(feature.astype(np.int32), np.searchsorted(row, np.arange(1, len(texts))))
-            yield pd.DataFrame({"y": batch["y"].to_numpy(), "on": split})
+            on = []
+            for part in _slices([_bytes(t) for t in batch["text"]]):
+                row, feature = hits(part, place)
+                on += np.split(feature.astype(np.int32), np.searchsorted(row, np.arange(1, len(part))))
+            yield pd.DataFrame({"y": batch["y"].to_numpy(), "on": on})
 
     rows = sample.mapInPandas(run, "y int, on array<int>").toPandas()  # at most 2 * most rows of KEPT numbers
     x = np.zeros((len(rows), len(buckets)), dtype=np.float32)
