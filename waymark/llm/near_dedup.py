@@ -4,10 +4,10 @@ A text's shingles are its runs of five words (all its words, if there are fewer)
 thrown into the unit cells of each shingle's region, element by weight by rank; each dart belongs to
 a coordinate of the signature, and the earliest dart of a coordinate is kept.  Bands of coordinates
 are the keys of a join.  Texts with the same shingles are one node.  In each bucket every node is
-checked against the bucket's least node, by the exact Jaccard similarity of the shingles; the links
-found give components, and only nodes of one bucket that are still in different components are
-paired and checked then.  So a group of copies costs one link a member, and no link between
-different texts of a bucket is lost.
+checked against the bucket's leader, by the exact Jaccard similarity of the shingles; the links
+found give components, and only nodes of one bucket that are still in different components, and
+that exact bounds leave a chance, are paired and checked then.  So a group of copies costs one link
+a member, and no link between different texts of a bucket is lost.
 
 Texts without words (null, empty, white space) are left alone: each is a class of its own.  Ties go
 to the least (id, text hash).  Repeated rows are one class.  Columns other than id and text play no
@@ -174,40 +174,67 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _across(placed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that may still be links.
+
+    Bounds that no link can break come first.  A shingle of one node alone is never common, which
+    leaves nodes with many such shingles no partner at all, and bounds what others have in common.
+    A pair is made in the first of its buckets only.  Then shingles of 32 bits are counted: they
+    agree at least as often as whole ones.
+    """
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        both = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        return rows.join(both.select("key"), "key", "left_semi")
+
+    placed = cut_lineage(mixed(placed))
+    some = sets.join(placed.select("node").distinct(), "node", "left_semi").select("node", F.explode("s").alias("x"))
+    alone = some.groupBy("x").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c")).filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    placed = placed.join(alone, "node", "left").withColumn("v", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+    placed = mixed(cut_lineage(placed.filter(OF * F.col("v") >= ALIKE * F.col("n"))))
+    placed = cut_lineage(placed.join(nodes.select("node", "keys", "bits"), "node"))
+    kinds = cut_lineage(placed.select("key", "label").distinct())
+    pairs = kinds.alias("x").join(kinds.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.key").alias("key"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
+    side = lambda c: placed.select("key", *[F.col(x).alias(x[0] + c if x == "label" else x + c) for x in ("label", "node", "n", "v", "keys", "bits", "leader")])
+    agree = F.lit(BANDS * ROWS) - F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    fits = (ALIKE + OF) * F.least("va", "vb") >= ALIKE * (F.col("na") + F.col("nb"))  # at 0.8: common >= 4/9 of both sizes
+    first = F.element_at(F.filter(F.zip_with("keysa", "keysb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1) == F.col("key")
+    hope = (F.col("nodea") != F.col("leadera")) & (F.col("nodeb") != F.col("leaderb")) & fits & (agree >= LEAST_BITS) & first
+    found = pairs.join(side("a"), ["key", "la"]).join(side("b"), ["key", "lb"]).filter(hope).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+    short = cut_lineage(sets.join(placed.select("node").distinct(), "node", "left_semi").select("node", F.array_distinct(F.transform("s", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))).alias("s"), F.size("s").alias("n")))
+    left = cut_lineage(found).join(short.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a")
+    both = left.join(short.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
+    lost = F.col("na") - F.size("sa") + F.col("nb") - F.size("sb")  # shingles of one set that agree in 32 bits
+    return both.filter((ALIKE + OF) * (F.size(F.array_intersect("sa", "sb")) + lost) >= ALIKE * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a row of ``docs``: id, h (hash of its text), class_id and class_h, the least of its class."""
     rows = cut_lineage(_sketch(docs, doc_id, text))
     first = lambda c: F.first(c).alias(c)
     nodes = cut_lineage(rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("id", "h")).alias("rep"), first("n"), first("keys"), first("bits")))
     members = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    leaders = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    leaders = cut_lineage(leaders.select("key", F.col("least.node").alias("leader"), F.col("least.n").alias("m")))
-    grouped = cut_lineage(members.join(leaders, "key"))  # the buckets of two nodes or more
+    shared = cut_lineage(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "key"))
+    # a bucket's leader is its member with the most company over all its buckets: in a group of copies, one with few edits
+    shared = shared.join(shared.groupBy("node").agg(F.sum("size").alias("w")), "node")
+    leaders = shared.groupBy("key").agg(F.max(F.struct("w", "node", "n")).alias("top"))
+    grouped = cut_lineage(shared.join(leaders, "key").select("key", "node", "n", F.col("top.node").alias("leader"), F.col("top.n").alias("m"), F.col("top.w").alias("w")))
     sets = cut_lineage(_sets(docs, doc_id, text, nodes.join(grouped.select("node").distinct(), "node", "left_semi").select("rep.id", "rep.h")))
     close = lambda n, m: OF * F.least(n, m) >= ALIKE * F.greatest(n, m)
-    stars = grouped.filter((F.col("node") != F.col("leader")) & close(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    stars = grouped.filter((F.col("node") != F.col("leader")) & close(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), F.col("leader").alias("b"), "w")
     label = lambda labels, x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
-    # one link a node first: to the least of its leaders; then to the other leaders that are not of its component yet
-    first_pairs = cut_lineage(stars.groupBy("a").agg(F.min("b").alias("b")))
+    # one link a node first: to the first of its leaders; then to the other leaders that are not of its component yet
+    first_pairs = cut_lineage(stars.groupBy("a").agg(F.max(F.struct("w", "b"))["b"].alias("b")))
     edges = cut_lineage(_checked(first_pairs, sets))
     labels = components(edges)
     apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
-    second = stars.distinct().join(label(labels, "a"), "a", "left").join(label(labels, "b"), "b", "left").filter(apart).select("a", "b")
+    second = stars.select("a", "b").distinct().join(label(labels, "a"), "a", "left").join(label(labels, "b"), "b", "left").filter(apart).select("a", "b")
     more = cut_lineage(_checked(second.join(first_pairs, ["a", "b"], "left_anti"), sets))
     if not more.isEmpty():
         edges = edges.unionByName(more)
         labels = components(edges)
-    # buckets whose nodes are still in several components
     own = F.coalesce("label", "node").alias("label")
-    placed = cut_lineage(grouped.drop("m").join(labels, "node", "left").select("key", "node", "leader", "n", own))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    placed = placed.join(mixed, "key", "left_semi").join(nodes.select("node", "bits"), "node")
-    kinds = cut_lineage(placed.select("key", "label").distinct())
-    across = kinds.alias("x").join(kinds.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.key").alias("key"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
-    side = lambda c: placed.select("key", F.col("label").alias(f"l{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"), F.col("leader").alias(f"leader{c}"))
-    agree = F.lit(BANDS * ROWS) - F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    alike = close(F.col("na"), F.col("nb")) & (F.col("a") != F.col("leadera")) & (F.col("b") != F.col("leaderb")) & (agree >= LEAST_BITS)
-    rest = across.join(side("a"), ["key", "la"]).join(side("b"), ["key", "lb"]).filter(alike).select("a", "b").distinct()
+    rest = _across(grouped.drop("w", "m").join(labels, "node", "left").select("key", "node", "leader", "n", own), nodes, sets)
     more = cut_lineage(_checked(rest, sets))
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
