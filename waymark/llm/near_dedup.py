@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, table
 
 SHINGLE, BANDS, ROWS = 5, 32, 6
+#: Nodes outside a bucket's largest component that one task pairs with the bucket's nodes (expected).
+STRAYS = 256
 #: Links have at least 4 shingles in common to each 5 that either has: a similarity of 0.8.
 ALIKE, OF = 4, 5
 #: One-bit agreements that a pair must show before its shingles are compared: at 0.8 the mean is 90 %
@@ -193,16 +195,23 @@ def _across(placed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     placed = placed.join(alone, "node", "left").withColumn("v", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
     placed = mixed(cut_lineage(placed.filter(OF * F.col("v") >= ALIKE * F.col("n"))))
     placed = cut_lineage(placed.join(nodes.select("node", "keys", "bits"), "node"))
-    kinds = cut_lineage(placed.select("key", "label").distinct())
-    pairs = kinds.alias("x").join(kinds.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.key").alias("key"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
-    side = lambda c: placed.select("key", *[F.col(x).alias(x[0] + c if x == "label" else x + c) for x in ("label", "node", "n", "v", "keys", "bits", "leader")])
+    # a bucket's strays, the nodes outside its largest component, meet its nodes in blocks
+    largest = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
+    largest = largest.select("key", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / STRAYS).alias("blocks"))
+    placed = cut_lineage(placed.join(largest, "key").withColumn("stray", F.col("label") != F.col("main")))
+    side = lambda dealt, c: dealt.select("key", "block", *[F.col(x).alias(x + c) for x in ("label", "node", "n", "v", "keys", "bits", "leader", "stray")])
     agree = F.lit(BANDS * ROWS) - F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     fits = (ALIKE + OF) * F.least("va", "vb") >= ALIKE * (F.col("na") + F.col("nb"))  # at 0.8: common >= 4/9 of both sizes
-    first = F.element_at(F.filter(F.zip_with("keysa", "keysb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1) == F.col("key")
+    first = F.get(F.filter(F.zip_with("keysa", "keysb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0)) == F.col("key")
     hope = (F.col("nodea") != F.col("leadera")) & (F.col("nodeb") != F.col("leaderb")) & fits & (agree >= LEAST_BITS) & first
-    found = pairs.join(side("a"), ["key", "la"]).join(side("b"), ["key", "lb"]).filter(hope).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+    once = (F.col("labela") != F.col("labelb")) & (~F.col("strayb") | (F.col("nodea") < F.col("nodeb")))
+    strays = side(placed.filter("stray").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "a")
+    members = side(placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))), "b")
+    found = strays.join(members.withColumnsRenamed({"key": "_key", "block": "_block"}), (F.col("key") == F.col("_key")) & (F.col("block") == F.col("_block")) & once & hope)
+    found = found.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
     short = cut_lineage(sets.join(placed.select("node").distinct(), "node", "left_semi").select("node", F.array_distinct(F.transform("s", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))).alias("s"), F.size("s").alias("n")))
-    left = cut_lineage(found).join(short.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a")
+    found = cut_lineage(found)
+    left = found.join(short.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a")
     both = left.join(short.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
     lost = F.col("na") - F.size("sa") + F.col("nb") - F.size("sb")  # shingles of one set that agree in 32 bits
     return both.filter((ALIKE + OF) * (F.size(F.array_intersect("sa", "sb")) + lost) >= ALIKE * (F.col("na") + F.col("nb"))).select("a", "b")
