@@ -67,6 +67,15 @@ def test_classes_equal_all_pairs(spark):
     assert kept.columns == df.columns and kept.count() == len(want)
 
 
+def test_null_ids_share_classes(spark):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, text), (3, text), (7, text), (9, text + " end"), (None, other), (None, other), (None, None), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.id, r.class_id) for r in d.classes(df).collect())
+    assert got == Counter([(None, 3), (3, 3), (7, 3), (9, 3), (None, None), (None, None), (None, None), (4, 4)])
+    assert Counter(map(tuple, d.deduplicated(df).collect())) == Counter([(3, text), (None, other), (None, None), (4, None)])
+
+
 def test_signature_estimates_weighted_similarity():
     r = np.random.default_rng(1)
     e = r.integers(0, 2**63, 400).astype(np.uint64)

@@ -10,8 +10,8 @@ that exact bounds leave a chance, are paired and checked then.  So a group of co
 a member, and no link between different texts of a bucket is lost.
 
 Texts without words (null, empty, white space) are left alone: each is a class of its own.  Ties go
-to the least (id, text hash).  Repeated rows are one class.  Columns other than id and text play no
-part.
+to the least (id, text hash), null ids last.  Repeated rows are one class.  Columns other than id and
+text play no part.
 """
 
 from __future__ import annotations
@@ -221,7 +221,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """One row a row of ``docs``: id, h (hash of its text), class_id and class_h, the least of its class."""
     rows = cut_lineage(_sketch(docs, doc_id, text))
     first = lambda c: F.first(c).alias(c)
-    nodes = cut_lineage(rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("id", "h")).alias("rep"), first("n"), first("keys"), first("bits")))
+    nodes = cut_lineage(rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("rep"), first("n"), first("keys"), first("bits")))
     members = nodes.select(F.explode("keys").alias("key"), "node", "n")
     shared = cut_lineage(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "key"))
     # a bucket's leader is its member with the most company over all its buckets: in a group of copies, one with few edits
@@ -251,7 +251,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     least = cut_lineage(named.groupBy("label").agg(F.min("rep").alias("least")))
     of_node = cut_lineage(named.select("node", "label").join(least, "label").select("node", "least"))
     out = rows.select("id", "h", "node").join(of_node, "node", "left")
-    return out.select("id", "h", F.coalesce("least.id", "id").alias("class_id"), F.coalesce("least.h", "h").alias("class_h"))
+    of = lambda c: F.when(F.col("least").isNull(), F.col(c)).otherwise(F.col(f"least.{c}")).alias(f"class_{c}")
+    return out.select("id", "h", of("id"), of("h"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
