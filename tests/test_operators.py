@@ -62,6 +62,41 @@ def test_greedy_equals_a_plain_loop(spark):
     assert kept(spark, rows) == sorted(k for k, _ in out)
 
 
+def walked(rows, like):
+    """Ids of the kept of ``rows`` (id, quality), by a plain loop over pairs of ids."""
+    out = []
+    for id_, q in rows:
+        at = next((j for j, (k, _) in enumerate(out) if frozenset((k, id_)) in like), None)
+        if at is None:
+            out.append((id_, q))
+        elif q > out[at][1]:
+            out[at] = (id_, q)
+    return sorted(k for k, _ in out)
+
+
+def test_greedy_without_pairs_equals_a_plain_loop(spark):
+    r = random.Random(7)
+    rows = [(r.randrange(40) * 0.0003, r.choice(["aa", "aab", "cafe", "cafe x", "", None]), r.choice(["", None, "s 1", "s 2"]), r.randrange(6)) for _ in range(250)]
+    p = places(spark, rows)
+    like = {frozenset((x.a, x.b)) for x in dedupe.duplicate_pairs(p).collect()}
+    assert sorted(x.id for x in dedupe.greedy_near(p).collect()) == walked([(f"p{i}", row[3]) for i, row in enumerate(rows)], like)
+
+
+def test_greedy_makes_no_pairs_of_a_hot_spot(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "duplicate_pairs", None)  # 20,000 places of one point have 2e8 pairs
+    n = 20_000
+    p = places(spark, [(0.0, f"n{i}", "" if i % 3 else f"s {i % 25}", i % 7) for i in range(n)])
+    like = lambda i, j: i % 3 != 0 or j % 3 != 0 or i % 25 == j % 25 or min(i, j) >= 10 and f"n{min(i, j)}" in f"n{max(i, j)}"
+    out = []
+    for i in range(n):
+        at = next((k for k, j in enumerate(out) if like(i, j)), None)
+        if at is None:
+            out.append(i)
+        elif i % 7 > out[at] % 7:
+            out[at] = i
+    assert sorted(x.id for x in dedupe.greedy_near(p).collect()) == sorted(f"p{i}" for i in out)
+
+
 def test_url_merge(spark):
     df = spark.createDataFrame([(2, "u", "", ["a", "b"]), (1, "u", None, ["a"]), (3, "u", "st", None), (4, None, "x", ["z"])], "ord int, url string, address string, types array<string>")
     got = {x._key: (x.address, x.types) for x in dedupe.merge_by_key(df, F.col("url"), "ord", ["address"], ["types"]).collect()}

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
+from ..functions.geo import EARTH_KM, cell
 from ..functions.text import place_text
 from .graph import groups, materialised
-from .locate import radius_join
+from .locate import radius_join, reached
+
+#: Records further apart than this, in km, are never duplicates.
+FARTHEST = 0.091
 
 
 def profile(city: Column) -> Column:
@@ -39,7 +47,7 @@ def duplicate_pairs(places: DataFrame, id_: str = "id", city: str = "city") -> D
     """
     base = places.select(F.col(id_).alias("id"), "ord", F.col(city).alias("city"), "lat", "lon", place_text(F.col("name")).alias("n"), place_text(F.col("address")).alias("a"))
     left, right = (base.select(*[F.col(c).alias(f"{x}{c}") for c in base.columns]) for x in ("l", "r"))
-    near = radius_join(left, right, 0.091, ("llat", "llon"), ("rlat", "rlon")).filter((F.col("lord") < F.col("rord")) & (F.col("lcity") == F.col("rcity")))
+    near = radius_join(left, right, FARTHEST, ("llat", "llon"), ("rlat", "rlon")).filter((F.col("lord") < F.col("rord")) & (F.col("lcity") == F.col("rcity")))
     near = near.withColumn("metres", F.col("km") * 1000)
     ok = alike(F.col("metres"), F.col("ln"), F.col("rn"), F.col("la"), F.col("ra"), profile(F.col("lcity")))
     return near.filter(ok).select(F.col("lid").alias("a"), F.col("rid").alias("b"), "metres")
@@ -76,6 +84,97 @@ def greedy(places: DataFrame, pairs: DataFrame, quality: str = "quality", id_: s
     return places.join(lost, F.col(id_) == F.col("_lost"), "left_anti")
 
 
+class _Slots:
+    """The kept records of one group in the order their places were founded, found by position."""
+
+    def __init__(self):
+        self.near: dict[tuple, dict[int, tuple]] = {}
+        self.count = 0
+
+    def put(self, r: tuple, at: tuple, quality: float) -> None:
+        """Join the first kept record that ``r`` (ord, id, n, a, lat, lon) is like, or found a place."""
+        x, y, z, close, name, address = at
+        first = None
+        for i in (x, x - 1, x + 1):
+            for j in (y, y - 1, y + 1):
+                for k in (z, z - 1, z + 1):
+                    for slot, kept in self.near.get((i, j, k), {}).items():
+                        if (first is None or slot < first[0]) and _alike(r, kept[0], close, name, address):
+                            first = slot, kept, (i, j, k)
+        if first is None:
+            slot, self.count = self.count, self.count + 1
+        elif quality > first[1][1]:
+            slot = first[0]
+            del self.near[first[2]][slot]
+        else:
+            return
+        self.near.setdefault((x, y, z), {})[slot] = r, quality
+
+    def ids(self) -> list[str]:
+        return [r[1] for kept in self.near.values() for r, _ in kept.values()]
+
+
+def _alike(r: tuple, s: tuple, close: float, name: float, address: float) -> bool:
+    """``alike`` for two records in a task."""
+    (o, _, n, a, lat, lon), (p, _, m, b, lat2, lon2) = r, s
+    if o == p:
+        return False
+    same_name, same_address, no_address = n != "" and n == m, a != "" and a == b, a == "" or b == ""
+    short, long_ = (n, m) if len(n) <= len(m) else (m, n)
+    variant = len(short) >= 3 and short in long_ and short not in v.GENERIC_TOKENS
+    if not (same_name or same_address or no_address or variant):
+        return False
+    if lat == lat2 and lon == lon2:
+        metres = 0.0
+    else:
+        h = math.sin(math.radians(lat - lat2) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon - lon2) / 2) ** 2
+        metres = 2000 * EARTH_KM * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+    return metres <= FARTHEST * 1000 and (same_address and metres <= address or same_name and metres <= name or variant and metres <= max(name, 55.0) or metres <= close and (same_name or no_address))
+
+
+def greedy_near(places: DataFrame, quality: str = "quality", id_: str = "id", city: str = "city") -> DataFrame:
+    """``greedy`` over ``duplicate_pairs``, without the pairs.
+
+    The rule goes by the order, so the records of a group are read in order by one task; but the task
+    holds the kept records of the group alone and compares each record with those near it.  Groups are
+    the cells of one city that near records connect: they may be wider than the links ask for, which
+    changes nothing, since records without a link have no influence on each other.
+    """
+    named = F.concat_ws("/", F.col("_row"), F.col("_col"), F.col("city"))
+    row, col = cell(F.col("lat"), F.col("lon"), FARTHEST)
+    base = places.select(
+        F.col(id_).alias("id"), "ord", F.col(city).alias("city"), F.col("lat").cast("double"), F.col("lon").cast("double"), F.col(quality).cast("double").alias("q"), place_text(F.col("name")).alias("n"), place_text(F.col("address")).alias("a")
+    ).dropna(subset=["id", "ord", "city", "lat", "lon"])
+    base = materialised(base.withColumn("_row", row).withColumn("_col", col).withColumn("cell", named).drop("_row", "_col"))
+    cells = base.select("cell").distinct()
+    steps = reached(base.select("cell", "city", "lat", "lon").distinct(), FARTHEST).select(F.col("cell").alias("a"), named.alias("b")).filter("a != b").distinct()
+    labels = groups(steps.join(cells, F.col("b") == F.col("cell"), "left_semi"))
+    grouped = base.join(labels.withColumnRenamed("node", "cell"), "cell", "left").withColumn("group", F.coalesce("label", "cell"))
+    p = profile(F.col("city"))
+    rows = grouped.select("group", "ord", "id", "n", "a", "lat", "lon", "q", *[p[c].alias(f"_{c}") for c in ("close", "name", "address")])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, slots = None, _Slots()
+        for batch in batches:
+            lat, lon = np.radians(batch["lat"].to_numpy()), np.radians(batch["lon"].to_numpy())
+            # a distance through the globe is no longer than the one along it
+            at = [np.floor(np.nan_to_num(c) * EARTH_KM / (FARTHEST * 1.001)).astype(np.int64).tolist() for c in (np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat))]
+            records = zip(*(batch[c].tolist() for c in ("ord", "id", "n", "a", "lat", "lon")), strict=True)
+            places_ = zip(*at, *(batch[c].tolist() for c in ("_close", "_name", "_address")), strict=True)
+            done: list[str] = []
+            for g, r, place, q in zip(batch["group"].tolist(), records, places_, batch["q"].tolist(), strict=True):
+                if g != group:
+                    done += slots.ids()
+                    group, slots = g, _Slots()
+                slots.put(r, place, q)
+            yield pd.DataFrame({"kept": pd.Series(done, dtype=object)})
+        yield pd.DataFrame({"kept": pd.Series(slots.ids(), dtype=object)})
+
+    kept = rows.repartition("group").sortWithinPartitions("group", "ord", "id").mapInPandas(walk, "kept string")
+    lost = base.join(kept, F.col("id") == F.col("kept"), "left_anti").select(F.col("id").alias("_lost"))
+    return places.join(lost, F.col(id_) == F.col("_lost"), "left_anti")
+
+
 def merge_by_key(df: DataFrame, key: Column, order: str, scalars: list[str], lists: list[str]) -> DataFrame:
     """One row a key: of each column the first value that is not missing, of list columns the union in order.
 

@@ -14,7 +14,9 @@ def materialised(df: DataFrame) -> DataFrame:
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "waymark-checkpoints"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)._jdf
+    # without the size that the plan was estimated at: over the rounds of a loop its digits would fill the driver
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def groups(pairs: DataFrame) -> DataFrame:

@@ -13,6 +13,17 @@ from .graph import materialised
 MOST_CITIES = 2000
 
 
+def reached(df: DataFrame, km: float, at: tuple[str, str] = ("lat", "lon")) -> DataFrame:
+    """Each row once for every cell (_row, _col) that may hold a partner within ``km``, also across the date line."""
+    step = km / 111.0
+    rows = F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.floor(F.col(at[0]) / step) + i)
+    b = df.withColumn("_row", F.explode(rows)).withColumn("_lon", F.explode(F.array(*[F.col(at[1]) + x for x in (-360.0, 0.0, 360.0)])))
+    width = column_width(F.col("_row"), km)
+    b = b.filter(F.col("_lon").between(F.lit(-180.0) - 2 * width, F.lit(180.0) + 2 * width))
+    middle = F.floor(F.col("_lon") / width)
+    return b.withColumn("_col", F.explode(F.sequence(middle - 2, middle + 2))).drop("_lon")
+
+
 def radius_join(left: DataFrame, right: DataFrame, km: float, left_at: tuple[str, str] = ("lat", "lon"), right_at: tuple[str, str] = ("city_lat", "city_lon")) -> DataFrame:
     """Pairs within ``km``, with their distance as ``km``: an equi-join on grid cells, then the exact test.
 
@@ -20,13 +31,7 @@ def radius_join(left: DataFrame, right: DataFrame, km: float, left_at: tuple[str
     """
     row, col = cell(F.col(left_at[0]), F.col(left_at[1]), km)
     a = left.withColumn("_row", row).withColumn("_col", col)
-    step = km / 111.0
-    rows = F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.floor(F.col(right_at[0]) / step) + i)
-    b = right.withColumn("_row", F.explode(rows)).withColumn("_lon", F.explode(F.array(*[F.col(right_at[1]) + x for x in (-360.0, 0.0, 360.0)])))
-    width = column_width(F.col("_row"), km)
-    b = b.filter(F.col("_lon").between(F.lit(-180.0) - 2 * width, F.lit(180.0) + 2 * width))
-    middle = F.floor(F.col("_lon") / width)
-    b = b.withColumn("_col", F.explode(F.sequence(middle - 2, middle + 2))).drop("_lon")
+    b = reached(right, km, right_at)
     d = haversine_km(F.col(left_at[0]), F.col(left_at[1]), F.col(right_at[0]), F.col(right_at[1]))
     return a.join(b, ["_row", "_col"]).withColumn("km", d).filter(F.col("km") <= km).drop("_row", "_col")
 

@@ -319,7 +319,7 @@ def geo_dedupe_pairs(spark, sf):
 @query()
 def geo_dedupe_greedy(spark, sf):
     p = rank.scored(_places(spark, sf)).withColumn("quality", scoring.quality(F.col("address"), F.col("source"), F.col("score")).cast("double"))
-    return dedupe.greedy(p, dedupe.duplicate_pairs(p)).select("id", "city", "name", "quality")
+    return dedupe.greedy_near(p).select("id", "city", "name", "quality")
 
 
 _NEXT = "x AS (SELECT p.id, p.name AS n1, q.name AS n2 FROM places p JOIN places q ON q.ord = p.ord + 12)"

@@ -45,7 +45,7 @@ def rank_places(places: DataFrame, cities: DataFrame, ratings: DataFrame, mode:
     df = df.withColumn("_b", scoring.boosted(F.col("score"), F.col("place_type"), F.col("rating"), F.col("tags")))
     df = df.withColumn("score", F.col("_b.score")).withColumn("place_type", F.col("_b.place_type")).drop("_b")
     df = df.withColumn("quality", scoring.quality(F.col("address"), F.col("source"), F.col("score")).cast("double"))
-    df = dedupe.greedy(df, dedupe.duplicate_pairs(df))
+    df = dedupe.greedy_near(df)
     w = Window.partitionBy("city").orderBy(F.desc("score"), "ord")
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
