@@ -22,6 +22,16 @@ def test_region_without_content_element():
     assert html.main_text(PAGE % f"<div class=post>{body}</div><div>x</div>") == TEXT.replace("goes on", "goes on " + ("and on with many words " * 20).strip())
 
 
+def test_all_regions_stay():
+    long_, other = "a sentence with many words " * 30, "another sentence of its kind " * 28
+    page = lambda body: html.main_text(PAGE % body)
+    text = lambda *parts: " ".join(" ".join(parts).split())
+    assert page(f"<div>{f'<p>{long_}</p>' * 7}</div><p>a<p>b<p>c<p>d<div><p>{other}</p><p>{other}</p></div>") == text(*[long_] * 7, "a b c d", other, other)
+    assert page(f"<article><p>{long_}</p></article><article><p>Short one.</p></article>") == text(long_, "Short one.")
+    assert page(f"<main><h1>Heading</h1><article><p>{long_}</p></article><p>End.</p></main>") == text("Heading", long_, "End.")
+    assert page(f"<div><p>{long_}</p></div><article><p>{long_}</p></article>") == text(long_, long_)
+
+
 def test_unclosed_elements():
     assert html.main_text(PAGE.replace("</nav>", "") % f"<article>{BODY}") == TEXT
     assert html.main_text("<p>one<p>two") == "one two"

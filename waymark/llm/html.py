@@ -3,8 +3,8 @@
 The standard library's parser streams events; from them a page becomes lines, one a block, each
 with its characters, its number of tags and the elements around it.  The text-to-tag ratio of the
 lines is smoothed by a Gaussian and split in two by threshold clustering.  The lines above the
-threshold vote for the region (the element) that holds the content, and every line of the region
-is kept, short paragraphs included.  Menus, page headers, footers, sidebars, notices, adverts,
+threshold, and those within article and main elements, are content; their smallest common container
+is the region, and every line of it is kept, short paragraphs included.  Menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are told by element, role and class, and never kept.
 
 A null or empty html has the empty text, as has a page of boilerplate alone.  Elements that are
@@ -142,11 +142,11 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.75) -> str:
+def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The main text of one page, blocks joined by one space.
 
-    The region is the innermost content elements (article, main) of lines above the threshold or else, in a
-    page without any, the innermost container of several lines that holds ``share`` of their characters.
+    The region is the innermost container, of several lines or a content element (article, main), that holds
+    all lines above the threshold and all lines of content elements.  Only boilerplate is dropped within it.
     """
     if not html:
         return ""
@@ -158,22 +158,14 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.75) -> str:
     if not lines:
         return ""
     smooth = ratios(lines, sigma)
-    chosen = np.flatnonzero(smooth >= threshold(smooth))
-    held: dict[int, int] = {}
-    for i in chosen:
-        for k in lines[i][2]:
-            held[k] = held.get(k, 0) + len(lines[i][0])
-    total = sum(len(lines[i][0]) for i in chosen)
-    if parser.content and any(k in parser.content for line in lines for k in line[2]):
-        inner = [next((k for k in reversed(lines[i][2]) if k in parser.content), 0) for i in chosen]
-        regions = {k for k in inner if k} or parser.content
-        keep = [t for t, _, path in lines if not regions.isdisjoint(path)]
-        return " ".join(keep)
+    above = smooth >= threshold(smooth)
+    held = [path for (_, _, path), over in zip(lines, above, strict=True) if over or not parser.content.isdisjoint(path)]
     several: dict[int, int] = {}
     for _, _, path in lines:
         for k in path:
             several[k] = several.get(k, 0) + 1
-    enough = [k for k, v in held.items() if v >= share * total and k in parser.holders and several[k] > 1]
+    common = set(held[0]).intersection(*held[1:])
+    enough = [k for k in common if k in parser.content or k in parser.holders and several[k] > 1]
     if not enough:
         return " ".join(t for t, _, _ in lines)
     region = max(enough)  # elements are numbered as they open: the last is the innermost
