@@ -76,6 +76,24 @@ def test_null_ids_share_classes(spark):
     assert Counter(map(tuple, d.deduplicated(df).collect())) == Counter([(3, text), (None, other), (None, None), (4, None)])
 
 
+def test_no_bound_loses_a_link(spark):
+    from pyspark.sql import functions as F
+
+    text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(1, text(0, 104)), (2, text(10, 112)), (3, text(5000, 5060)), (4, text(5000, 5062))]  # the first two: 90 of 108 shingles
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = d._sketch(docs, "doc_id", "text").cache()
+    # whatever the signatures say: all in one bucket, apart, without a leader among them
+    nodes = nodes.withColumn("keys", F.array([F.lit(7).cast("long")] * d.BANDS))
+    placed = nodes.select(F.lit(7).cast("long").alias("key"), "node", F.lit(b"x").alias("leader"), "n", F.col("node").alias("label"))
+    if len(nodes.first().bits) * 64 == d.BANDS * d.ROWS:  # a sketch of signatures, at its worst
+        nodes = nodes.withColumn("bits", F.when(F.col("id") == 1, F.array([F.lit(-1).cast("long")] * 3)).otherwise(F.array([F.lit(0).cast("long")] * 3)))
+    id_of = {bytes(r.node): r.id for r in nodes.collect()}
+    sets = d._sets(docs, "doc_id", "text", nodes.select("id", "h"))
+    found = d._checked(d._across(placed, nodes, sets), sets).collect()
+    assert {frozenset((id_of[bytes(r.a)], id_of[bytes(r.b)])) for r in found} == {frozenset((1, 2)), frozenset((3, 4))}
+
+
 def test_signature_estimates_weighted_similarity():
     r = np.random.default_rng(1)
     e = r.integers(0, 2**63, 400).astype(np.uint64)
