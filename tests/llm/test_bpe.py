@@ -46,3 +46,20 @@ def test_round_trip_and_empty(spark):
     row = bpe.decode(bpe.encode(df)).first()
     assert row.n_tokens == len(row.ids) and "some</w> words</w>" in row.decoded
     assert bpe.encode(df.limit(0)).count() == 0
+
+
+def test_tokenizers_that_keep_white_space_are_rejected(tmp_path):
+    import pytest
+    from tokenizers import AddedToken, Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE({c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}, []))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    t.save(str(tmp_path / "kept.json"))
+    with pytest.raises(ValueError, match="white space"):
+        bpe.ChunkEncoder(str(tmp_path / "kept.json"))
+    t = Tokenizer.from_file(bpe.default_tokenizer())
+    bpe.ChunkEncoder(bpe.default_tokenizer())
+    t.add_tokens([AddedToken("two words")])
+    t.save(str(tmp_path / "added.json"))
+    with pytest.raises(ValueError, match="white space"):
+        bpe.ChunkEncoder(str(tmp_path / "added.json"))

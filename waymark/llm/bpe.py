@@ -5,6 +5,7 @@ documents share give the same chunks wherever they stand.  A chunk is encoded on
 then reused.  A cut may fall inside a word; the word that a join cuts in two is encoded anew as a
 whole, and the join grows until it reaches white space on both sides.  The vocabulary never merges
 across white space, so from there on the tokens agree exactly with those of the undivided text.
+Tokenizers that keep white space in their tokens are rejected with an error.
 
 Null texts count as empty; an empty text has no tokens.  Any other column of the input is kept,
 except those named as a result column, which are replaced.  Repeated rows give repeated results.
@@ -86,10 +87,20 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self._reject_kept_white()
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.pieces = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(n)]
         self.words, self.chunks = _Kept(KEPT_WORDS), _Kept(KEPT_CHUNKS)
 
+    def _reject_kept_white(self) -> None:
+        """Raise where the tokens of a text are not those of its words: then no join at white space is exact."""
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        words = ("a", "The", "1", "!", "é")
+        gaps = [chr(c) for c in _WHITE] + ["  ", " \n", "\n\n"]
+        whole = all(ids(g + x + g + y + g) == ids(x) + ids(y) for g in gaps for x in words for y in words)
+        if not whole or any(set(t.content) & set(_WHITE.decode()) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("the tokenizer keeps white space in its tokens; chunks cannot be joined at white space")
+
     def _fresh(self, words: Iterable[bytes], into: dict) -> None:
         """Encode words, each as a whole, into (ids, decoded) bytes."""
         words = list(words)
