@@ -4,7 +4,8 @@ data is replaced, sources are mixed to their target weights, and the texts are e
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the
 columns of documents; the last returns the digests of the encoding.  The mix takes a document as
 often as its source's target asks for, so a document may then be there twice.  No stage is
-expressible in SQL; tests hold each against brute force.
+expressible in SQL; a test holds the stages against the operators they call, the encoding by count and
+columns only.
 """
 
 from __future__ import annotations

@@ -97,6 +97,24 @@ def test_greedy_makes_no_pairs_of_a_hot_spot(spark, monkeypatch):
     assert sorted(x.id for x in dedupe.greedy_near(p).collect()) == sorted(f"p{i}" for i in out)
 
 
+def test_photo_match_best_equals_all_pairs(spark):
+    from waymark.functions.geo import haversine_km
+    from waymark.operators import matching
+    from waymark.plans import catalog
+
+    sf = "/root/testdata/sf0.01"
+    p = catalog._places(spark, sf).select("id", "ord", "name", "address", "lat", "lon").cache()
+    q = p.toDF("cid", "cord", "cname", "caddress", "clat", "clon")
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
+    score = matching.match_score(F.col("name"), F.col("cname"), F.col("address"), F.col("caddress"), km * 1000)
+    want = {}
+    for x in p.crossJoin(q).filter((km <= 0.7) & (F.col("id") != F.col("cid"))).select("id", "cid", "cord", score.alias("m")).collect():
+        new = (-x.m.total, x.cord, x.cid, x.m.strong)
+        want[x.id] = min(want.get(x.id, new), new)
+    got = {x.id: (x.cid, x.total, x.strong) for x in catalog.photo_match_best(spark, sf).collect()}
+    assert len(got) > 100 and got == {i: (c, round(-t, 6), s) for i, (t, _, c, s) in want.items()}
+
+
 def test_url_merge(spark):
     df = spark.createDataFrame([(2, "u", "", ["a", "b"]), (1, "u", None, ["a"]), (3, "u", "st", None), (4, None, "x", ["z"])], "ord int, url string, address string, types array<string>")
     got = {x._key: (x.address, x.types) for x in dedupe.merge_by_key(df, F.col("url"), "ord", ["address"], ["types"]).collect()}
