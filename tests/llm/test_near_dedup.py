@@ -26,6 +26,8 @@ def corpus():
         chain = chain[6:] + r.choices(words, k=6)
         rows.append((n, " ".join(chain)))
         n += 1
+    line = r.choices(words, k=20)  # the same shingles, but not as often
+    rows += [(n + 100 + i, " ".join(line * k)) for i, k in enumerate([2, 3, 10, 11, 12, 13])]
     same = " ".join(r.choices(words, k=50))
     rows += [(n + i, same + "\n" * (i % 3)) for i in range(40)]
     rows += [(9001, None), (9002, ""), (9003, " \n"), (9004, ""), (9005, "one two"), (9006, "one two"), (9007, "one"), (9008, "é " * 30_000), (9008, "é " * 30_000), (None, "some words of a null id here")]
@@ -34,11 +36,11 @@ def corpus():
 
 
 def plain(rows):
-    """Classes by comparing all pairs of shingle sets, as sets of row numbers."""
+    """Classes by comparing the shingle counts of all pairs, as the number of one row of each class."""
     sets = []
     for _, t in rows:
         w = (t or "").encode().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else None)
+        sets.append(Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else None)
     up = list(range(len(rows)))
 
     def top(i):
@@ -48,7 +50,7 @@ def plain(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 5 * (sets[i] & sets[j]).total() >= 4 * (sets[i] | sets[j]).total():
                 up[top(i)] = top(j)
     return [top(i) for i in range(len(rows))]
 
@@ -76,22 +78,42 @@ def test_null_ids_share_classes(spark):
     assert Counter(map(tuple, d.deduplicated(df).collect())) == Counter([(3, text), (None, other), (None, None), (4, None)])
 
 
-def test_no_bound_loses_a_link(spark):
+def test_no_link_of_a_bucket_is_lost(spark):
+    """All texts in one bucket, whatever their signatures: the classes are those of all pairs."""
     from pyspark.sql import functions as F
 
-    text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
-    rows = [(1, text(0, 104)), (2, text(10, 112)), (3, text(5000, 5060)), (4, text(5000, 5062))]  # the first two: 90 of 108 shingles
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    nodes = d._sketch(docs, "doc_id", "text").cache()
-    # whatever the signatures say: all in one bucket, apart, without a leader among them
-    nodes = nodes.withColumn("keys", F.array([F.lit(7).cast("long")] * d.BANDS))
-    placed = nodes.select(F.lit(7).cast("long").alias("key"), "node", F.lit(b"x").alias("leader"), "n", F.col("node").alias("label"))
-    if len(nodes.first().bits) * 64 == d.BANDS * d.ROWS:  # a sketch of signatures, at its worst
-        nodes = nodes.withColumn("bits", F.when(F.col("id") == 1, F.array([F.lit(-1).cast("long")] * 3)).otherwise(F.array([F.lit(0).cast("long")] * 3)))
-    id_of = {bytes(r.node): r.id for r in nodes.collect()}
-    sets = d._sets(docs, "doc_id", "text", nodes.select("id", "h"))
-    found = d._checked(d._across(placed, nodes, sets), sets).collect()
-    assert {frozenset((id_of[bytes(r.a)], id_of[bytes(r.b)])) for r in found} == {frozenset((1, 2)), frozenset((3, 4))}
+    r = random.Random(5)
+    base, few = [f"w{i}" for i in range(150)], [f"v{i}" for i in range(40)]
+    texts = []
+    for _ in range(40):  # copies with edits, of which others share some
+        t = list(base)
+        for _ in range(r.choice([2, 4, 6, 8, 12])):
+            t[r.randrange(150)] = r.choice(few)
+        texts += [" ".join(t)]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            u = list(t)
+            for _ in range(r.choice([1, 2, 3, 4])):
+                u[r.randrange(150)] = r.choice(few)
+            texts.append(" ".join(u[r.choice([0, 0, 5, 14]) :]))
+    text = lambda a, b: " ".join(f"x{i}" for i in range(a, b))
+    texts += [text(0, 104), text(10, 112), text(5000, 5060), text(5000, 5062), "x5000 x5001", "x5000 x5001 x5002"]
+    rows = list(enumerate(texts))
+    scratch = d.Scratch(spark)
+    docs = d._rows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    sketch = scratch.keep(d._sketch(docs))
+    nodes = sketch.select("node", "n", F.array(F.lit(7).cast("long")).alias("keys")).dropDuplicates(["node"])
+    stars = d._stars(nodes, scratch)
+    sets = scratch.keep(d._sets(docs, sketch.select("id", "h")))
+    links = scratch.keep(d._checked(stars.filter(d._close("n", "m")), sets))
+    pairs = scratch.keep(d._apart(stars, scratch.keep(d.components(links)), sets, scratch))
+    more = d._checked(pairs, sets)
+    assert more.count() > 0 and pairs.count() < len(texts) ** 2 / 8
+    labels = {bytes(x.node): bytes(x.label) for x in d.components(links.unionByName(more)).collect()}
+    node = {x.id: bytes(x.node) for x in sketch.collect()}
+    got = Counter(labels.get(node[i], node[i]) for i, _ in rows)
+    want = plain(rows)
+    assert sorted(got.values()) == sorted(Counter(want).values())
+    assert len({(w, labels.get(node[i], node[i])) for w, (i, _) in zip(want, rows, strict=True)}) == len(set(want))
 
 
 def test_signature_estimates_weighted_similarity():
@@ -99,18 +121,39 @@ def test_signature_estimates_weighted_similarity():
     e = r.integers(0, 2**63, 400).astype(np.uint64)
     w1, w2 = r.random(400) * 3, r.random(400) * 3
     want = np.minimum(w1, w2).sum() / np.maximum(w1, w2).sum()
-    got = (d.signature(e, 2000, w1) == d.signature(e, 2000, w2)).mean()
+    got = (d.signature(e, w1, 2000) == d.signature(e, w2, 2000)).mean()
     assert abs(got - want) < 0.05
-    plain = (d.signature(e[:300], 2000) == d.signature(e[100:], 2000)).mean()
+    one = np.ones(300)
+    plain = (d.signature(e[:300], one, 2000) == d.signature(e[100:], one, 2000)).mean()
     assert abs(plain - 0.5) < 0.05
-    assert len(set(d.signature(e[:1], 50).tolist())) == 50
-
-
-def test_components_of_long_chains(spark):
-    n = 200
-    edges = [(f"{i:04}".encode(), f"{i + 1:04}".encode()) for i in range(n)] + [(b"x", b"y")]
+    assert len(set(d.signature(e[:1], one[:1], 50).tolist())) == 50
+    whole = r.integers(1, 5, 400)
+    assert (d.signature(e, whole) == d.darts(d.unit_cells(e, whole)[0])).all()
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    n = 1000
+    names = [f"{i:05}".encode() for i in range(n)]
+    random.Random(3).shuffle(names)
+    hub = [(b"hub", f"leaf{i}".encode()) for i in range(200)]
+    edges = [*zip(names, names[1:], strict=False), *hub, (b"x", b"y"), (b"y", b"x"), (b"z", b"z")]
+    rounds, keep = [], d.Scratch.keep
+    monkeypatch.setattr(d.Scratch, "keep", lambda self, df: rounds.append(1) or keep(self, df))
     labels = {bytes(r.node): bytes(r.label) for r in d.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
-    assert set(labels.values()) == {b"0000", b"x"} and len(labels) == n + 3
+    assert len(rounds) < 2 * 10  # two tables a round
+    groups = {}
+    for k, v in labels.items():
+        groups.setdefault(v, set()).add(k)
+    want = [set(names), {b"hub"} | {x for _, x in hub}, {b"x", b"y"}, {b"z"}]
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want)) and all(k in v for k, v in groups.items())
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(i, "some words that both of them have in common", "h", "i", 1.5) for i in range(3)]
+    names = ["_class_h", "_class_id", "h"]
+    df = spark.createDataFrame(rows, f"id long, text string, {names[0]} string, {names[1]} string, {names[2]} double")
+    got = d.deduplicated(df, doc_id="id").collect()
+    assert [tuple(r) for r in got] == [rows[0]]
 
 
 def test_empty_table(spark):

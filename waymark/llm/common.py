@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,18 +34,62 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share, as the session names it.
 
-    The folder named by spark.checkpoint.dir is used.  Only where a session names none, as in
-    local tests, is a temporary folder of this machine set.
+    A session without one gets a temporary folder in local mode, as in tests; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "waymark-checkpoints"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+class Scratch:
+    """Intermediate tables of one computation, written to the shared folder and read back.
+
+    Their plans begin at files, so lost executors cost no recomputation and the planner knows true
+    sizes.  ``drop`` removes tables that are no longer read; the rest goes when the session ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+        self.base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self._files(self.base)[0].deleteOnExit(self._files(self.base)[1])
+
+    def _files(self, path: str):
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), at
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{len(self.paths)}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = path, table
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables or [t for _, t in self.paths.values()]:
+            path, _ = self.paths[id(t)]
+            files, at = self._files(path)
+            files.delete(at, True)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder."""
+    return Scratch(df.sparkSession).keep(df)
+
+
+def free_name(wanted: str, *columns: list[str]) -> str:
+    """``wanted``, lengthened until none of ``columns`` has it (case does not matter)."""
+    taken = {c.lower() for names in columns for c in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

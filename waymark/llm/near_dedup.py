@@ -1,18 +1,21 @@
 """Near-duplicates by DartMinHash signatures, a banded join and an exact check.
 
-A text's shingles are its runs of five words (all its words, if there are fewer).  Hashed darts are
-thrown into the unit cells of each shingle's region, element by weight by rank; each dart belongs to
-a coordinate of the signature, and the earliest dart of a coordinate is kept.  Bands of coordinates
-are the keys of a join.  Texts with the same shingles are one node.  In each bucket every node is
-checked against the bucket's leader, by the exact Jaccard similarity of the shingles; the links
-found give components, and only nodes of one bucket that are still in different components, and
-that exact bounds leave a chance, are paired and checked then.  So a group of copies costs one link
-a member, and no link between different texts of a bucket is lost;
-only the bands can miss one (at a similarity of 0.8 with a chance of 6e-5).
+A text's shingles are its runs of five words (all its words, if there are fewer), each weighing as
+often as it occurs.  Hashed darts are thrown into the unit cells of each shingle's region, element by
+weight by rank; each dart belongs to a coordinate of the signature, and the earliest dart of a
+coordinate is kept.  Bands of coordinates are the keys of a join.  Two texts are linked if the sum of
+the lesser weights is at least 0.8 of the sum of the greater ones, which for texts that repeat no
+shingle is the Jaccard similarity of the sets.  Classes are what links connect.
+
+Texts with the same weighted shingles are one node.  A bucket's nodes are checked exactly against its
+leader, so a group of copies costs one link a member.  Nodes of one leader that are then still apart
+can only be alike where they differ from the leader in the same shingles: they meet on the rarest of
+their differences, as many as an exact bound asks for, and are checked exactly too.  No link between
+texts of one bucket is lost; only the bands can miss one (at a similarity of 0.8 with a chance of 6e-5).
 
 Texts without words (null, empty, white space) are left alone: each is a class of its own.  Ties go
 to the least (id, text hash), null ids last.  Repeated rows are one class.  Columns other than id and
-text play no part.
+text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table
+from .common import Scratch, free_name, table
+from .components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 6
-#: Nodes outside a bucket's largest component that one task pairs with the bucket's nodes (expected).
-STRAYS = 256
-#: Links have at least 4 shingles in common to each 5 that either has: a similarity of 0.8.
+#: Links have at least 4 of 5 parts of their weight in common: a similarity of 0.8.
 ALIKE, OF = 4, 5
-#: Bits of a node's map of its shingles, a power of two: a bit that one node alone has is a shingle that is not common.
-MAP_BITS = 1024
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
@@ -45,33 +45,43 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``size`` words."""
+def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of the runs of ``size`` words, and how often each occurs."""
     words = (text or "").encode().split()  # bytes split at the six ASCII white-space characters only
     if not words:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     h = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
     n = max(len(h) - size + 1, 1)
     out = np.full(n, np.uint64(min(len(h), size)))
     for i in range(min(size, len(h))):
         out = _mixed(out * _ODD + h[i : i + n])
-    return np.unique(out)
+    return np.unique(out, return_counts=True)
 
 
-def signature(elements: np.ndarray, size: int = BANDS * ROWS, weights: np.ndarray | None = None) -> np.ndarray:
-    """DartMinHash of a weighted set: for each coordinate the hash of its earliest dart.
+def unit_cells(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The regions of weighted elements cut into cells of one unit of weight, and the part of each cell that is filled.
 
-    Each unit cell (element, whole weight step, whole rank step) gets a Poisson number of darts, one
-    on average, at places in the cell that its hash decides; darts above the element's weight miss.
-    Rank steps are added until every coordinate has a dart.
+    Cells are numbered along the weight of their element, so of whole weights two sets have as many
+    cells in common as the sum of their lesser weights.
+    """
+    steps = np.ceil(weights).astype(np.int64)
+    nth = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
+    cells = _mixed(np.repeat(elements, steps) + nth.astype(np.uint64) * _ODD)
+    return cells, np.minimum(np.repeat(weights, steps) - nth, 1.0)
+
+
+def signature(elements: np.ndarray, weights: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+    """DartMinHash of a weighted set."""
+    return darts(*unit_cells(elements, weights), size)
+
+
+def darts(cells: np.ndarray, filled: np.ndarray | None = None, size: int = BANDS * ROWS) -> np.ndarray:
+    """For each coordinate the hash of the earliest dart in the cells (``filled``: in parts of them).
+
+    Each cell gets, for each whole step of rank, a Poisson number of darts, one on average, at places
+    that its hash decides; darts above the filled part miss.  Steps are added until every coordinate
+    has a dart.
     """
-    if weights is None:
-        cells, height = elements, None
-    else:
-        steps = np.ceil(weights).astype(np.int64)
-        nth = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
-        cells = _mixed(np.repeat(elements, steps) + nth.astype(np.uint64) * _ODD)
-        height = np.repeat(weights, steps) - nth
     value, rank = np.zeros(size, dtype=np.uint64), np.full(size, np.inf)
     first, last = 0, max(1, math.ceil(size * (math.log(size) + 2) / max(len(cells), 1)))
     while len(cells) and np.isinf(rank).any():
@@ -82,8 +92,8 @@ def signature(elements: np.ndarray, size: int = BANDS * ROWS, weights: np.ndarra
         nth = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n)
         dart = _mixed(base[cell] + (nth.astype(np.uint64) + np.uint64(1)) * _ODD)
         when = (cell % len(at)) + first + (dart >> np.uint64(11)) * 2.0**-53
-        if height is not None:
-            hit = (_mixed(dart ^ _ODD) >> np.uint64(11)) * 2.0**-53 < height[cell // len(at)]
+        if filled is not None:
+            hit = (_mixed(dart ^ _ODD) >> np.uint64(11)) * 2.0**-53 < filled[cell // len(at)]
             dart, when = dart[hit], when[hit]
         order = np.argsort(-when, kind="stable")
         dart, when = dart[order], when[order]
@@ -98,6 +108,12 @@ def signature(elements: np.ndarray, size: int = BANDS * ROWS, weights: np.ndarra
     return value
 
 
+def text_cells(text: str | None) -> np.ndarray:
+    """Sorted cells of a text's shingles, as many of a shingle as it occurs; counts fill cells whole."""
+    elements, counts = shingles(text)
+    return np.sort(unit_cells(elements, counts)[0])
+
+
 def bands(sig: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key for each band of the signature."""
     out = np.arange(1, count + 1, dtype=np.uint64)
@@ -106,162 +122,147 @@ def bands(sig: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id, h (text hash), node (digest of the shingles, null without words), n, keys and bits (map of the shingles) of each row."""
-    import xxhash
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
 
-    key = F.col(f"`{doc_id}`")
-    rows = docs.select(key.cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
+
+def _sketch(rows: DataFrame) -> DataFrame:
+    """id, h (text hash), node (digest of the cells, null without words), n (cells) and keys of each row."""
+    import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out, seen = [], {}
             for t in batch["text"]:
-                s = shingles(t)
+                s = text_cells(t)
                 if not len(s):
-                    out.append((None, 0, None, None))
+                    out.append((None, 0, None))
                     continue
                 node = xxhash.xxh3_128_digest(s.tobytes())
                 if node not in seen:
-                    bits = np.zeros(MAP_BITS, dtype=np.uint8)
-                    bits[_mixed(s) >> np.uint64(65 - MAP_BITS.bit_length())] = 1
-                    seen[node] = (node, len(s), bands(signature(s)), np.packbits(bits).view(np.int64))
+                    seen[node] = (node, len(s), bands(darts(s)))
                 out.append(seen[node])
-            yield pd.concat([batch[["id", "h"]], pd.DataFrame(out, columns=["node", "n", "keys", "bits"], index=batch.index)], axis=1)
+            yield pd.concat([batch[["id", "h"]], pd.DataFrame(out, columns=["node", "n", "keys"], index=batch.index)], axis=1)
 
-    return rows.mapInPandas(run, "id long, h long, node binary, n long, keys array<long>, bits array<long>")
+    return rows.mapInPandas(run, "id long, h long, node binary, n long, keys array<long>")
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(node, s): the shingles of the nodes of ``wanted`` (id, h), each from one row that has them."""
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, s): the cells of the nodes of ``wanted`` (id, h), each from one row that has them."""
     import xxhash
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
     w = wanted.select(F.col("id").alias("_id"), F.col("h").alias("_h"))
-    rows = rows.join(w, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").select("text")
+    some = rows.join(w, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").dropDuplicates(["id", "h"]).select("text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [shingles(t) for t in batch["text"]]
+            found = [text_cells(t) for t in batch["text"]]
             yield pd.DataFrame({"node": [xxhash.xxh3_128_digest(s.tobytes()) for s in found], "s": [s.view(np.int64) for s in found]})
 
-    return rows.mapInPandas(run, "node binary, s array<long>").dropDuplicates(["node"])
+    return some.mapInPandas(run, "node binary, s array<long>")
+
+
+def _of(sets: DataFrame, x: str) -> DataFrame:
+    return sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
+
+
+def _alike(common, n, m):  # noqa: ANN001
+    return OF * common >= ALIKE * (n + m - common)
+
+
+def _close(n: str, m: str):  # noqa: ANN202
+    """What the sizes alone leave possible."""
+    return OF * F.least(n, m) >= ALIKE * F.greatest(n, m)
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose shingles are alike enough, by counting them."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    """Pairs (a, b) that are links, by counting their cells."""
+    both = pairs.select("a", "b").join(_of(sets, "a"), "a").join(_of(sets, "b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(OF * common >= ALIKE * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return both.filter(_alike(common, F.size("sa"), F.size("sb"))).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of the nodes of ``edges`` (a, b); the label is the least node that is connected.
+def _stars(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, n, m): nodes and the leaders of their buckets, with their sizes.
 
-    Each round takes the least label of the neighbours and then that label's own label, so long
-    chains shrink by half or more a round.
+    A bucket's leader is its member with the most company over all its buckets: in a group of copies,
+    one with few edits.
     """
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near.select(F.col("a").alias("node"), "near"), "node").select("node", "label", F.least("label", "near").alias("next"))
-        hooked = cut_lineage(hooked)
-        jump = hooked.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        stepped = cut_lineage(hooked.join(jump, "next").select("node", "label", F.least("next", "far").alias("next")))
-        done = stepped.filter(F.col("label") != F.col("next")).isEmpty()
-        labels = stepped.select("node", F.col("next").alias("label"))
-        if done:
-            return labels
-
-
-def _across(placed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that may still be links.
-
-    Bounds that no link can break come first.  A shingle of one node alone is never common, which
-    leaves nodes with many such shingles no partner at all, and bounds what others have in common.
-    So do the bits of the maps that one node of a pair alone has.
-    A pair is made in the first of its buckets only.  Then shingles of 32 bits are counted: they
-    agree at least as often as whole ones.
+    members = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    with_company = members.join(several, "key").groupBy("node").agg(F.sum("size").alias("w"), F.first("n").alias("n"), F.collect_list("key").alias("keys"))
+    members = scratch.keep(with_company).select(F.explode("keys").alias("key"), "node", "n", "w")
+    leaders = members.groupBy("key").agg(F.max(F.struct("w", "node", "n")).alias("top"))
+    led = members.join(leaders, "key").filter(F.col("node") != F.col("top.node"))
+    return scratch.keep(led.select(F.col("node").alias("a"), F.col("top.node").alias("b"), "n", F.col("top.n").alias("m")).distinct())
+
+
+def _apart(stars: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes with one leader and of different components that may still be links.
+
+    With D the cells in which a node differs from the leader, n its cells and S the cells of a pair:
+    a pair differs in |Da| + |Db| - 2 |Da & Db| cells, and is a link if 9 times that is at most S.  So
+    a link has 2 |Da & Db| >= ea + eb, where e = |D| - n / 9.  One of the two is no link of the leader
+    (else they were of one component), which means e > m / 9 for the leader's m cells; for links of
+    the leader e >= -m / 9.  As |Da & Db| <= |Db| too, |Da & Db| >= ea - n / 4 for a node's sizes.  From the least
+    overlap t that this gives each node, the |D| - t + 1 rarest cells of D contain one that a link
+    shares, and from its place on there are enough cells left in both.
     """
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        both = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        return rows.join(both.select("key"), "key", "left_semi")
-
-    placed = cut_lineage(mixed(placed))
-    some = sets.join(placed.select("node").distinct(), "node", "left_semi").select("node", F.explode("s").alias("x"))
-    alone = some.groupBy("x").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c")).filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-    placed = placed.join(alone, "node", "left").withColumn("v", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
-    placed = mixed(cut_lineage(placed.filter(OF * F.col("v") >= ALIKE * F.col("n"))))
-    placed = cut_lineage(placed.join(nodes.select("node", "keys", "bits"), "node"))
-    # a bucket's strays, the nodes outside its largest component, meet its nodes in blocks
-    largest = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
-    largest = largest.select("key", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / STRAYS).alias("blocks"))
-    placed = cut_lineage(placed.join(largest, "key").withColumn("stray", F.col("label") != F.col("main")))
-    side = lambda dealt, c: dealt.select("key", "block", *[F.col(x).alias(x + c) for x in ("label", "node", "n", "v", "keys", "bits", "leader", "stray")])
-    fits = (ALIKE + OF) * F.least("va", "vb") >= ALIKE * (F.col("na") + F.col("nb"))  # at 0.8: common >= 4/9 of both sizes
-    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, p: t + p)
-    mapped = (ALIKE + OF) * F.least(F.col("na") - only("bitsa", "bitsb"), F.col("nb") - only("bitsb", "bitsa")) >= ALIKE * (F.col("na") + F.col("nb"))
-    first = F.get(F.filter(F.zip_with("keysa", "keysb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0)) == F.col("key")
-    hope = (F.col("nodea") != F.col("leadera")) & (F.col("nodeb") != F.col("leaderb")) & fits & first & mapped
-    once = (F.col("labela") != F.col("labelb")) & (~F.col("strayb") | (F.col("nodea") < F.col("nodeb")))
-    strays = side(placed.filter("stray").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "a")
-    members = side(placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))), "b")
-    found = strays.join(members.withColumnsRenamed({"key": "_key", "block": "_block"}), (F.col("key") == F.col("_key")) & (F.col("block") == F.col("_block")) & once & hope)
-    found = found.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
-    short = cut_lineage(sets.join(placed.select("node").distinct(), "node", "left_semi").select("node", F.array_distinct(F.transform("s", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))).alias("s"), F.size("s").alias("n")))
-    found = cut_lineage(found)
-    left = found.join(short.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a")
-    both = left.join(short.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
-    lost = F.col("na") - F.size("sa") + F.col("nb") - F.size("sb")  # shingles of one set that agree in 32 bits
-    return both.filter((ALIKE + OF) * (F.size(F.array_intersect("sa", "sb")) + lost) >= ALIKE * (F.col("na") + F.col("nb"))).select("a", "b")
+    label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    led = stars.join(label("a"), "a", "left").withColumn("la", F.coalesce("la", "a"))
+    mixed = led.groupBy("b").agg(F.min("la").alias("low"), F.max("la").alias("high")).filter("low < high").select("b")
+    led = scratch.keep(led.join(mixed, "b", "left_semi").select("a", "b", "la", "n", "m"))
+    apart = led.join(_of(sets, "a"), "a").join(_of(sets, "b"), "b")
+    apart = apart.select("a", "b", "la", "n", "m", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("d"))
+    cells = scratch.keep(apart).select("a", "b", "la", "n", "m", F.size("d").alias("d"), F.explode("d").alias("x"))
+    often = cells.groupBy("b", "x").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = cells.join(often, ["b", "x"]).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("la", "n", "m", "d")], F.array_sort(F.collect_list(F.struct("c", "x"))).alias("xs"))
+    e = 9 * F.col("d") - F.col("n")  # 9 e
+    t = F.when(e > F.col("m"), F.greatest(2 * (e - F.col("m")), 36 * F.col("d") - 9 * F.col("n"))).otherwise(2 * (e + F.col("m")))
+    least = F.greatest(F.ceil(t / 36), F.lit(1))  # t: 36 times the overlap
+    alone = F.col("d") - F.size("xs")  # cells of no other node come first and take places of the rarest
+    shared = shared.withColumn("alone", alone).withColumn("most", F.col("d") - least + 1 - alone).filter("most > 0")
+    rarest = shared.select("a", "b", "la", "n", "d", F.posexplode(F.slice("xs", F.lit(1), F.col("most").cast("int"))).alias("at", "x"), "alone")
+    rarest = scratch.keep(rarest.select("a", "b", "la", "n", "d", F.col("x.x").alias("x"), (F.col("d") - F.col("alone") - F.col("at")).alias("left")))
+    other = rarest.select(*[F.col(c).alias(f"{c}_") for c in ("a", "la", "n", "d", "left")], "b", "x")
+    enough = 18 * F.least("left", "left_") >= 9 * (F.col("d") + F.col("d_")) - F.col("n") - F.col("n_")
+    pairs = rarest.join(other, ["b", "x"]).filter((F.col("a") < F.col("a_")) & (F.col("la") != F.col("la_")) & _close("n", "n_") & enough)
+    return pairs.select("a", F.col("a_").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a row of ``docs``: id, h (hash of its text), class_id and class_h, the least of its class."""
-    rows = cut_lineage(_sketch(docs, doc_id, text))
-    first = lambda c: F.first(c).alias(c)
-    nodes = cut_lineage(rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("rep"), first("n"), first("keys"), first("bits")))
-    members = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    shared = cut_lineage(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "key"))
-    # a bucket's leader is its member with the most company over all its buckets: in a group of copies, one with few edits
-    shared = shared.join(shared.groupBy("node").agg(F.sum("size").alias("w")), "node")
-    leaders = shared.groupBy("key").agg(F.max(F.struct("w", "node", "n")).alias("top"))
-    grouped = cut_lineage(shared.join(leaders, "key").select("key", "node", "n", F.col("top.node").alias("leader"), F.col("top.n").alias("m"), F.col("top.w").alias("w")))
-    sets = cut_lineage(_sets(docs, doc_id, text, nodes.join(grouped.select("node").distinct(), "node", "left_semi").select("rep.id", "rep.h")))
-    close = lambda n, m: OF * F.least(n, m) >= ALIKE * F.greatest(n, m)
-    stars = grouped.filter((F.col("node") != F.col("leader")) & close(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), F.col("leader").alias("b"), "w")
-    label = lambda labels, x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
-    # one link a node first: to the first of its leaders; then to the other leaders that are not of its component yet
-    first_pairs = cut_lineage(stars.groupBy("a").agg(F.max(F.struct("w", "b"))["b"].alias("b")))
-    edges = cut_lineage(_checked(first_pairs, sets))
-    labels = components(edges)
-    apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
-    second = stars.select("a", "b").distinct().join(label(labels, "a"), "a", "left").join(label(labels, "b"), "b", "left").filter(apart).select("a", "b")
-    more = cut_lineage(_checked(second.join(first_pairs, ["a", "b"], "left_anti"), sets))
-    if not more.isEmpty():
-        edges = edges.unionByName(more)
-        labels = components(edges)
-    own = F.coalesce("label", "node").alias("label")
-    rest = _across(grouped.drop("w", "m").join(labels, "node", "left").select("key", "node", "leader", "n", own), nodes, sets)
-    more = cut_lineage(_checked(rest, sets))
+    scratch = Scratch(docs.sparkSession)
+    rows = _rows(docs, doc_id, text)
+    sketch = scratch.keep(_sketch(rows))
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("rep")
+    nodes = scratch.keep(sketch.filter("node is not null").groupBy("node").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys")))
+    stars = _stars(nodes, scratch)
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = scratch.keep(_sets(rows, nodes.select("node", "rep").join(wanted, "node", "left_semi").select("rep.id", "rep.h")))
+    links = scratch.keep(_checked(stars.filter(_close("n", "m")), sets))
+    labels = scratch.keep(components(links))
+    more = scratch.keep(_checked(_apart(stars, labels, sets, scratch), sets))
     if not more.isEmpty():
-        labels = components(edges.unionByName(more))
-    named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", own)
-    least = cut_lineage(named.groupBy("label").agg(F.min("rep").alias("least")))
-    of_node = cut_lineage(named.select("node", "label").join(least, "label").select("node", "least"))
-    out = rows.select("id", "h", "node").join(of_node, "node", "left")
+        labels = scratch.keep(components(links.unionByName(more)))
+    linked = labels.join(nodes.select("node", "rep"), "node")
+    best = linked.groupBy("label").agg(F.min("rep").alias("best"))
+    best = scratch.keep(linked.select("node", "label").join(best, "label").select("node", "best"))
+    of_node = nodes.select("node", "rep").join(best, "node", "left").select("node", F.coalesce("best", "rep").alias("least"))
+    out = sketch.select("id", "h", "node").join(of_node, "node", "left")
     of = lambda c: F.when(F.col("least").isNull(), F.col(c)).otherwise(F.col(f"least.{c}")).alias(f"class_{c}")
-    return out.select("id", "h", of("id"), of("h"))
+    result = Scratch(docs.sparkSession).keep(out.select("id", "h", of("id"), of("h")))
+    scratch.drop()
+    return result
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are the least of their class, one row each, with all columns."""
-    keep = classes(docs, doc_id, text).select(F.col("class_id").alias("_id"), F.col("class_h").alias("_h")).distinct()
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_h"))
-    return docs.join(keep, same, "left_semi").withColumn("_hash", F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([doc_id, "_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    i, h = free_name("_class_id", docs.columns), free_name("_class_h", docs.columns)
+    keep = classes(docs, doc_id, text).select(F.col("class_id").alias("_i"), F.col("class_h").alias("_h")).distinct()
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{doc_id}`").cast("long").alias(i), F.xxhash64(F.col(f"`{text}`")).alias(h)).alias("d")
+    kept = keyed.join(keep.alias("k"), F.col(f"d.{i}").eqNullSafe(F.col("k._i")) & (F.col(f"d.{h}") == F.col("k._h")), "left_semi")
+    return kept.dropDuplicates([i, h]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
