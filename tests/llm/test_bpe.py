@@ -5,7 +5,7 @@ import numpy as np
 
 from waymark.llm import bpe
 
-ODD = ["", " ", "a", "Hello<|startoftext|>World <|endoftext|>", "İIß ﬁ é é x y", "x" * 5000, "日本語" * 400, "it's we'll 'd 12 3.5!!", "́ lead", "a\x1cb\x85c\u0000d", "tab\tnew\nline\r\n\x0b\x0c end", "🙂🙂 👩‍👩‍👧 ok", "Σίσυφος ΣΑΣ", "Été## ÇA!! a_b ÿ* ×2 ª º µ x<|endoftext|> <| |> don't# (y)"]
+ODD = ["", " ", "a", "Hello<|startoftext|>World <|endoftext|>", "İIß ﬁ é é x y", "x" * 5000, "日本語" * 400, "it's we'll 'd 12 3.5!!", "́ lead", "a\x1cb\x85c\u0000d", "tab\tnew\nline\r\n\x0b\x0c end", "🙂🙂 👩‍👩‍👧 ok", "Σίσυφος ΣΑΣ", "0 10 a0b 0 ０", "Été## ÇA!! a_b ÿ* ×2 ª º µ x<|endoftext|> <| |> don't# (y)"]
 
 
 def expected(texts):
@@ -34,13 +34,30 @@ def test_joins_are_repaired_wherever_chunks_end():
     original = bpe.cuts
     try:
         for step in (1, 2, 3, 7, 50):
-            bpe.cuts = lambda data, s=step: [i for i in range(s, len(data), s) if data[i] & 0xC0 != 0x80] + [len(data)]
+            bpe.cuts = lambda texts, s=step: [[i for i in range(s, len(data), s) if data[i] & 0xC0 != 0x80] + [len(data)] for data in texts]
             encoder.chunks.clear()
-            assert np.frombuffer(encoder.encode([text])[0][0], dtype="<u4").tolist() == plain
+            assert np.frombuffer(encoder.encode([text])[0], dtype="<u4").tolist() == plain
     finally:
         bpe.cuts = original
 
 
+def test_chunks_of_a_text_do_not_depend_on_the_texts_around_it():
+    r = random.Random(9)
+    texts = ["".join(r.choices("abcdé ", k=n)).encode() for n in (0, 5, 16, 17, 3000, 0, 9000, 1)]
+    assert bpe.cuts(texts) == [bpe.cuts([t])[0] for t in texts]
+    assert len(bpe.cuts(texts)[4]) > 5
+
+
+def test_old_words_and_chunks_go(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 50)
+    monkeypatch.setattr(bpe, "KEPT_CHUNKS", 5)
+    encoder, r = bpe.ChunkEncoder(bpe.default_tokenizer()), random.Random(2)
+    for _ in range(8):
+        text = " ".join("".join(r.choices("abcdé0", k=5)) for _ in range(300))
+        assert np.frombuffer(encoder.encode([text, ""])[0], dtype="<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.words) <= 350 and len(encoder.chunks) <= 30
+
+
 def test_round_trip_and_empty(spark):
     df = spark.createDataFrame([(1, "Some words, again and again")], "doc_id long, text string")
     row = bpe.decode(bpe.encode(df)).first()
