@@ -1,14 +1,19 @@
 """Main text of web pages.
 
 The standard library's parser streams events; from them a page becomes lines, one a block, each
-with its characters, its number of tags and the elements around it.  The text-to-tag ratio of the
+with its characters, its number of tags and the element it stands in.  The text-to-tag ratio of the
 lines is smoothed by a Gaussian and split in two by threshold clustering.  The lines above the
 threshold, and those within article and main elements, are content; their smallest common container
-is the region, and every line of it is kept, short paragraphs included.  Menus, page headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are told by element, role and class, and never kept.
+is the region, and every line of it is kept, short paragraphs included.  Menus, page headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments are told by element, role and
+class, and never kept.  A class tells only as a whole: each part of its name is a word for boilerplate
+or for a piece of a page (``share-links``, not ``share-price``); within article and main elements it
+tells of containers alone, not of paragraphs and headings.
 
 A null or empty html has the empty text, as has a page of boilerplate alone.  Elements that are
-never closed end with the elements around them.  Repeated rows give repeated results.
+never closed end with the elements around them; broken declarations are comments up to the next ">".
+Time and memory follow the length of a page, however its elements nest.  Repeated rows give repeated
+results.  Other columns are kept, except those named as a result, which are replaced.
 """
 
 from __future__ import annotations
@@ -35,70 +40,111 @@ _ROLES = frozenset("navigation banner complementary contentinfo search form dial
 _BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar aside rail widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead footer comment comments commentlist disqus reply replies share sharing social related recommended newsletter subscribe signup login search toolbar skip".split()
 )
+#: Words that name a piece of a page; with one of the words above they make a class of boilerplate.
+_PIECES = frozenset(
+    "area articles banner bar block body bottom box btn button buttons container content footer form global group head icons inner item items left link links list main nav outer page panel posts primary region right row secondary section site slot stories text title top unit wrap wrapper".split()
+)
+_TEXT_LEVEL = frozenset("a abbr address b blockquote cite code dd dfn dt em figcaption h1 h2 h3 h4 h5 h6 i kbd li mark p pre q s small span strong sub sup td th time tr u".split())
 _CONTENT = frozenset("article main".split())
 _OTHER_ARTICLES = frozenset("comment comments reply related recommended ad ads advert sponsored promo".split())
+_WALLS = frozenset("article main body table".split())  # an end tag of an element around them does not end them
+_HEADERS = frozenset("header masthead".split())
 _HOLDERS = frozenset("html body div section td table tbody ul ol dl center blockquote".split())
 _CLOSED_BY = {"p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
 _TOKENS = re.compile(r"[^a-z0-9]+")
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, path) of each block of a page; path: the numbers of the elements around it."""
+    """Collects (text, tags, element) of each block of a page; elements are numbered as they open."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # name, number, never kept, within content
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.stack: list[tuple[str, int, str, bool]] = []  # name, number, why never kept (or ""), within content
+        self.open: dict[str, list[int]] = {}  # places in the stack by name, by "never" and by "wall"
+        self.parent = [0]
+        self.lines: list[tuple[str, int, int]] = []
         self.content: set[int] = set()
         self.holders: set[int] = set()
         self.parts: list[str] = []
-        self.tags = self.count = 0
+        self.tags = 0
 
     def updatepos(self, i, j):
         return j  # line numbers are of no use here
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)  # as browsers do
+
     def _end_line(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.lines.append((text, self.tags, tuple(x[1] for x in self.stack)))
+                self.lines.append((text, self.tags, self.stack[-1][1] if self.stack else 0))
             self.parts = []
         self.tags = 0
 
-    def _boilerplate(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+    def _marked(self, tag: str, value: str, inside: bool) -> bool:
+        """Whether a class or id names boilerplate."""
+        if inside and (tag in _TEXT_LEVEL or tag == "header"):
+            return False
+        marks = _OTHER_ARTICLES if tag == "article" else _BOILERPLATE - _HEADERS if inside else _BOILERPLATE
+        for name in value.split():
+            words = [w for w in _TOKENS.split(name) if w and not w.isdigit()]
+            if not marks.isdisjoint(words) and all(w in marks or w in _PIECES for w in words):
+                return True
+        return False
+
+    def _never(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> str:
+        """"element" or "class" of boilerplate, or nothing."""
         if tag in _NEVER or tag == "header" and not inside:
-            return True
+            return "element"
         if tag in ("html", "body", "main"):
-            return False
-        marks = _OTHER_ARTICLES if tag == "article" else _BOILERPLATE
+            return ""
         for name, value in attrs:
             value = (value or "").lower()
-            if name in ("class", "id") and not marks.isdisjoint(_TOKENS.split(value)):
-                return not (inside and tag == "header")
+            if name in ("class", "id") and self._marked(tag, value, inside):
+                return "class"
             if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                return True
-        return False
+                return "element"
+        return ""
+
+    def _places(self, tag: str, root: bool) -> list[str]:
+        return [tag, *(["never"] if root else []), *(["wall"] if tag in _WALLS else [])]
+
+    def _close(self, at: int) -> None:
+        """End the elements from place ``at`` of the stack on."""
+        while len(self.stack) > at:
+            tag, _, never, _ = self.stack.pop()
+            for k in self._places(tag, bool(self.open.get("never")) and self.open["never"][-1] == len(self.stack)):
+                self.open[k].pop()
 
     def handle_starttag(self, tag, attrs):
         if tag in _BLOCK:
             self._end_line()
             while self.stack and tag in _CLOSED_BY.get(self.stack[-1][0], ()):
-                self.stack.pop()
-            if tag == "body" or tag in _CONTENT:  # what was left open before does not cover it
-                open_ = next((i for i, x in enumerate(self.stack) if x[2]), None)
-                if open_ is not None and (tag == "body" or self.stack[open_][0] in ("head", "nav", "header", "menu") and not any(x[0] in _CONTENT for x in self.stack)):
-                    del self.stack[open_:]
+                self._close(len(self.stack) - 1)
+            if (tag == "body" or tag in _CONTENT) and self.open.get("never"):  # what was left open before does not cover it
+                root = self.open["never"][0]
+                name, number, never, _ = self.stack[root]
+                if tag == "body" or name in ("head", "nav", "header", "menu") and not any(self.open.get(c) for c in _CONTENT):
+                    self._close(root)
+                elif never == "class" and not any(self.open.get(c) for c in _CONTENT):  # a class of the whole page
+                    self.stack[root:] = [(n, i, "", w) for n, i, _, w in self.stack[root:]]
+                    self.open["never"].clear()
         if tag == "br":
             self.parts.append(" ")
         self.tags += 1
         if tag not in _VOID:
-            self.count += 1
-            within = bool(self.stack) and self.stack[-1][3] or tag in _CONTENT or ("role", "main") in attrs
-            never = bool(self.stack) and self.stack[-1][2] or self._boilerplate(tag, attrs, bool(self.stack) and self.stack[-1][3])
-            self.stack.append((tag, self.count, never, within))
-            if tag in _CONTENT or ("role", "main") in attrs:
-                self.content.add(self.count)
+            number = len(self.parent)
+            top = self.stack[-1] if self.stack else ("", 0, "", False)
+            self.parent.append(top[1])
+            content = tag in _CONTENT or ("role", "main") in attrs
+            never = top[2] or self._never(tag, attrs, top[3])
+            for k in self._places(tag, bool(never) and not top[2]):
+                self.open.setdefault(k, []).append(len(self.stack))
+            self.stack.append((tag, number, never, top[3] or content))
+            if content:
+                self.content.add(number)
             if tag in _HOLDERS:
-                self.holders.add(self.count)
+                self.holders.add(number)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # as browsers do: the slash ends only void elements
@@ -107,21 +153,23 @@ class _Lines(HTMLParser):
         if tag in _BLOCK:
             self._end_line()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
-            if self.stack[i][0] in ("article", "main", "body", "table") and tag not in ("html", "body", "article", "main"):
-                break
+        if at := self.open.get(tag):
+            walls = self.open.get("wall")
+            if tag in ("html", "body", "article", "main") or not walls or at[-1] >= walls[-1]:
+                self._close(at[-1])
 
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][2]):
             self.parts.append(data)
 
 
-def ratios(lines: list[tuple[str, int, tuple[int, ...]]], sigma: float) -> np.ndarray:
-    """Text-to-tag ratio of each line, smoothed by a Gaussian of ``sigma`` lines."""
-    raw = np.array([len(t) / max(tags, 1) for t, tags, _ in lines])
+def ratios(lines: list[tuple[str, int, int]]) -> np.ndarray:
+    """Text-to-tag ratio of each line."""
+    return np.array([len(t) / max(tags, 1) for t, tags, _ in lines])
+
+
+def smoothed(raw: np.ndarray, sigma: float) -> np.ndarray:
+    """A Gaussian mean over ``sigma`` lines."""
     reach = int(np.ceil(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     return np.convolve(raw, kernel)[reach : reach + len(raw)] / np.convolve(np.ones(len(raw)), kernel)[reach : reach + len(raw)]
@@ -157,19 +205,29 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    smooth = ratios(lines, sigma)
-    above = smooth >= threshold(smooth)
-    held = [path for (_, _, path), over in zip(lines, above, strict=True) if over or not parser.content.isdisjoint(path)]
-    several: dict[int, int] = {}
-    for _, _, path in lines:
-        for k in path:
-            several[k] = several.get(k, 0) + 1
-    common = set(held[0]).intersection(*held[1:])
-    enough = [k for k in common if k in parser.content or k in parser.holders and several[k] > 1]
-    if not enough:
+    raw = ratios(lines)
+    smooth = smoothed(raw, sigma)
+    cut = threshold(smooth)
+    above = smooth >= cut
+    if (above & (raw >= cut)).any():
+        above &= raw >= cut  # not the lines beside a region that it lifts
+    within = [False] * len(parser.parent)  # an element's number is greater than that of the one around it
+    for k in range(1, len(within)):
+        within[k] = k in parser.content or within[parser.parent[k]]
+    held, several = [0] * len(within), [0] * len(within)
+    for (_, _, at), over in zip(lines, above.tolist(), strict=True):
+        several[at] += 1
+        held[at] += over or within[at]
+    for k in range(len(within) - 1, 0, -1):
+        several[parser.parent[k]] += several[k]
+        held[parser.parent[k]] += held[k]
+    common = [k for k in range(1, len(within)) if held[k] == held[0] and (k in parser.content or k in parser.holders and several[k] > 1)]
+    if not common:
         return " ".join(t for t, _, _ in lines)
-    region = max(enough)  # elements are numbered as they open: the last is the innermost
-    return " ".join(t for t, _, path in lines if region in path)
+    region = [False] * len(within)
+    for k in range(common[-1], len(within)):  # the last opened is the innermost
+        region[k] = k == common[-1] or region[parser.parent[k]]
+    return " ".join(t for t, _, at in lines if region[at])
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
