@@ -192,3 +192,20 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert batch == [0, 3] and sorted(x.event_id for x in spark.table("moves").collect()) == batch
+
+
+def test_groups_of_shuffled_chains_and_stars(spark):
+    from waymark.operators import graph
+
+    names = [f"{i:05}" for i in range(1000)]
+    random.Random(3).shuffle(names)
+    pairs = [*zip(names, names[1:], strict=False), *[("hub", f"leaf{i}") for i in range(200)], ("x", "y"), ("y", "x"), ("z", "z")]
+    rounds, keep = [], graph.materialised
+    graph.materialised = lambda df: rounds.append(1) or keep(df)
+    try:
+        got = {r.node: r.label for r in graph.groups(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    finally:
+        graph.materialised = keep
+    assert len(rounds) < 2 * 10  # two tables a round
+    assert got == {**dict.fromkeys(names, "00000"), **{f"leaf{i}": "hub" for i in range(200)}, "hub": "hub", "x": "x", "y": "x", "z": "z"}
+    assert graph.groups(spark.createDataFrame([], "a string, b string")).count() == 0

@@ -3,35 +3,71 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder; only where none is named, to one of this machine."""
+    """``df`` as a table in the session's checkpoint folder: its plan begins at files, whose sizes are known.
+
+    A session without such a folder gets a temporary one in local mode; on a cluster that is an error.
+    The table goes when the session ends, or by ``discard``.
+    """
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "waymark-checkpoints"))
-    done = df.checkpoint(eager=True)._jdf
-    # without the size that the plan was estimated at: over the rounds of a loop its digits would fill the driver
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "waymark-checkpoints"))
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    files, at = _files(df, path)
+    files.deleteOnExit(at)
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables that no plan reads any more."""
+    for t in tables:
+        files, at = _files(t, t._written_to)
+        files.delete(at, True)
+
+
+def _files(df: DataFrame, path: str):
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
 def groups(pairs: DataFrame) -> DataFrame:
     """(node, label) of the nodes of ``pairs`` (a, b); the label is the least node connected.
 
-    Each round takes the least label of the neighbours, and then that label's own label.
+    Each round orders the vertices by a hash of its own and merges each into the first vertex within
+    two pairs.  A star is one vertex after one round, and a chain shrinks to about a fifth whatever the
+    order of its nodes; the pairs left between different vertices are those of the next round.
     """
-    both = materialised(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = materialised(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next")))
-        jump = hooked.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        stepped = materialised(hooked.join(jump, "next").select("node", "label", F.least("next", "far").alias("next")))
-        done = stepped.filter(F.col("label") != F.col("next")).isEmpty()
-        labels = stepped.select("node", F.col("next").alias("label"))
-        if done:
-            return labels
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    left, merged = materialised(both), []
+    while not left.isEmpty():
+        place = lambda x, turn=len(merged): F.struct(F.xxhash64(x, F.lit(turn)).alias("place"), F.col(x).alias("v"))
+        first = left.groupBy("a").agg(F.min(place("b")).alias("p")).select(F.col("a").alias("b"), F.least("p", place("a")).alias("p"))
+        into = materialised(left.join(first, "b").groupBy("a").agg(F.min("p").alias("p")).select(F.col("a").alias("node"), F.col("p.v").alias("into")))
+        merged.append(into)
+        of = lambda x, into=into: into.select(F.col("node").alias(x), F.col("into").alias(f"_{x}"))
+        done, left = left, materialised(left.join(of("a"), "a").join(of("b"), "b").filter("_a != _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+        discard(done)
+    if not merged:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = merged[0].select("node", F.col("into").alias("label"))
+    for into in merged[1:]:
+        labels = labels.join(into.select(F.col("node").alias("label"), "into"), "label", "left").select("node", F.coalesce("into", "label").alias("label"))
+    labels = materialised(labels)
+    discard(left, *merged)
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    return labels.join(least, "label").select("node", F.col("least").alias("label"))

@@ -34,16 +34,20 @@ def rating_cascade(places: DataFrame, ratings: DataFrame, id_: str = "id", legac
     ``ratings``: place_id, rating, ord.  Each stage is an equi-join; near coordinates meet in grid cells.
     """
     good = ratings.filter("rating > 0").select("place_id", "rating", F.col("ord").alias("rord"))
-    alias = F.concat(F.lit("seeded-name-"), id_part(F.col(city), ""), F.lit("-"), id_part(F.col(name), ""))
-    keys = F.concat(keys_of(F.col(id_), F.col(legacy)), F.when((id_part(F.col(city), "") != "") & (id_part(F.col(name), "") != ""), F.array(alias)).otherwise(F.array().cast("array<string>")))
-    by_key = places.select(F.col(id_).alias("_id"), F.posexplode(keys).alias("stage", "place_id")).join(good, "place_id").select("_id", "stage", F.lit(0).cast("long").alias("rord"), "rating")
+    # normal forms are columns of their own, computed once and read where they are needed
+    base = places.select(F.col(id_).alias("_id"), F.col(legacy).alias("_legacy"), id_part(F.col(city), "").alias("_city"), id_part(F.col(name), "").alias("name_key"), finite(F.col("lat")).alias("la"), finite(F.col("lon")).alias("lo"))
+    alias = F.when((F.col("_city") != "") & (F.col("name_key") != ""), F.array(F.concat_ws("-", F.lit("seeded-name"), "_city", "name_key")))
+    keys = F.concat(keys_of(F.col("_id"), F.col("_legacy")), F.coalesce(alias, F.array().cast("array<string>")))
+    by_key = base.select("_id", F.posexplode(keys).alias("stage", "place_id")).join(good, "place_id").select("_id", "stage", F.lit(0).cast("long").alias("rord"), "rating")
     parsed = good.withColumn("p", parse_stable_id(F.col("place_id"))).filter("p is not null").select("rord", "rating", "p.name_key", F.col("p.lat").alias("rlat"), F.col("p.lon").alias("rlon"))
-    located = places.select(F.col(id_).alias("_id"), id_part(F.col(name), "").alias("name_key"), finite(F.col("lat")).alias("la"), finite(F.col("lon")).alias("lo")).filter("la is not null and lo is not null")
-    same = located.filter("name_key != ''").join(parsed.select("name_key", "rord", "rating"), "name_key").select("_id", "rord", "rating")
+    # of the ratings of one name, or of one point, only the first counts: a place meets one row, however many there are
+    first = lambda *key: parsed.groupBy(*key).agg(F.min("rord").alias("rord"), F.min_by("rating", "rord").alias("rating"))
+    located = base.filter("la is not null and lo is not null")
+    same = located.filter("name_key != ''").select("_id", "name_key").join(first("name_key"), "name_key").select("_id", "rord", "rating")
     step = 2 * TOLERANCE
     around = lambda x: F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.floor(x / step) + i)
-    a = located.withColumn("gx", F.floor(F.col("la") / step)).withColumn("gy", F.floor(F.col("lo") / step))
-    b = parsed.withColumn("gx", F.explode(around(F.col("rlat")))).withColumn("gy", F.explode(around(F.col("rlon"))))
+    a = located.select("_id", "la", "lo", F.floor(F.col("la") / step).alias("gx"), F.floor(F.col("lo") / step).alias("gy"))
+    b = first("rlat", "rlon").withColumn("gx", F.explode(around(F.col("rlat")))).withColumn("gy", F.explode(around(F.col("rlon"))))
     near = a.join(b, ["gx", "gy"]).filter((F.abs(F.col("rlat") - F.col("la")) <= TOLERANCE) & (F.abs(F.col("rlon") - F.col("lo")) <= TOLERANCE)).select("_id", "rord", "rating")
     last = same.unionByName(near).select("_id", F.lit(1 << 30).alias("stage"), "rord", "rating")
     best = by_key.unionByName(last).groupBy("_id").agg(F.min_by("rating", F.struct("stage", "rord")).alias("_rating"))
