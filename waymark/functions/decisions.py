@@ -65,6 +65,11 @@ def conflicting_city(text: Column, city_key: Column, aliases: Column) -> Column:
     return F.exists(aliases, lambda a: (a["city_key"] != city_key) & mentions(a)) & ~own
 
 
+def in_city_scope(text: Column, city: Column, city_key: Column, aliases: Column, locks=v.CITY_LOCKS) -> Column:
+    """Whether neither a lock nor a mention of another city keeps the place from this one."""
+    return ~city_locked_out(text, city, locks) & ~conflicting_city(text, city_key, aliases)
+
+
 def is_open(hours: Column, day: Column, minute: Column) -> Column:
     """true, false or null (unknown) at a weekday (0 is Sunday) and minute of the day.
 

@@ -79,3 +79,51 @@ SOURCE_POINTS = {"seeded": 8, "manual": 7, "google": 4, "osm": 3}
 LEADING_TAGS = ["specialty_coffee", "roastery", "espresso_bar", "pour_over", "v60", "chemex", "aeropress"]
 BAKERY_BRUNCH_TAGS = ["bakery", "brunch"]
 RELEVANT_TAGS = [*LEADING_TAGS, "coffee", "cafe", "coffee_shop"]
+
+# cities' radius in metres, and the least and most of the filter in kilometres.
+CITY_RADIUS_METRES = {"Tel Aviv": 5000, "Jerusalem": 3500, "Haifa": 3000, "Ramat Gan": 2500, "Ra'anana": 2500}
+DEFAULT_RADIUS_METRES, LEAST_RADIUS_KM, MOST_RADIUS_KM = 2200, 3.5, 40.0
+CITY_DISPLAY = {"Ramat Gan": "Ramat Gan-Givataim"}
+
+# Chains that European cities leave out, and the countries that count as such.
+EUROPE_CHAINS = ["starbucks", "costa", "costa coffee", "joe & juice", "joe & the juice", "joe and the juice", "caffe nero", "caffè nero", "cafe nero"]
+EUROPEAN_COUNTRIES = [
+    "Austria", "Belarus", "Belgium", "Bulgaria", "Croatia", "Cyprus", "Czech Republic", "Denmark", "Estonia", "Finland", "France", "Georgia", "Germany", "Greece", "Hungary", "Ireland", "Italy", "Latvia", "Lithuania",
+    "Luxembourg", "Moldova", "Netherlands", "North Macedonia", "Norway", "Poland", "Portugal", "Romania", "Slovakia", "Slovenia", "Spain", "Sweden", "Switzerland", "Turkey", "Ukraine", "United Kingdom",
+]
+
+# Words of the specialty flag.
+SPECIALTY_FLAG_WORDS = [
+    "specialty", "speciality", "third wave", "artisan", "roaster", "roastery", "micro", "single origin", "pour over", "filter", "craft", "independent", "espresso bar", "coffee lab", "coffee collective", "the barn",
+    "five elephant", "bonanza", "father carpenter", "lot sixty one", "coffee district", "satan's coffee",
+]
+SEEDED_FLOOR = 72
+
+# The score of discovered candidates (words; points each, most, and what they start from).
+DISCOVERY_TEXT = [
+    "specialty", "speciality", "third wave", "single origin", "filter coffee", "manual brew", "pour over", "v60", "chemex", "aeropress", "kalita", "batch brew", "cold brew", "roastery", "roaster", "coffee lab",
+    "direct trade", "traceability", "tasting notes", "cupping", "espresso bar", "ספיישלטי", "מקור יחיד", "פילטר", "קלייה", "רוסטר", "קאפינג",
+]
+DISCOVERY_NAME = ["coffee", "cafe", "café", "espresso", "roaster", "roastery", "קפה", "אספרסו", "קלייה"]
+DISCOVERY_NEGATIVE = ["cocktail", "wine bar", "pub", "nightclub", "restaurant", "bistro", "burger", "pizza", "grill", "sushi", "בר קוקטיילים", "בר יין", "פאב", "מסעדה", "ביסטרו"]
+DISCOVERY_FROM, DISCOVERY_LEAST = 60, 18
+
+# Words of the import gate.
+IMPORT_NON_COFFEE = ["pizza", "sushi", "ice cream", "gelato", "frozen yogurt", "yogurt", "bubble tea", "bubble_tea", "boba", "tea house", "teahouse", "dessert", "waffle", "crepe", "donut", "mochi"]
+IMPORT_COFFEE_TEXT = [
+    "coffee", "cafe", "café", "espresso", "coffee shop", "specialty coffee", "roaster", "roastery", "pour over", "pour-over", "filter coffee", "v60", "chemex", "aeropress", "קפה", "בית קפה", "אספרסו", "רוסטר", "קלייה",
+]
+IMPORT_COFFEE_NAME = ["coffee", "cafe", "café", "espresso", "roaster", "roastery", "specialty"]
+IMPORT_FOOD_FIRST = [
+    "brunch", "breakfast", "all day breakfast", "sandwich", "kitchen", "restaurant", "steakhouse", "ramen", "noodle", "burger", "hotdog", "taco", "bbq", "barbecue", "grill", "bistro", "diner", "wine", "cocktail",
+    "ארוחת בוקר", "בראנץ", "מסעדה", "gelato", "ice cream",
+]
+IMPORT_BAKERY_BRUNCH = ["bakery", "patisserie", "boulangerie", "brunch", "breakfast", "sandwich", "kitchen"]
+IMPORT_EXCLUDED = ["roladin", "רולדין", "maafe neeman", "מאפה נאמן", "greg patisserie", "גרג קונדיטוריה", "hadasa patisserie", "קונדיטוריה"]
+IMPORT_NEUTRAL_SCORE = 48
+
+# Words that make a listed place look wrong in the audit of a city.
+SUSPICIOUS_WORDS = ["burger", "sushi", "pizza", "bar", "pub", "dessert", "gelato", "ice cream", "yogurt", "mochi", "waffle", "donut", "bubble"]
+
+# Part of the address of photos that browsers may not read.
+BROKEN_PHOTO = "/place-photos/AL8"

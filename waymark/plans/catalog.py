@@ -480,3 +480,6 @@ def ext_tumbling_window(spark, sf):
 SELECT user_id, min(ts) AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
 def ext_session_window(spark, sf):
     return live.sessions(adapters.read(spark, sf, "events")).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+from . import curation  # noqa: E402, F401  (registers its queries)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import decisions, geo, scoring
+from ..functions import curation, decisions, geo, scoring
+from ..functions import vocab as v
 from ..functions.text import joined
-from ..operators import dedupe, locate, state
+from ..operators import audit, dedupe, locate, state
 from . import adapters
 
 
@@ -19,14 +20,24 @@ def text_of(df: DataFrame) -> Column:
     return joined(F.col("name"), F.col("address"), F.col("description"))
 
 
-def filters(df: DataFrame, text: str | None = None, source: str | None = None, area: str | None = None, open_at: tuple[int, int] | None = None, least: float | None = None) -> DataFrame:
-    """The interactive filters; open now does not apply to rows from lists, nor the least score to rated rows."""
-    if text:
-        df = df.filter(F.contains(text_of(df), F.lit(text.lower())))
-    if source:
-        df = df.filter(F.col("source") == source)
+def filters(
+    df: DataFrame, text: str | None = None, source: str | None = None, area: str | None = None, open_at: tuple[int, int] | None = None, least: float | None = None, words: Column | None = None, european: list[str] = v.EUROPEAN_COUNTRIES
+) -> DataFrame:
+    """The interactive filters: rows tied to another city and rows that a word of the city excludes always go.
+
+    Open now does not apply to rows from lists, nor the least score to rated rows.  ``words``: the
+    excluding words of a row's city (those that hold everywhere, if none are given).
+    """
+    said = text_of(df)
+    df = df.filter(~decisions.city_locked_out(said, F.col("city")))
+    if text and text.strip():
+        df = df.filter(F.contains(said, F.lit(text.strip().lower())))
+    words = words if words is not None else F.array(*[F.lit(w) for w in v.EXCLUDED_WORDS])
+    df = df.filter(curation.exclusion_word(said, words, curation.is_european(F.col("country"), european)).isNull())
     if area:
         df = df.filter(F.col("area") == area)
+    if source:
+        df = df.filter(audit.source_key(F.col("source")) == source)
     if open_at:
         df = df.filter((F.col("source") == "google") | F.coalesce(decisions.is_open(F.col("opening_hours"), *map(F.lit, open_at)), F.lit(False)))
     if least is not None:
