@@ -91,3 +91,15 @@ def test_redaction_keeps_the_rest(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(df).count() == 0 and pii.redact(df).count() == 0
+
+
+def test_redact_with_clashing_columns_nulls_and_no_rows(spark):
+    rows = [(1, "mail a@b.com now", "c", "s", "m", 5), (2, None, "c", "s", "m", 7), (3, "", "c", "s", "m", 9), (1, "mail a@b.com now", "c", "s", "m", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _candidates string, _spans string, _me string, n_chars int").repartition(2)
+    got = sorted(map(tuple, pii.redact(df).collect()), key=str)
+    assert got == sorted([(1, "mail [EMAIL] now", "c", "s", "m", 16), (2, None, "c", "s", "m", 7), (3, "", "c", "s", "m", 0), (1, "mail [EMAIL] now", "c", "s", "m", 16)], key=str)
+    clash = df.withColumnRenamed("_spans", "row").withColumnRenamed("_me", "candidates")
+    assert pii.redact(clash).columns == clash.columns and {r.row for r in pii.redact(clash).collect()} == {"s"}
+    found = pii.find(clash)
+    assert found.columns == ["doc_id", "_candidates", "row", "candidates", "n_chars", "spans"] and found.count() == 4
+    assert pii.redact(df.limit(0)).count() == 0

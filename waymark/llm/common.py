@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Remainder of crc32(doc_id as text) modulo 3 that is kept out of every fit.
 HELD_OUT_FOLD = 1
 
+#: Tasks that share the work on a labelled sample.
+SAMPLE_PARTS = 32
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables, read by Spark wherever it lies."""
@@ -84,6 +87,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).keep(df)
 
 
+def packed(df: DataFrame, *others: Column, leave: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``df`` (less those of ``leave``) as one struct ``row``, and named columns beside it.
+
+    So an operator's own columns never meet the caller's, whatever those are called.
+    """
+    return df.select(F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c not in leave]).alias("row"), *others)
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    """The caller's columns out of ``row``."""
+    return [F.col("row").getField(c).alias(c) for c in columns]
+
+
 def free_name(wanted: str, *columns: list[str]) -> str:
     """``wanted``, lengthened until none of ``columns`` has it (case does not matter)."""
     taken = {c.lower() for names in columns for c in names}
@@ -120,15 +136,16 @@ def window_hashes(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, y) of at most ``most`` labelled rows of each label, held-out rows never among them.
+    """(text, y) of at most ``most`` labelled ids of each label, held-out ones never among them.
 
-    The rows are the first by hash of their id, so the sample does not depend on the order of the
-    input.  Labels other than 0 and 1 are left out.  A repeated document takes part once a row, up
-    to twice ``most`` rows in all.
+    The ids are the first by their hash, so the sample does not depend on the order of the input, and
+    an id counts once a label: of documents that share it the least text.  Labels other than 0 and 1
+    are left out.  The bound is on the labels; their documents are spread over ``SAMPLE_PARTS`` tasks.
     """
     key = F.col(f"`{doc_id}`")
     y = F.col(f"`{label}`").cast("int")
-    known = labels.filter(key.isNotNull() & y.isin(0, 1) & ~held_out(key)).select(key.alias("_id"), y.alias("y"))
+    known = labels.filter(key.isNotNull() & y.isin(0, 1) & ~held_out(key)).select(key.alias("_id"), y.alias("y")).distinct()
     chosen = [known.filter(F.col("y") == v).orderBy(F.xxhash64("_id"), "_id").limit(most) for v in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * most rows of two numbers
-    return docs.select(key.alias("_doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(few, F.col("_doc") == F.col("_id")).select("text", "y").limit(2 * most)
+    found = docs.select(key.alias("_doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(few, F.col("_doc") == F.col("_id"))
+    return found.groupBy("_id", "y").agg(F.min("text").alias("text")).select("text", "y").repartition(SAMPLE_PARTS)

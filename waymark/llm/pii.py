@@ -8,7 +8,8 @@ over features of the span and its surroundings).  Candidates of the four base ki
 strict form are always spans; the classifier decides on all others.
 
 Null texts count as empty.  An empty table or one without candidates gives no added spans.
-Positions count code points, the end exclusive.  Repeated rows give repeated results.
+Positions count code points, the end exclusive.  Repeated rows give repeated results.  Other columns
+may have any names; one called spans is replaced by the result of ``find``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table, without
+from .common import cut_lineage, packed, table, unpacked
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn", "local_phone", "iban")
@@ -234,15 +235,20 @@ def _listed(spans: Column) -> Column:
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row the other columns (not the text) and its spans; fits on all rows first."""
-    found = cut_lineage(add_candidates(without(docs, "candidates", "spans"), text).drop(text))
-    return add_spans(found, fit(found))
+    kept = [c for c in docs.columns if c != text and c.lower() != "spans"]
+    found = cut_lineage(add_candidates(packed(docs, F.col(f"`{text}`").alias("text"), leave=(text,))).drop("text"))
+    return add_spans(found, fit(found)).select(*unpacked(kept), "spans")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with each span replaced by its kind in brackets; n_chars, if there, is renewed."""
-    model = fit(cut_lineage(add_candidates(docs.select(F.col(f"`{text}`").alias("t")), "t").select("candidates")))
-    t, spans = F.col(f"`{text}`"), F.col("_spans")
-    df = add_spans(add_candidates(docs, text, "_candidates"), model, "_candidates", "_spans")
+    """The documents with each span replaced by its kind in brackets; n_chars, if there, is renewed.
+
+    The candidates are found once and written with the documents.  A null text has no spans and stays
+    null, as its n_chars stays what it was.
+    """
+    found = cut_lineage(add_candidates(packed(docs, F.col(f"`{text}`").alias("text"))))
+    df = add_spans(found, fit(found))
+    t, spans = F.col("text"), F.col("spans")
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -253,11 +259,12 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     def end(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t)))
 
-    clean = F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, end)).otherwise(t)
-    out = df.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast(docs.schema["n_chars"].dataType))
-    return out
+    df = df.select("row", F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, end)).otherwise(t).alias("clean"))
+    new = {text: F.col("clean").alias(text)}
+    if "n_chars" in docs.columns and text != "n_chars":
+        old = F.col("row").getField("n_chars")
+        new["n_chars"] = F.coalesce(F.length("clean").cast(docs.schema["n_chars"].dataType), old).alias("n_chars")
+    return df.select(*[new.get(c, o) for c, o in zip(docs.columns, unpacked(docs.columns), strict=True)])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
