@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -65,3 +67,18 @@ def test_empty_and_wordless(spark):
     df = spark.createDataFrame([(1, "a", "")], "doc_id long, source string, text string")
     assert mixing.mix(df.limit(0)).count() == 0
     assert mixing.mix(df).first().target == 0
+
+
+def test_mixed_keeps_clashing_columns_and_repeats(spark):
+    text = lambda i: " ".join([f"w{i}"] * (5 + i % 7))
+    rows = [(i % 40, text(i % 40), f"s{i % 3}", "a", "b", i % 40) for i in range(80)] + [(None, None, None, "a", "b", 0)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _size string, row string, h long").repartition(3)
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r.doc_id, r.source] += r.copies
+    got = mixing.mixed(df)
+    assert got.columns == df.columns
+    out = got.collect()
+    assert Counter((r.doc_id, r.source) for r in out) == Counter({k: n for k, n in want.items() if n})
+    assert all((r._size, r.row) == ("a", "b") and (r.doc_id is None or r.h == r.doc_id and r.text == text(r.doc_id)) for r in out)
+    assert mixing.mixed(df.limit(0)).count() == 0

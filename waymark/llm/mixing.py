@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, n_words, table
+from .common import cut_lineage, n_words, packed, table, unpacked
 
 WEIGHTS, SHARE, MOST_REPEATS = (3, 1, 2), 1.5, 2.0
 #: Documents flown together.
@@ -109,15 +109,16 @@ def _with_source(df: DataFrame, per_source: DataFrame, few: bool) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Per document doc_id, source, size, source_size, target, taken (words) and copies (0, 1 or 2)."""
-    sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"))
+    """Per document doc_id, source, size, source_size, target, taken (words), copies (0, 1 or 2) and h (its hash)."""
+    key, of, t = F.col(f"`{doc_id}`"), F.col(f"`{source}`"), F.col(f"`{text}`")
+    sized = docs.select(key.alias("doc_id"), of.alias("source"), n_words(t).alias("size"), F.xxhash64(key, of, t).alias("h"))
     per_source = cut_lineage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("left"))))
     few = per_source.count() <= FEW_SOURCES
     sized = _with_source(sized, per_source, few)
     # the documents of a source without words are expected as often as those of an average source
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(SHARE))
     sized = sized.withColumn("sure", F.floor(rate + _EPS).cast("int")).withColumn("p", F.greatest(rate - F.col("sure"), F.lit(0.0)))
-    flown, level, done = sized.withColumn("h", F.xxhash64("doc_id", "source", "size")), 0, None
+    flown, level, done = sized, 0, None
     while True:
         blocks = F.greatest(F.ceil(F.col("left") / block), F.lit(1))
         flown = flown.withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), blocks)).withColumn("last", F.col("left") <= block)
@@ -140,19 +141,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
             break
         flown, level = _with_source(flown, flown.groupBy("source").agg(F.count(F.lit(1)).alias("left")), few), level + 1
     done = done.withColumn("copies", F.col("sure") + F.col("p").cast("int"))
-    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "h")
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents of the mix, all columns, each row as often as the mix takes it."""
-    chosen = mix(docs, doc_id, source, text).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), F.col("copies").alias("_copies"))
-    # rows with the same id, source and size are told apart by number
-    chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_source", "_words").orderBy(F.desc("_copies"))))
-    own = Window.partitionBy(F.col(f"`{doc_id}`"), F.col(f"`{source}`"), "_size").orderBy(F.xxhash64(F.col(f"`{text}`")))
-    rows = docs.withColumn("_size", n_words(F.col(f"`{text}`"))).withColumn("_number", F.row_number().over(own))
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & F.col(f"`{source}`").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words")) & (F.col("_number") == F.col("_n"))
-    taken = rows.join(chosen.filter("_copies > 0"), same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # a document is known by the hashes of its id, source and text; equal rows are told apart by number
+    second = lambda i, o: F.xxhash64(F.lit(2), i, o)
+    chosen = mix(docs, doc_id, source, text).select("h", second(F.col("doc_id"), F.col("source")).alias("g"), "copies")
+    chosen = chosen.withColumn("nth", F.row_number().over(Window.partitionBy("h", "g").orderBy(F.desc("copies")))).filter("copies > 0")
+    key, of, t = F.col(f"`{doc_id}`"), F.col(f"`{source}`"), F.col(f"`{text}`")
+    rows = packed(docs, F.xxhash64(key, of, t).alias("h"), second(key, of).alias("g"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("h", "g").orderBy("h")))
+    taken = rows.join(chosen, ["h", "g", "nth"]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return taken.select(*unpacked(docs.columns))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
