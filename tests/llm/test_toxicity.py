@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from waymark.llm import toxicity as m
 from waymark.llm.common import held_out
@@ -35,6 +36,16 @@ def test_held_out_accuracy_and_reruns(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.score < m.THRESHOLD for r in out)
 
 
+def test_clashing_columns_and_repeated_ids(spark):
+    docs, labels = corpus(spark, 60)
+    clash = docs.withColumn("_toxicity", F.lit("mine")).withColumn("_id", F.lit("its")).withColumn("y", F.lit(1))
+    got = m.reject_toxic(clash, labels)
+    assert got.columns == clash.columns and {(r._toxicity, r._id, r.y) for r in got.collect()} == {("mine", "its", 1)}
+    many = docs.unionByName(docs.filter("doc_id < 10")).unionByName(docs.filter("doc_id < 10"))
+    one, three = m.train(docs, labels), m.train(many, labels.unionByName(labels))
+    assert np.array_equal(one.buckets, three.buckets) and np.allclose(one.weights, three.weights)
+
+
 def test_no_labels_and_no_rows(spark):
     docs, labels = corpus(spark, 20)
     assert {r.score for r in m.score(docs, m.train(docs, labels.limit(0))).collect()} == {0.5}
@@ -42,8 +53,9 @@ def test_no_labels_and_no_rows(spark):
 
 
 def test_hits_are_distinct_and_stay_within_rows():
-    texts = [m._bytes("abcabc"), m._bytes(""), m._bytes("Abcd")]
+    texts = [m._bytes("abcabc"), m._bytes(""), m._bytes("Abcd"), m._bytes("éèé日本")]
     row, feature = m.hits(texts)
     for i, t in enumerate(texts):
+        t = t.decode("utf-32-le")
         want = {t[a : a + n] for n in m.SIZES for a in range(len(t) - n + 1)}
         assert (row == i).sum() == len(want)

@@ -1,12 +1,13 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-The n-grams (of UTF-8 bytes, lower case) are hashed.  On a bounded labelled sample each bucket's
+The n-grams (of code points, lower case) are hashed.  On a bounded labelled sample each bucket's
 document counts give its log-count ratio r; the buckets whose share differs most between the labels
 are kept, and a logistic regression is fitted on features that are r where the n-gram occurs.  The
 score of a text uses its distinct n-grams, from the whole text.
 
 Null texts count as empty and get the bias alone.  Without labelled rows every score is 0.5, and a
 sample of one label only gives that label's smoothed share.  Repeated rows get repeated results.
+Other columns may have any names; one called as the result is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, held_out, labelled_sample, pack, table, window_hashes, without
+from .common import cut_lineage, free_name, held_out, labelled_sample, pack, table, window_hashes, without
 
 BUCKETS, SIZES, KEPT = 1 << 20, (3, 4, 5, 6), 2048
 #: The bound of the labelled sample: rows of each label.
@@ -27,7 +28,7 @@ MOST_LABELLED = 3000
 THRESHOLD = 0.7
 
 
-def _slices(texts: list[bytes], most: int = 500_000) -> Iterator[list[bytes]]:
+def _slices(texts: list[bytes], most: int = 2_000_000) -> Iterator[list[bytes]]:
     part, size = [], 0
     for t in texts:
         if part and size + len(t) > most:
@@ -40,7 +41,8 @@ def _slices(texts: list[bytes], most: int = 500_000) -> Iterator[list[bytes]]:
 
 
 def _bytes(text: str | None) -> bytes:
-    return b" " + (text or "").lower().encode() + b" "
+    """Code points of a text, four bytes each, a space before and after."""
+    return f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass")
 
 
 def hits(texts: list[bytes], place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +52,7 @@ def hits(texts: list[bytes], place: np.ndarray | None = None) -> tuple[np.ndarra
     the features.
     """
     data, ends = pack(texts)
+    data, ends = data.view(np.uint32), ends // 4
     keys = []
     for size in SIZES:
         bucket = (window_hashes(data, size) & np.uint32(BUCKETS - 1)).astype(np.int32)
@@ -159,8 +162,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier does not reject, with the input's columns."""
-    scored = score(docs, train(docs, labels), into="_toxicity")
-    return scored.filter(F.col("_toxicity") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    into = free_name("_toxicity", docs.columns)
+    scored = score(docs, train(docs, labels), into=into)
+    return scored.filter(F.col(into) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
