@@ -12,7 +12,7 @@ Other columns may have any names; one called as the result is replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ MOST_LABELLED = 3000
 THRESHOLD = 0.7
 
 
-def _slices(texts: list[bytes], most: int = 2_000_000) -> Iterator[list[bytes]]:
+def _slices(texts: Iterable[bytes], most: int = 2_000_000) -> Iterator[list[bytes]]:
     part, size = [], 0
     for t in texts:
         if part and size + len(t) > most:
@@ -72,7 +72,7 @@ def _counts(sample: DataFrame) -> DataFrame:
         total = np.zeros((2, BUCKETS), dtype=np.int64)
         for batch in batches:
             for y, group in batch.groupby("y"):
-                for part in _slices([_bytes(t) for t in group["text"]]):
+                for part in _slices(map(_bytes, group["text"])):
                     total[int(y)] += np.bincount(hits(part)[1], minlength=BUCKETS)
         at = np.flatnonzero(total.any(axis=0))
         yield pd.DataFrame({"bucket": at, "pos": total[1][at], "neg": total[0][at]})
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         place = model.place()
         for batch in batches:
             on = []
-            for part in _slices([_bytes(t) for t in batch["text"]]):
+            for part in _slices(map(_bytes, batch["text"])):
                 row, feature = hits(part, place)
                 on += np.split(feature.astype(np.int32), np.searchsorted(row, np.arange(1, len(part))))
             yield pd.DataFrame({"y": batch["y"].to_numpy(), "on": on})
@@ -154,7 +154,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = model.place()
         for batch in batches:
-            found = [model.score(part, place) for part in _slices([_bytes(t) for t in batch[text]])]
+            found = [model.score(part, place) for part in _slices(map(_bytes, batch[text]))]
             yield batch.assign(**{into: np.concatenate(found) if found else np.zeros(0)})[schema.names]
 
     return kept.mapInPandas(run, schema)
