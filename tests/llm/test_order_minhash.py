@@ -65,14 +65,14 @@ def test_selection_equals_brute_force(spark):
     names = [f"g{d}" for d in range(o.K)]
     h = F.xxhash64(*names).bitwiseAND(F.lit(o._HIGH))
     hashed = spark.createDataFrame(kmers, "i int, p int, " + ", ".join(f"{n} string" for n in names) + ", n int")
-    hashed = hashed.select("i", "p", F.when(F.col("n") == 0, h).otherwise(F.xxhash64(h, "n").bitwiseAND(F.lit(o._HIGH))).alias("h")).collect()
+    hashed = hashed.select("i", "p", F.when(F.col("n") == 0, h).otherwise(F.xxhash64(h.bitwiseAND(F.lit(o._TOP)), "n").bitwiseAND(F.lit(o._HIGH))).alias("h")).collect()
     tuples = []
     for i, _ in rows:
         own = sorted((x.h | x.p, x.p) for x in hashed if x.i == i)
         for j, point in enumerate(o._points(o.ENTRIES)):
             later = [x for x in own if x[0] >= point] + [x for x in own if x[0] < point]
             first = sorted(later[: o.L], key=lambda x: x[1])
-            tuples.append((i, j, [((x[0] % 2**64) >> 25) for x in first]))
+            tuples.append((i, j, [((x[0] % 2**64) >> 33) for x in first]))
     want = spark.createDataFrame(tuples, "i int, j int, t array<long>").select("i", "j", F.when(F.size("t") == 0, F.lit(0)).otherwise(F.shiftright(F.xxhash64("t"), 32).cast("int")).alias("e")).collect()
     for r in want:
         assert got[r.i][r.j] == r.e, (r.i, r.j)
@@ -91,6 +91,41 @@ def test_likeness_follows_edit_distance(spark):
     assert same == 1 and one > 0.8 and one > half > 0.2 and none < 0.05
 
 
+def test_places_may_take_more_bits(spark, monkeypatch):
+    """As they do in texts of over 2**24 k-mers: the same fingerprints, whatever the bits of a place."""
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(given())], "i int, text string")
+    want = {r.i: list(r.sig) for r in o.add_signature(df, "text", "sig").collect()}
+    monkeypatch.setattr(o, "PLACE_BITS", 3)
+    assert {r.i: list(r.sig) for r in o.add_signature(df, "text", "sig").collect()} == want
+
+
+def test_next_of_uneven_hot_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(o, "BLOCK_ROWS", 8)
+    r = random.Random(3)
+    ids = [*range(100), 10**15, -(10**12), *[50] * 120, *[None] * 90, *r.sample(range(10**9, 2 * 10**9), 60)]
+    rows = [(i, f"text {n % 250}", n) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, b int").repartition(4)
+    hashed = {x.text: x.h for x in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), hashed[x[1]]))
+    want = sorted((str(a[0]), a[1], b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    got = o.with_next(df, "doc_id", "text", "text", "b")
+    assert got.columns == ["doc_id", "text", "b", "next_text", "next_b"]
+    got = got.collect()
+    assert sorted((str(x.doc_id), x.text, x.next_text) for x in got) == want
+    cuts, hot = o._cuts(df, "doc_id")
+    assert len(cuts) > 15 and hot.get(50, 0) > 5
+    assert o._place(list(range(0, 3000, 3)), F.lit(7)) is not None
+    at = spark.range(20).select("id", o._place(list(range(0, 30, 3)), F.col("id"), width=4).alias("n")).collect()
+    assert all(x.n == x.id // 3 + 1 for x in at)
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "a b c d", 7, "x"), (2, "a b", 8, "y")], "doc_id long, text string, row int, t string")
+    out = o.with_next(o.add_signature(df, "text", "sig"), "doc_id", "text", "sig")
+    assert out.columns == ["doc_id", "text", "row", "t", "sig", "next_sig"]
+    assert sorted((r.doc_id, r.row, r.t) for r in out.collect()) == [(1, 7, "x"), (2, 8, "y")]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, sig string")
-    assert o.with_next(o.add_signature(df, "text", "sig"), "doc_id", "text", "sig").count() == 0
+    assert o.with_next(o.add_signature(df, "text", "sig"), "doc_id", "text", "text", "sig").count() == 0

@@ -8,8 +8,9 @@ are hashed to the entry.  Two texts agree in an entry if they select the same k-
 order, so the share of equal entries falls with the edit distance, not only with the set overlap.
 
 A text without words or characters (null counts as empty) has the fingerprint of zeros; two such
-texts are fully alike.  Texts of up to 2**24 k-mers keep their full order.  Equal texts have equal
-fingerprints.  Repeated ids are ordered by their texts' hashes, null ids come last.
+texts are fully alike.  Equal texts have equal fingerprints, however long.  Repeated ids are ordered
+by their texts' hashes, null ids come last.  Other columns are kept, whatever their names, except
+those named as a result, which are replaced.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, packed, table, unpacked
 
 K, L, ENTRIES = 3, 2, 32
-#: Rows that are ordered together, and the most such blocks (their table is broadcast).
-BLOCK_ROWS, MOST_BLOCKS = 1024, 65_536
-_LOW = (1 << 24) - 1
-_HIGH = ~_LOW
+#: Rows that are ordered together, and the most such blocks (their table is broadcast); sampled ids for each cut between blocks.
+BLOCK_ROWS, MOST_BLOCKS, PER_CUT = 1024, 65_536, 64
+#: Bits of a place in a text; longer texts take as many as their places need.
+PLACE_BITS = 24
+_HIGH = ~((1 << PLACE_BITS) - 1)
+_TOP = ~((1 << 32) - 1)
 
 
 def _range(n: Column) -> Column:
@@ -42,38 +45,44 @@ def add_signature(df: DataFrame, text: str, into: str, k: int = K, l: int = L, e
     Every step is a column of its own that later steps read more than once: so the optimizer keeps
     the steps apart, and an array is made once and not once an element.
     """
-    others = [F.col(f"`{c}`") for c in df.columns if c != into]
-    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    df = df.select(*others, F.regexp_extract_all(content, F.lit(WORD), F.lit(0)).alias("_u"))
-    u = F.col("_u")
-    df = df.select(*others, F.when(F.size(u) >= k, u).when(content == "", F.array().cast("array<string>")).otherwise(F.split(content, "")).alias("_u"))
-    # k-mer hashes, the upper 40 bits, with the place in the text in the lower 24, sorted
+    kept = [c for c in df.columns if c.lower() != into.lower() or c == text]
+    df = packed(df, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    content = F.col("t")
+    df = df.select("row", "t", F.regexp_extract_all(content, F.lit(WORD), F.lit(0)).alias("u"))
+    u = F.col("u")
+    df = df.select("row", F.when(F.size(u) >= k, u).when(content == "", F.array().cast("array<string>")).otherwise(F.split(content, "")).alias("u"))
     n = F.when(F.size(u) > 0, F.greatest(F.size(u) - k + 1, F.lit(1))).otherwise(F.lit(0))
+    df = df.select("row", "u", n.alias("n"))
+    df = df.select("row", "u", "n", (F.expr(f"shiftleft(1L, greatest({PLACE_BITS}, length(bin(cast(n as bigint)))))") - 1).alias("low"))
+    low = F.col("low")
+    high = F.bitwise_not(low)
+    # k-mer hashes, with the place in the text in their low bits, sorted
     kmer = lambda i: F.xxhash64(*[F.get(u, i + d) for d in range(k)])
-    df = df.select(*others, F.sort_array(F.transform(_range(n), lambda i: kmer(i).bitwiseAND(F.lit(_HIGH)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(_LOW))))).alias("_p"))
-    p = F.col("_p")
+    df = df.select("row", "low", F.sort_array(F.transform(_range(F.col("n")), lambda i: kmer(i).bitwiseAND(high).bitwiseOR(i.cast("long")))).alias("p"))
+    p = F.col("p")
     # where a run of equal k-mers begins
-    new = lambda i: (i == 0) | (F.shiftrightunsigned(F.get(p, i).bitwiseXOR(F.get(p, i - 1)), 24) != 0)
-    df = df.select(*others, p, F.filter(_range(F.size(p)), new).alias("_s"))
-    s = F.col("_s")
+    new = lambda i: (i == 0) | (F.get(p, i).bitwiseXOR(F.get(p, i - 1)).bitwiseAND(high) != 0)
+    df = df.select("row", "low", "p", F.filter(_range(F.size(p)), new).alias("s"))
+    s = F.col("s")
     # the second and later occurrences get hashes of their own
     numbered = lambda j, first: F.when(j == first, F.get(p, j)).otherwise(
-        F.xxhash64(F.get(p, j).bitwiseAND(F.lit(_HIGH)), j - first).bitwiseAND(F.lit(_HIGH)).bitwiseOR(F.get(p, j).bitwiseAND(F.lit(_LOW)))
+        F.xxhash64(F.get(p, j).bitwiseAND(F.lit(_TOP)), j - first).bitwiseAND(high).bitwiseOR(F.get(p, j).bitwiseAND(low))
     )
     run = lambda first, r: F.transform(F.sequence(first, F.coalesce(F.get(s, r + 1), F.size(p)) - 1), lambda j: numbered(j, first))
-    df = df.select(*others, F.when(F.size(s) == F.size(p), p).otherwise(F.sort_array(F.flatten(F.transform(s, run)))).alias("_q"))
-    q = F.col("_q")
+    df = df.select("row", "low", F.when(F.size(s) == F.size(p), p).otherwise(F.sort_array(F.flatten(F.transform(s, run)))).alias("q"))
+    q = F.col("q")
     points = F.array(*[F.lit(x) for x in _points(entries)])
-    df = df.select(*others, q, F.sort_array(F.concat(q, points)).alias("_a"))
-    a = F.col("_a")
+    df = df.select("row", "low", "q", F.sort_array(F.concat(q, points)).alias("a"))
+    a = F.col("a")
     # hashes before each point: its place among the hashes and points, less the points before it
-    df = df.select(*others, q, F.when(F.size(a) > entries, F.transform(points, lambda x, j: (F.array_position(a, x) - 1 - j).cast("int"))).alias("_i"))
+    df = df.select("row", "low", "q", F.when(F.size(a) > entries, F.transform(points, lambda x, j: (F.array_position(a, x) - 1 - j).cast("int"))).alias("i"))
     m = F.size(q)
-    by_place = lambda x: F.shiftleft(x.bitwiseAND(F.lit(_LOW)), 39).bitwiseOR(F.shiftrightunsigned(x, 25))
+    by_place = lambda x: F.shiftleft(x.bitwiseAND(low), 31).bitwiseOR(F.shiftrightunsigned(x, 33))
     chosen = lambda i: F.sort_array(F.transform(_range(F.least(m, F.lit(l))), lambda t: by_place(F.get(q, F.pmod(i + t, m)))))
-    entry = lambda i: F.shiftright(F.xxhash64(F.transform(chosen(i), lambda x: x.bitwiseAND(F.lit((1 << 39) - 1)))), 32).cast("int")
+    entry = lambda i: F.shiftright(F.xxhash64(F.transform(chosen(i), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)))), 32).cast("int")
     none = F.array_repeat(F.lit(0), entries)
-    return df.select(*others, F.when(F.col("_i").isNull() | (m == 0), none).otherwise(F.transform(F.col("_i"), entry)).alias(into))
+    signature = F.when(F.col("i").isNull() | (m == 0), none).otherwise(F.transform(F.col("i"), entry))
+    return df.select(*unpacked([c for c in kept if c != into]), signature.alias(into))
 
 
 def as_text(signature: str) -> Column:
@@ -86,31 +95,70 @@ def likeness(a: str, b: str, entries: int = ENTRIES) -> Column:
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / F.lit(float(entries))
 
 
-def with_next(df: DataFrame, doc_id: str, *columns: str) -> DataFrame:
+def _cuts(df: DataFrame, doc_id: str) -> tuple[list[int], dict[int, int]]:
+    """Ids at which blocks begin, ascending, and of ids that fill several blocks how many.
+
+    They are quantiles of a sample of ids, so that any distribution is dealt evenly.  Cuts decide which
+    task orders which rows; no result depends on them.
+    """
+    key = F.col(f"`{doc_id}`").cast("double")
+    n = df.count()
+    blocks = max(1, min(MOST_BLOCKS, n // BLOCK_ROWS))
+    if blocks == 1:
+        return [], {}
+    some = df.select(key.alias("id")).filter("id is not null")
+    if n > 2 * blocks * PER_CUT:
+        some = some.sample(blocks * PER_CUT / n, seed=5)
+    found = some.approxQuantile("id", [i / blocks for i in range(1, blocks)], 1 / (4 * blocks))
+    times: dict[int, int] = {}
+    for c in found:
+        times[int(c)] = times.get(int(c), 0) + 1
+    return sorted(times), {c: k for c, k in times.items() if k > 1}
+
+
+def _place(sorted_: list[int], x: Column, width: int = 256) -> Column:
+    """How many of the sorted numbers are at most ``x``: by the first of each ``width`` of them, then among those."""
+    parts = [sorted_[i : i + width] for i in range(0, len(sorted_), width)]
+    longs = lambda xs: F.array(*[F.lit(c).cast("long") for c in xs]) if xs else F.array().cast("array<bigint>")
+    up_to = lambda xs: F.size(F.filter(xs, lambda c: c <= x))
+    if len(parts) <= 1:
+        return up_to(longs(sorted_))
+    part = up_to(longs([p[0] for p in parts])) - 1
+    return F.when(part < 0, 0).otherwise(part * width + up_to(F.get(F.array(*[longs(p) for p in parts]), part)))
+
+
+def with_next(df: DataFrame, doc_id: str, text: str, *columns: str) -> DataFrame:
     """Add ``next_<column>``: the value in the next row by descending id; after the last comes the first.
 
-    Rows are dealt by ranges of ids into at most ``MOST_BLOCKS`` blocks and ordered within; the first
-    row of each block also goes to the block before it.  The ids alone are read for that.
+    Rows of one id are ordered by the hash of ``text``, null ids come last.  Rows are dealt into blocks at
+    sampled ids (those of a frequent id, and those without one, by their text's hash) and ordered within;
+    the first row of each block also goes to the block before it.
     """
-    key = F.col(f"`{doc_id}`")
-    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n")).first()
-    high, width = ends.high or 0, float((ends.high or 0) - (ends.low or 0) + 1)
-    blocks = max(1, min(MOST_BLOCKS, ends.n // BLOCK_ROWS))
-    block = F.coalesce(F.least(F.floor((F.lit(high).cast("double") - key.cast("double")) / F.lit(width) * blocks), F.lit(blocks - 1)), F.lit(blocks)).cast("int")
-    by_block = Window.orderBy("_b")
-    firsts = df.select(key.alias("_first"), block.alias("_b")).groupBy("_b").agg(F.max("_first").alias("_first"))
-    last = F.max("_b").over(Window.partitionBy(F.lit(0)))
-    firsts = firsts.select("_first", F.coalesce(F.lag("_b").over(by_block), last).alias("_before"))
-    rows = df.withColumn("_b", block).join(F.broadcast(firsts), key.eqNullSafe(F.col("_first")), "left").drop("_first")
-    here, before = F.struct(F.col("_b").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("_before").alias("b"), F.lit(1).alias("guest"))
-    rows = rows.withColumn("_at", F.explode(F.when(F.col("_before").isNull(), F.array(here)).otherwise(F.array(here, before)))).drop("_b", "_before")
-    order = Window.partitionBy("_at.b").orderBy(F.col("_at.guest"), key.desc_nulls_last(), *[F.xxhash64(F.col(f"`{c}`")) for c in columns])
-    return rows.withColumns({f"next_{c}": F.lead(F.col(f"`{c}`")).over(order) for c in columns}).filter("_at.guest = 0").drop("_at")
+    key, h = F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.col(f"`{text}`"))
+    cuts, hot = _cuts(df, doc_id)
+    share = lambda parts: F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * parts), parts - 1)
+    several = F.create_map(*[x for c, k in hot.items() for x in (F.lit(c).cast("long"), F.lit(k))]) if hot else F.create_map().cast("map<bigint,int>")
+    within = F.coalesce(share(F.try_element_at(several, F.col("id")).cast("long")) + 1, F.lit(0))
+    # blocks in the order of descending ids, those of null ids last
+    number = (len(cuts) - _place(cuts, F.col("id"))).cast("long") * (1 << 20) + within
+    block = F.when(F.col("id").isNull(), F.lit((len(cuts) + 1) << 20) + share(F.lit(len(cuts) + 1))).otherwise(number)
+    rows = packed(df, key.alias("id"), h.alias("h"), *[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)]).withColumn("b", block.cast("long"))
+    firsts = rows.groupBy("b").agg(F.max(F.struct("id", F.bitwise_not("h").alias("down"))).alias("first"))
+    by_block, everything = Window.orderBy("b"), Window.partitionBy(F.lit(0))
+    firsts = firsts.select(F.col("first.id").alias("_id"), F.bitwise_not("first.down").alias("_h"), F.col("b").alias("_b"), F.coalesce(F.lag("b").over(by_block), F.max("b").over(everything)).alias("before"))
+    met = (F.col("b") == F.col("_b")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    rows = rows.join(F.broadcast(firsts), met, "left")  # one row a block
+    here, before = F.struct(F.col("b").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("b"), F.lit(1).alias("guest"))
+    rows = rows.select("row", "id", "h", *[f"v{i}" for i in range(len(columns))], F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, before))).alias("at"))
+    order = Window.partitionBy("at.b").orderBy(F.col("at.guest"), F.col("id").desc_nulls_last(), "h")
+    rows = rows.withColumns({f"n{i}": F.lead(f"v{i}").over(order) for i in range(len(columns))}).filter("at.guest = 0")
+    names = [f"next_{c}" for c in columns]
+    return rows.select(*unpacked([c for c in df.columns if c not in names]), *[F.col(f"n{i}").alias(n) for i, n in enumerate(names)])
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(add_signature(docs, "text", "sig"), "doc_id", "text", "sig")
+    rows = with_next(add_signature(docs, "text", "sig"), "doc_id", "text", "text", "sig")
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
