@@ -80,7 +80,7 @@ def _counts(sample: DataFrame) -> DataFrame:
     return sample.mapInPandas(run, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, rounds: int = 200) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, rounds: int = 400) -> np.ndarray:
     """Weights and, last, the bias, by accelerated gradient descent; the same each time."""
     n, k = x.shape
     x = np.column_stack([x, np.ones(n, dtype=x.dtype)])
