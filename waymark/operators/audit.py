@@ -37,16 +37,14 @@ def keyword_groups(places: DataFrame, keyword: Column, name: str = "name", city:
 
 
 def fallback(parts: list[DataFrame], filtered: bool) -> DataFrame:
-    """The rows of the first part that has any; with active filters only the first part counts.
+    """The rows of the first part that has any, with its number as stage; with active filters only the first part counts.
 
-    One pass: the parts are joined as a union with their rank, and the least rank that is there is kept.
+    Whether a part has rows is asked for one after the other, each time up to the first row.
     """
-    if filtered:
-        return parts[0].withColumn("stage", F.lit(0))
-    whole = parts[0].withColumn("stage", F.lit(0))
-    for i, p in enumerate(parts[1:], 1):
-        whole = whole.unionByName(p.withColumn("stage", F.lit(i)))
-    return whole.join(F.broadcast(whole.agg(F.min("stage").alias("_first"))), F.col("stage") == F.col("_first")).drop("_first")
+    stage = 0
+    while not filtered and stage < len(parts) - 1 and parts[stage].isEmpty():
+        stage += 1
+    return parts[stage].withColumn("stage", F.lit(stage))
 
 
 def missing_address(address: Column) -> Column:

@@ -47,7 +47,7 @@ def duplicate_pairs(places: DataFrame, id_: str = "id", city: str = "city") -> D
     """
     base = places.select(F.col(id_).alias("id"), "ord", F.col(city).alias("city"), "lat", "lon", place_text(F.col("name")).alias("n"), place_text(F.col("address")).alias("a"))
     left, right = (base.select(*[F.col(c).alias(f"{x}{c}") for c in base.columns]) for x in ("l", "r"))
-    near = radius_join(left, right, FARTHEST, ("llat", "llon"), ("rlat", "rlon")).filter((F.col("lord") < F.col("rord")) & (F.col("lcity") == F.col("rcity")))
+    near = radius_join(left, right, FARTHEST, ("llat", "llon"), ("rlat", "rlon"), (("lcity", "rcity"),)).filter(F.col("lord") < F.col("rord"))
     near = near.withColumn("metres", F.col("km") * 1000)
     ok = alike(F.col("metres"), F.col("ln"), F.col("rn"), F.col("la"), F.col("ra"), profile(F.col("lcity")))
     return near.filter(ok).select(F.col("lid").alias("a"), F.col("rid").alias("b"), "metres")

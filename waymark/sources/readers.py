@@ -14,6 +14,10 @@ SEEDED = "name string, address string, source string, isSpecialty boolean, needs
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents of a path; a path that is not there gives an empty table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(at):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
@@ -98,3 +102,35 @@ def page_links(pages: DataFrame, pattern: str, html: str = "html") -> DataFrame:
 def fresh(cache: DataFrame, as_of: Column, minutes: int = 30) -> DataFrame:
     """Cache rows (ts in milliseconds) that are not older than ``minutes``."""
     return cache.filter(as_of - F.col("ts") <= minutes * 60_000)
+
+
+ENTITY_NAME, ENTITY_DETAILS, ENTITY_ADDRESSES, ENTITY_POINT = 2, 1, (4, 2), 5
+
+
+def entity_list(responses: DataFrame, body: str = "body") -> DataFrame:
+    """Places of list responses, whose JSON holds values by position; broken ones give no rows.
+
+    A line that guards the JSON is dropped.  Of places with the same name and address in lower case the
+    first of a response stays.
+    """
+    text = F.when(F.col(body).startswith(")]}'"), F.regexp_replace(F.col(body), r"^[^\n]*\n", "")).otherwise(F.col(body))
+    at = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    whole = responses.withColumn("_response", F.monotonically_increasing_id()).select("_response", F.try_parse_json(text).alias("v"))
+    items = whole.select("_response", F.posexplode(at(F.col("v"), "$[0][8]", "array<variant>")).alias("pos", "i"))
+    item = F.col("i")
+    said = lambda path: F.nullif(F.trim(at(item, path, "string")), F.lit(""))
+    rows = items.select(
+        "_response", "pos", said(f"$[{ENTITY_NAME}]").alias("name"), F.coalesce(*[said(f"$[{ENTITY_DETAILS}][{k}]") for k in ENTITY_ADDRESSES]).alias("address"),
+        at(item, f"$[{ENTITY_DETAILS}][{ENTITY_POINT}][2]", "double").alias("lat"), at(item, f"$[{ENTITY_DETAILS}][{ENTITY_POINT}][3]", "double").alias("lon"), at(item, f"$[{ENTITY_DETAILS}]", "array<variant>").isNotNull().alias("_ok"),
+    )
+    rows = rows.filter("_ok and name is not null").withColumn("_key", F.concat_ws("|", F.lower("name"), F.lower(F.coalesce("address", F.lit("")))))
+    first = rows.groupBy("_response", "_key").agg(F.min_by(F.struct("pos", "name", "address", "lat", "lon"), "pos").alias("p"))
+    both = F.col("p.lat").isNotNull() & F.col("p.lon").isNotNull()
+    return first.select("p.pos", "p.name", "p.address", F.when(both, F.col("p.lat")).alias("lat"), F.when(both, F.col("p.lon")).alias("lon"))
+
+
+def city_slugs(links: DataFrame, pattern: str, stop: list[str], pages: DataFrame, cafe_link: str, least: int = 8, url: str = "href", html: str = "html") -> DataFrame:
+    """Slugs of city pages: links that match and are not stop words, whose page (slug, html) has ``least`` cafe links."""
+    found = links.select(F.lower(F.regexp_extract(F.col(url), pattern, 1)).alias("slug")).filter(F.col("slug") != "").filter(~F.col("slug").isin(stop)).distinct()
+    counted = pages.select(F.lower("slug").alias("slug"), F.regexp_count(F.col(html), F.lit(cafe_link)).alias("n"))
+    return found.join(counted.filter(F.col("n") >= least), "slug").select("slug", "n").orderBy("slug")

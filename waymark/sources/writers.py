@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,17 @@ def append_log(events: DataFrame, path: str) -> None:
 def report(named: dict[str, DataFrame], path: str) -> None:
     for name, df in named.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def export_manual(places: DataFrame, path: str) -> None:
+    """Manual places as one JSON file: they are a user's own, few enough for one task."""
+    places.coalesce(1).write.mode("overwrite").json(path)
+
+
+def import_manual(spark: SparkSession, path: str, current: DataFrame) -> DataFrame:
+    """The places of an export in place of the current ones; a path without any leaves those as they are."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+        return current
+    new = spark.read.schema(current.schema).json(path)
+    return current if new.isEmpty() else new
