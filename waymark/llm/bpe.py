@@ -1,8 +1,8 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the bytes of a text cuts it into chunks, so that passages which several
-documents share give the same chunks wherever they stand.  A chunk is encoded once by a
-worker and then reused.  A cut may fall inside a word; the word that a join cuts in two is encoded anew as a
+documents share give the same chunks wherever they stand.  A chunk is encoded once a task and
+then reused.  A cut may fall inside a word; the word that a join cuts in two is encoded anew as a
 whole, and the join grows until it reaches white space on both sides.  The vocabulary never merges
 across white space, so from there on the tokens agree exactly with those of the undivided text.
 Tokenizers that keep white space in their tokens are rejected with an error.
@@ -13,7 +13,6 @@ except those named as a result column, which are replaced.  Repeated rows give r
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import os
 from collections.abc import Iterable, Iterator
@@ -29,8 +28,8 @@ from .common import pack, table, without
 
 #: One cut in about so many bytes (a power of two).
 CHUNK_BYTES = 256
-#: Words and chunks that a Python worker keeps, over all its tasks; when more have come, the older half goes before the next texts.
-KEPT_WORDS, KEPT_CHUNKS = 500_000, 50_000
+#: Words and chunks that a task keeps; when more have come, the older half goes before the next texts.
+KEPT_WORDS, KEPT_CHUNKS = 250_000, 20_000
 #: Longer words are encoded each time and not kept.
 LONGEST_KEPT = 200
 #: Stands between words that are encoded in one call; words that hold it are encoded alone.
@@ -168,12 +167,6 @@ class ChunkEncoder:
         return b" ".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-@functools.lru_cache(1)
-def _encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder, which its next tasks use again."""
-    return ChunkEncoder(path)
-
-
 def _slices(texts: list[str], most: int = 4_000_000) -> Iterator[slice]:
     """Runs of texts of about ``most`` characters, one text at least."""
     begin = size = 0
@@ -200,7 +193,7 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ou
     schema = T.StructType([*kept.schema.fields, *extra])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(path)
+        encoder = ChunkEncoder(path)
         for batch in batches:
             texts = batch[text].tolist()
             for part in _slices(texts):
