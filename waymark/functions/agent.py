@@ -9,8 +9,6 @@ from . import vocab as v
 from .curation import first_image
 from .text import domain
 
-NONE = F.lit(None).cast
-
 
 def _full(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
@@ -47,7 +45,7 @@ def sources(website: Column, source_url: Column, map_url: Column, map_link: Colu
         one(website, "website", "website", titled("Official website", site), website, site),
         one(source_url, "source-url", "source_url", F.when(_full(page).isNotNull() & (page == site), F.lit("Source (official site)")).otherwise(titled("Source", page)), source_url, page),
         one(map_url, "google-maps-url", "map", F.lit("Google Maps"), map_url, host(map_url)), one(map_link, "gmaps-link", "map", F.lit("Google Maps"), map_link, host(map_link)),
-        one(source, "source-primary", "dataset", F.upper(source), NONE("string"), NONE("string")),
+        one(source, "source-primary", "dataset", F.upper(source), F.lit(None).cast("string"), F.lit(None).cast("string")),
     ]
     return F.filter(F.array(*found), lambda s: s.isNotNull())
 

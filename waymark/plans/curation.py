@@ -13,7 +13,6 @@ from . import adapters, rank
 from .catalog import _AGENT, _BOOST, _HINTS, _PLACE, _TAGS, _TEXT, SCORED, _agent, _any, _hav, _places, _q, _tagged, query
 
 _LIST = lambda words: "[" + ", ".join(_q(w) for w in words) + "]"
-_none = F.lit(None).cast("string")
 
 
 @query(f"WITH {SCORED} SELECT id, (CASE WHEN ord % 4 = 0 THEN greatest(score, 72) ELSE score END)::DOUBLE AS score, CASE WHEN ord % 4 = 0 THEN 'coffee' ELSE place_type END AS place_type, len(reasons) + CASE WHEN ord % 4 = 0 THEN 1 ELSE 0 END AS n_reasons FROM scored")
@@ -164,14 +163,14 @@ s2 AS (SELECT *, CASE WHEN notes IS NULL AND description = '' AND len(tg) = 0 TH
 
 def _storied(spark, sf):
     p = _tagged(spark, sf).withColumn("site", F.expr(_SITE)).withColumn("page", F.expr(_PAGE)).withColumn("notes", F.expr(_NOTES))
-    return p.withColumn("story", agent.story(F.col("notes"), F.col("description"), F.col("tg"), agent.source_ids(F.col("site"), F.col("page"), F.col("url"), _none)))
+    return p.withColumn("story", agent.story(F.col("notes"), F.col("description"), F.col("tg"), agent.source_ids(F.col("site"), F.col("page"), F.col("url"), F.lit(None).cast("string"))))
 
 
 @query(f"""WITH {SCORED}, {_TAGS}, {_STORY} SELECT id, summary, told || ',' || pref AS cited, array_to_string(list_filter([CASE WHEN site IS NOT NULL THEN 'Official website (' || sd || ')' END, CASE WHEN page IS NOT NULL THEN CASE WHEN pd = '' THEN 'Source' WHEN pd = sd THEN 'Source (official site)' ELSE 'Source (' || pd || ')' END END, 'Google Maps',
   CASE WHEN source <> '' THEN upper(source) END], lambda x: x IS NOT NULL), '|') AS sources, CASE WHEN len(regexp_split_to_array(summary, '\\s+')) BETWEEN 8 AND 45 THEN 'strong' ELSE 'medium' END AS quality FROM s2""")
 def agent_story_sources(spark, sf):
     p = _storied(spark, sf)
-    s = agent.sources(F.col("site"), F.col("page"), F.col("url"), _none, F.col("source"))
+    s = agent.sources(F.col("site"), F.col("page"), F.col("url"), F.lit(None).cast("string"), F.col("source"))
     return p.select("id", "story.summary", F.array_join("story.sources", ",").alias("cited"), F.array_join(F.transform(s, lambda x: x["title"]), "|").alias("sources"), agent.story_quality(F.col("story.summary"), F.col("story.sources")).alias("quality"))
 
 
@@ -180,9 +179,9 @@ def agent_story_sources(spark, sf):
 def agent_merge(spark, sf):
     p, o = _storied(spark, sf), F.col("ord")
     picture = agent.image(F.when(o % 7 == 0, "https://g.example/photo.png").when(o % 7 == 1, "https://g.example/place-photos/AL8x"), [F.when(o % 3 == 5, "x"), F.when(o % 2 == 0, "https://s.example/og.png")], F.col("site"), F.col("page"))
-    found = agent.sources(F.col("site"), F.col("page"), F.col("url"), _none, F.col("source"))
+    found = agent.sources(F.col("site"), F.col("page"), F.col("url"), F.lit(None).cast("string"), F.col("source"))
     computed = F.struct(F.col("story"), found.alias("sources"), F.col("tg").alias("tags"), picture.alias("image"), F.lit(1.0).alias("score"), F.when(F.size("tg") > 0, "scored").otherwise("none").alias("status"))
-    own_image = F.struct(F.when(o % 4 == 1, "https://i.example/own.png").when(o % 4 == 2, "https://g.example/place-photos/AL8y").alias("url"), F.lit("own").alias("source"), _none.alias("attribution"))
+    own_image = F.struct(F.when(o % 4 == 1, "https://i.example/own.png").when(o % 4 == 2, "https://g.example/place-photos/AL8y").alias("url"), F.lit("own").alias("source"), F.lit(None).cast("string").alias("attribution"))
     existing = F.struct(
         F.when(o % 3 == 0, F.struct(F.lit("Mine").alias("summary"), F.array(F.lit("own")).alias("sources"))).alias("story"), F.filter(found, lambda x: F.lit(False)).alias("sources"), F.when(o % 3 == 1, F.array(F.lit("own"))).otherwise(F.array().cast("array<string>")).alias("tags"),
         own_image.alias("image"), F.lit(None).cast("double").alias("score"), F.when(o % 5 == 2, "reviewed").otherwise("none").alias("status"),
