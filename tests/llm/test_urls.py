@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+
 from waymark.llm import urls
 
 
@@ -40,3 +42,32 @@ def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], "url string, label string")
     assert urls.judge(df, labelled=none).count() == 1
     assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_labels_are_no_rows_of_the_given_pages(spark):
+    given = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url")
+    hosts = {urls_host(r.url) for r in given.collect()}
+    assert not hosts & {urls_host(u) for u, _ in urls.LABELLED}
+
+
+def urls_host(url):
+    return plain(url)[0]
+
+
+def test_labels_left_out_in_turn():
+    """Each sixth of the labels is judged by a model of the others."""
+    right = 0
+    parts = [(plain(u)[0], plain(u)[1], label == "block") for u, label in urls.LABELLED]
+    for k in range(6):
+        known, new = [x for i, x in enumerate(parts) if i % 6 != k], [x for i, x in enumerate(parts) if i % 6 == k]
+        w = urls.train([x[0] for x in known], [x[1] for x in known], np.array([x[2] for x in known], dtype=float))
+        right += sum((p >= 0.5) == x[2] for p, x in zip(urls.score(w, [x[0] for x in new], [x[1] for x in new]), new, strict=True))
+    assert right / len(parts) > 0.7, right / len(parts)
+
+
+def test_long_urls_and_clashing_columns(spark):
+    rows = [(1, "http://casino.example/" + "slots/" * 100_000, "h", "r", 3), (2, None, "h", "r", 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, Host string, rule string, path2 int")
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    assert got[1].host == "casino.example" and len(got[1].path) == 600_001 and 0 <= got[1].score <= 1
+    assert (got[2].host, got[2].path, got[2].rule, got[2].path2) == ("", "", None, 3)
