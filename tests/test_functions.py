@@ -118,3 +118,64 @@ def test_decisions(spark):
     al = F.array(F.struct(F.lit("haifa").alias("city_key"), F.lit("haifa").alias("alias")), F.struct(F.lit("tel aviv").alias("city_key"), F.lit("jaffa").alias("alias")))
     assert one(spark, decisions.conflicting_city(F.col("t"), F.lit("haifa"), al), t="zed, jaffa") is True
     assert one(spark, decisions.conflicting_city(F.col("t"), F.lit("haifa"), al), t="zed, jaffa road, haifa") is False
+
+
+def value_of(spark, c):
+    return spark.range(1).select(c.alias("x")).first().x
+
+
+def test_curated_helpers(spark):
+    from waymark.functions import curation as c
+
+    lit, m = F.lit, lambda **k: F.create_map(*[x for a, b in k.items() for x in (F.lit(a), F.lit(b))])
+    assert value_of(spark, c.normal_words(F.array(lit(" A "), lit(""), lit("a"), lit("B")))) == ["a", "b"]
+    assert value_of(spark, c.normal_words(F.array(lit(" ")))) is None
+    assert value_of(spark, c.city_aliases(lit(" Wien "), F.array(lit("vienna"), lit("WIEN")))) == ["wien", "vienna"]
+    assert value_of(spark, c.exclusion_word(lit("a costa coffee house"), F.array(lit("house")), lit(True))) == "costa"
+    assert value_of(spark, c.exclusion_word(lit("a costa coffee house"), F.array(lit("house")), lit(False))) == "house"
+    assert [value_of(spark, c.radius_km(lit(x))) for x in ("Tel Aviv", "Haifa", "Nowhere")] == [5.0, 3.5, 3.5]
+    assert [value_of(spark, c.display_city(lit(x))) for x in ("Ramat Gan", "X")] == ["Ramat Gan-Givataim", "X"]
+    assert [value_of(spark, c.score_badge(c.shown_score(lit(s), lit(r)))) for s, r in ((95.0, 0), (94.0, 5), (79.0, 0), (60.0, 1), (49.9, 0))] == ["top", "high", "mid", "mid", "low"]
+    assert value_of(spark, c.lookup_address(m(street="S", housenumber="5", postcode="100", district="D", countrycode="cz", country="Czechia"))) == "S 5, 100 D, Czech Republic"
+    assert value_of(spark, c.first_image([lit(" "), lit(None).cast("string")], [F.array(lit(""), lit("b.png"))])) == "b.png"
+    assert value_of(spark, c.query_texts((lit("A"), lit("X")), (lit("A"), lit("X"), lit("")), (lit(None).cast("string"),), (lit("B"),))) == ["A, X", "B"]
+    assert [value_of(spark, c.city_of_url(lit(u), {"ny": "New York"})) for u in ("https://s.test/ny/", "https://s.test/tel-aviv/x", "none")] == ["New York", "Tel Aviv", None]
+    texts = ["t0", "t1", "t2", "t3"]
+    assert value_of(spark, c.card_text(lit("abc"), lit("n"), lit(False), texts, ["r"])) == texts[(97 * 31 * 31 + 98 * 31 + 99) % 4]
+    assert value_of(spark, c.card_text(lit(""), lit("n"), lit(True), texts, ["r"])) == "r"
+
+
+def test_agent_helpers(spark):
+    from waymark.functions import agent as a
+
+    lit, none, no_tags = F.lit, F.lit(None).cast("string"), F.array().cast("array<string>")
+    assert value_of(spark, a.first_sentence(lit("  One  two! Three"))) == "One two!"
+    assert len(value_of(spark, a.first_sentence(lit("x" * 300)))) == 180 and value_of(spark, a.first_sentence(none)) == ""
+    assert value_of(spark, a.story(none, none, no_tags, none)) is None
+    s = value_of(spark, a.story(none, lit(""), F.array(lit("pour_over"), lit("v60")), lit("website")))
+    assert (s.summary, s.sources) == ("Known for pour over, v60.", ["tags", "website"])
+    found = value_of(spark, a.sources(lit("https://www.A.example/x"), lit("https://a.example/y"), none, lit("https://maps.example/1"), lit("osm")))
+    assert [(x.id, x.title, x.domain) for x in found] == [("website", "Official website (a.example)", "a.example"), ("source-url", "Source (official site)", "a.example"), ("gmaps-link", "Google Maps", "maps.example"), ("source-primary", "OSM", None)]
+    assert value_of(spark, a.image(lit("https://x/place-photos/AL8z"), [none], none, none)) is None
+    i = value_of(spark, a.image(lit("https://x/place-photos/AL8z"), [lit("w.png")], none, lit("https://www.b.example/")))
+    assert (i.url, i.source, i.attribution) == ("w.png", "website", "b.example")
+    assert [value_of(spark, a.story_quality(lit(t), F.array(lit("notes")))) for t in ("", "short one", "one two three four five six seven eight")] == ["weak", "medium", "strong"]
+    parts = F.array(*[F.struct(lit(k).alias("key"), lit(p).alias("points")) for k, p in (("a", 1.0), ("b", -5.0), ("c", 5.0))])
+    assert [x.key for x in value_of(spark, a.breakdown(parts))] == ["b", "c", "a"]
+
+
+def test_coffee_only_mode(spark):
+    from waymark.functions import decisions as d
+
+    said = lambda text, types=(): value_of(spark, d.list_decision(F.lit(text), F.array(*[F.lit(t) for t in types]).cast("array<string>"), F.lit(None).cast("string"), "coffeeOnly"))
+    assert said("foo coffee").reason == "coffeeOnly match" and said("foo coffee").included
+    assert said("kaffee brunch").reason == "bakery/brunch without strong coffee-leading tags"
+    assert said("kaffee brunch", ["cafe"]).reason == "not classified as coffee"
+    assert said("kaffee").reason == "not classified as coffee"
+
+
+def test_notes_are_cleaned(spark):
+    from waymark.functions.text import clean_notes
+
+    assert value_of(spark, clean_notes(F.lit("imported from X | good | | best"), ["imported from x"])) == "good | best"
+    assert value_of(spark, clean_notes(F.lit("imported from x"), ["imported from x"])) is None
