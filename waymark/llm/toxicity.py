@@ -87,8 +87,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, rounds: int
     w = np.zeros(k + 1)
     ahead, rate = w.copy(), 4.0 / max(float((x.astype(np.float64) ** 2).sum(axis=1).mean()), 1.0)
     for i in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        step = x.T @ (p - y) / n + decay * np.r_[ahead[:-1], 0.0]
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(x.dtype), -30, 30)))
+        step = (p - y).astype(x.dtype) @ x / n + decay * np.r_[ahead[:-1], 0.0]
         new = ahead - rate * step
         ahead = new + i / (i + 3) * (new - w)
         w = new
