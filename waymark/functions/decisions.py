@@ -10,6 +10,9 @@ from .scoring import tag
 from .text import any_of
 
 
+# The reasons below are fixed values: results show them.
+
+
 def _says(included: bool, reason: str) -> Column:
     return F.struct(F.lit(included).alias("included"), F.lit(reason).alias("reason"))
 
