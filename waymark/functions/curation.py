@@ -134,11 +134,11 @@ def city_of_url(url: Column, names: dict[str, str] | None = None) -> Column:
     return F.when(F.try_parse_url(url, F.lit("HOST")).isNotNull(), out)
 
 
-def card_text(id_: Column, name: Column, roaster: Column, texts: Sequence[str], roaster_texts: Sequence[str]) -> Column:
-    """One of the caller's texts, always the same for a place, by the hash of its id or else its name."""
+def card_text(id_: Column, name: Column, roaster: Column, texts: Sequence[str], roaster_texts: Sequence[str], nameless: str = "") -> Column:
+    """One of the caller's texts, always the same for a place, by the hash of its id, else its name, else ``nameless``."""
     from .text import stable_hash
 
-    key = F.coalesce(F.nullif(id_, F.lit("")), F.nullif(name, F.lit("")), F.lit("cuproam"))
+    key = F.coalesce(F.nullif(id_, F.lit("")), F.nullif(name, F.lit("")), F.lit(nameless))
     pick = lambda t: F.element_at(F.array(*[F.lit(x) for x in t]), (stable_hash(key) % len(t) + 1).cast("int"))
     return F.when(roaster, pick(roaster_texts)).otherwise(pick(texts))
 
