@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, mixing, near_dedup, order_minhash, packing, periodic, pii, quality_model, quality_rules, toxicity, urls
+from . import bpe, html, merkle, mixing, near_dedup, order_minhash, packing, periodic, pii, quality_model, quality_rules, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
     "op10_urls": urls.op10_urls,
+    "op11_merkle": merkle.op11_merkle,
     "op13_packing": packing.op13_packing,
     "op12_periodic_runs": periodic.op12_periodic_runs,
 }
