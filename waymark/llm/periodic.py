@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, packed, table, unpacked
+from .common import WORD, cut_lineage, packed, table, unpacked
 
 MIN_WORDS, MIN_EXP = 24, 3
 #: Characters from which on the lags of a text are dealt out, and comparisons of one range of lags.
@@ -140,7 +140,7 @@ def find_runs(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, m
                 left.append(collapsed(words, runs))
             yield finish(batch, n, each, left)
 
-    keyed = rows.filter(is_long).select("row", "text", F.sha2("text", 256).alias("key"))
+    keyed = cut_lineage(rows.filter(is_long).select("row", "text", F.sha2("text", 256).alias("key")))
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("double")
     of = F.greatest(F.lit(1), F.ceil(n * n / (min_exp * piece))).cast("int")
     texts = keyed.select("key", "text").dropDuplicates(["key"]).withColumn("of", of)
