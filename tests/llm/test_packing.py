@@ -23,23 +23,26 @@ def some_texts(seed, n, most):
     return ["".join(r.choice([" ", " ", " ", "\n", "  ", " "]) + w for w in r.choices(words, k=r.randint(1, most)))[r.randint(0, 1) :] for _ in range(n)]
 
 
-def test_encoder_equals_the_library(monkeypatch):
-    monkeypatch.setattr(packing, "KEPT_WORDS", 100)
-    encoder, texts = packing.WordEncoder(packing.default_tokenizer()), ODD + some_texts(1, 80, 120)
-    assert encoder.by_word
-    want = encoded(texts)
-    for _ in range(2):  # with and without known words
-        got = [x for i in range(0, len(texts), 9) for x in encoder.encode(texts[i : i + 9])]
-        assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == want
-        assert len(encoder.words) < 4000 and not any(len(w) > packing.LONGEST_KEPT for w in encoder.words)
-
-
-def test_other_tokenizers_encode_whole_texts():
+def test_encoder_equals_the_library():
+    encoder, texts = packing.Encoder(packing.default_tokenizer()), ODD + some_texts(1, 80, 120)
+    assert encoder.quick is not None and sum(map(encoder._common, texts)) > 5 and not all(map(encoder._common, texts))
+    assert [np.frombuffer(encoder.encode(t), dtype="<u4").tolist() for t in texts] == encoded(texts)
+
+
+def test_both_libraries_agree_on_common_characters():
+    encoder = packing.Encoder(packing.default_tokenizer())
+    texts = [f"a{c}b {c}1{c}{c}.{c} x\n{c}  {c}'s{c}'{c}" for c in map(chr, range(ord(packing.COMMON)))]
+    assert all(map(encoder._common, texts))
+    assert [encoder.quick.encode_ordinary(t) for t in texts] == encoded(texts)
+    assert not encoder._common("x<|endoftext|>") and not encoder._common("é日")
+
+
+def test_other_tokenizers_are_left_to_their_library():
     import public_tokenizers
 
-    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    assert not encoder.by_word
-    assert np.frombuffer(encoder.encode(["Some Text"])[0], dtype="<u4").tolist() == encoder.tokenizer.encode("Some Text", add_special_tokens=False).ids
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.quick is None
+    assert np.frombuffer(encoder.encode("Some Text"), dtype="<u4").tolist() == encoder.tokenizer.encode("Some Text", add_special_tokens=False).ids
 
 
 HISTOGRAMS = [{}, {2048: 5}, {1: 1}, {3: 10**6}, {1100: 10**9, 5: 3}, {700: 10**6, 1100: 10**6 + 3}, {2047: 4}, {k: 10**9 + k * k for k in range(1, 2049)}, {k: k for k in range(1000, 1500)}]

@@ -11,9 +11,10 @@ two, which need no padding.  So padding is below ``SPARE`` tokens a sequence, wh
 Pieces of one length are numbered over all tasks, and the patterns, as a table whose size depends on the
 capacity alone, are joined back to them by length and number.
 
-Texts are encoded where they are read.  Words are cut at single spaces between other characters, where the
-vocabulary never merges, so a word that a task has met is encoded once.  Tokenizers of another kind, and
-texts with other white space next to a space, are encoded whole, with the same result.
+Texts are encoded where they are read.  Texts of common characters are encoded by tiktoken, which is three
+times as fast, with the vocabulary of the tokenizer's own file; a test holds the two against each other on
+each of those characters.  Other texts, and all texts with tokenizers of another kind, are encoded by the
+tokenizers library.
 
 Null and empty texts are the end id alone.  Repeated rows are packed each for themselves.  Very long texts are cut
 into as many pieces as they need.  Empty tables give empty results.  Columns other than id and text play no
@@ -30,7 +31,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -44,12 +44,12 @@ from .common import Scratch, table
 CAPACITY, END = 2048, 1
 #: Room that is left in a pack as padding, and not filled by cutting documents.
 SPARE = 32
-#: Words that a task keeps; when more have come, the older half goes before the next texts.
-KEPT_WORDS = 500_000
-#: Longer words are encoded each time and not kept.
-LONGEST_KEPT = 200
 #: Characters of texts that are encoded together.
 SLICE = 4_000_000
+#: Fixed value: how byte-level vocabularies cut a text before they merge.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters from this one on may be letters to one library and none to the other.
+COMMON = "\u3000"
 
 
 def default_tokenizer() -> str:
@@ -59,10 +59,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class WordEncoder:
-    """Encodes texts as the tokenizers library does; words between single spaces are encoded once."""
-
-    _apart = re.compile(r"(?<=\S) (?=\S)")
+class Encoder:
+    """Encodes texts as the tokenizers library does."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -71,61 +69,45 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[str, bytes] = {}  # ids of a word with a space before it
         kind = json.loads(self.tokenizer.to_str())
-        before = kind["pre_tokenizer"] or {}
-        self.by_word = kind["normalizer"] is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True)
-        self.by_word &= not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in kind["added_tokens"])
-        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)])  # the vocabulary's sign for a space
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode words that have no white space at their ends, many in one call, each with a space before it."""
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            (flat,) = self._whole([" " + " ".join(part)])
-            begins = np.flatnonzero(self.spaced[np.frombuffer(flat, dtype="<u4")]) * 4
-            if len(begins) == len(part):
-                self.words.update(zip(part, [flat[i:j] for i, j in zip(begins, [*begins[1:], len(flat)], strict=True)], strict=True))
-            else:
-                self.words.update(zip(part, self._whole([f" {w}" for w in part]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.by_word:
-            return self._whole(texts)
-        if len(self.words) > KEPT_WORDS:
-            self.words = dict(islice(self.words.items(), len(self.words) - KEPT_WORDS // 2, None))
-        known, out = self.words, []
-        first, words = [], []
-        for t in texts:
-            head, *tail = t.split(" ")
-            first.append(head)
-            words.append(tail)
-        new = set().union(*words).difference(known)
-        odd = {w for w in new if not w or w.strip() != w}
-        beside = [i for i, (head, tail) in enumerate(zip(first, words, strict=True)) if tail and head != head.rstrip() or odd and not odd.isdisjoint(tail)]
-        own: dict[str, bytes] = {}
-        if beside:  # white space beside a space: cut between other characters only
-            for i in beside:
-                first[i], *words[i] = self._apart.split(texts[i])
-            more = set().union(*(words[i] for i in beside)).difference(known)
-            once = [w for w in more if " " in w or w.strip() != w]
-            own = dict(zip(once, self._whole([f" {w}" for w in once]), strict=True))
-            new = new.difference(odd).union(more).difference(once)
-        self._learn(list(new))
-        begin = self._whole(first)
-        for head, tail in zip(begin, words, strict=True):
-            if own and not own.keys().isdisjoint(tail):
-                out.append(head + b"".join([own[w] if w in own else known[w] for w in tail]))
-            else:
-                out.append(head + b"".join(map(known.__getitem__, tail)))
-        for w in [w for w in new if len(w) > LONGEST_KEPT]:
-            del known[w]
-        return out
+        self.added = [t["content"] for t in kind["added_tokens"]]
+        self.quick = _by_rank(kind)
+        self.rare = re.compile(f"[{COMMON}-\U0010ffff]")
+
+    def _common(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if self.rare.search(text):
+                return False
+        return not any(t in text for t in self.added)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        if self.quick is not None and self._common(text):
+            ids = self.quick.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+
+def _by_rank(kind: dict):  # noqa: ANN202
+    """A byte-level vocabulary for the library that merges by id; none for a tokenizer of another kind or order of merges."""
+    import tiktoken
+
+    before, model = kind["pre_tokenizer"] or {}, kind["model"]
+    if kind["normalizer"] or before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before.get("use_regex", True):
+        return None
+    if model["type"] != "BPE" or model["dropout"] or model["ignore_merges"]:
+        return None
+    vocabulary, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [vocabulary.get(a + b, -1) for a, b in merges]
+    if -1 in ids or ids != sorted(ids) or len(vocabulary) != 256 + len(merges):
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    bytes_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(plain)))}
+    ranks = {bytes(map(bytes_of.__getitem__, token)): i for token, i in vocabulary.items()}
+    return tiktoken.Encoding("by rank", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
 
 @dataclass
@@ -256,11 +238,11 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, row, seen = WordEncoder(path), TaskContext.get().partitionId(), 0, Counter()
+        encoder, part, row, seen = Encoder(path), TaskContext.get().partitionId(), 0, Counter()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for piece in _slices([len(t) for t in texts]):
-                coded = [x + last for x in encoder.encode(texts[piece])]
+                coded = [encoder.encode(t) + last for t in texts[piece]]
                 of, start, length, nth = [], [], [], []
                 crc = []
                 for i, ids in enumerate(coded):
@@ -319,7 +301,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     placed = scratch.keep(placed)
     crc32 = F.pandas_udf(_crc32, "long")
     whole = placed.filter("taken = length").select(*names, "ids_crc32", *place)
-    cut = with_ids(placed.filter("taken < length")).select(*names, crc32(ids).alias("ids_crc32"), *place)
+    cut = with_ids(scratch.keep(placed.filter("taken < length"))).select(*names, crc32(ids).alias("ids_crc32"), *place)
     return whole.unionByName(cut)
 
 
