@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,9 +107,54 @@ def ascii_word(text: Column, word: str) -> Column:
     return text.rlike(edge + "\\Q" + word + "\\E" + edge)
 
 
+#: The marks that fuzzy matching drops: the block of combining diacritical marks.
+LATIN_MARKS = (0x0300, 0x036F)
+_PAIR, _ITEM = "\ue000", "\ue001"  # of the private use area: no compatibility form has them
+
+
+@cache
+def _folds(marks: tuple[int, int] | None) -> tuple[str, str, str]:
+    """By Unicode's tables: the characters that one other stands for and then those that none does, the others, and the list of those that several do.
+
+    Those several are of the basic plane.  Hangul syllables, whose parts are letters and no accents, are left whole.
+    """
+    drop = (lambda c: unicodedata.combining(c)) if marks is None else (lambda c: marks[0] <= ord(c) <= marks[1])
+    one, none, several = [], [], []
+    for code in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000)):
+        c = chr(code)
+        kept = "".join(x for x in unicodedata.normalize("NFKD", c) if not drop(x))
+        if kept == "":
+            none.append(c)
+        elif len(kept) == 1 and kept != c:
+            one.append((c, kept))
+        elif kept != c and code < 0x10000:
+            several.append((c, kept))
+    return "".join(c for c, _ in one) + "".join(none), "".join(k for _, k in one), _ITEM.join(c + _PAIR + k for c, k in several)
+
+
+def folded(text: Column, marks: tuple[int, int] | None = None) -> Column:
+    """The text in compatibility decomposition without combining marks: "Café Münster" reads "Cafe Munster".
+
+    ``marks``: the range of marks that go, all if none is given.  Of texts beyond ASCII the characters that one
+    character stands for are translated; only where one is left that several stand for, they are looked up one by one.
+    """
+    come, go, several = _folds(marks)
+    t = F.translate(text, come, go)
+    known = F.str_to_map(F.lit(several), F.lit(_ITEM), F.lit(_PAIR))
+    letters = "".join(x[0] for x in several.split(_ITEM))
+    each = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
+    whole = F.element_at(F.transform(F.array(t), lambda t: F.when(F.translate(t, letters, "") != t, each(t)).otherwise(t)), 1)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), whole).otherwise(text)
+
+
+def chain_key(text: Column) -> Column:
+    """A name for counting chains: lower case, without accents, all but letters and digits to single spaces."""
+    return F.trim(F.regexp_replace(folded(F.lower(F.coalesce(text, F.lit(""))), LATIN_MARKS), r"[^\p{L}\p{N}]+", " "))
+
+
 def match_text(text: Column) -> Column:
-    """Text for fuzzy matching: & to "and", quotes dropped, other signs to spaces, squeezed."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    """Text for fuzzy matching: without accents, & to "and", quotes dropped, other signs to spaces, squeezed."""
+    t = F.lower(folded(F.coalesce(text, F.lit("")), LATIN_MARKS))
     t = F.regexp_replace(F.regexp_replace(t, "&", " and "), "['’`]", "")
     return squeeze(F.regexp_replace(t, r"[^\p{L}\p{N}\s-]", " "))
 
@@ -159,3 +206,50 @@ def clean_notes(notes: Column, phrases: Sequence[str]) -> Column:
 
 def area_of_notes(notes: Column) -> Column:
     return F.trim(F.regexp_extract(F.trim(notes), r"(?i)^area\s*:\s*(.+)$", 1))
+
+
+_URL = {"scheme": (r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1), "authority": (r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1), "query": (r"^[^?#]*\?([^#]*)", 1), "fragment": (r"^[^#]*#(.*)", 1)}
+
+
+def _url_part(url: Column, part: str) -> Column:
+    """A part of a URL, null where it has none (an empty one is none but for the authority)."""
+    pattern, group = _URL[part]
+    found = F.when(url.rlike(pattern), F.regexp_extract(url, pattern, group))
+    return found if part == "authority" else F.nullif(found, F.lit(""))
+
+
+def _url_path(url: Column) -> Column:
+    return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path with its "." and ".." steps taken: a fold over its parts."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    step = lambda done, p: F.when(p == ".", done).when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), none, step)
+    last = F.element_at(parts, -1)
+    return F.concat(F.lit("/"), F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+
+def absolute_url(reference: Column, base: Column) -> Column:
+    """A reference as an absolute URL, as seen from the base (RFC 3986, 5.2); null if it is blank, or relative without a base.
+
+    A reference with the base's own scheme and no authority counts as relative, as browsers take it.
+    Hosts are neither checked nor put in lower case; empty queries and fragments go.
+    """
+    r, b = F.trim(reference), F.trim(base)
+    of = lambda url, part: _url_part(url, part)
+    own = of(r, "scheme").isNotNull() & (of(r, "authority").isNotNull() | (F.lower(of(r, "scheme")) != F.lower(F.coalesce(of(b, "scheme"), F.lit("")))))
+    path, from_base = _url_path(r), _url_path(b)
+    whole = of(r, "authority").isNotNull()
+    hosted = of(b, "authority").isNotNull()
+    merged = F.when(hosted & (from_base == ""), F.concat(F.lit("/"), path)).otherwise(F.concat(F.regexp_extract(from_base, r"^(.*/)?[^/]*$", 1), path))
+    relative = F.when(path == "", from_base).when(path.startswith("/"), without_dots(path)).otherwise(F.when(merged.startswith("/"), without_dots(merged)).otherwise(merged))
+    rooted = F.when(path.startswith("/"), without_dots(path)).otherwise(path)
+    scheme = F.lower(F.when(own, of(r, "scheme")).otherwise(of(b, "scheme")))
+    authority = F.when(own | whole, of(r, "authority")).otherwise(of(b, "authority"))
+    query = F.when(own | whole | (path != ""), of(r, "query")).otherwise(F.coalesce(of(r, "query"), of(b, "query")))
+    tail = lambda mark, part: F.coalesce(F.concat(F.lit(mark), part), F.lit(""))
+    out = F.concat(scheme, F.lit(":"), F.coalesce(F.concat(F.lit("//"), authority), F.lit("")), F.when(own | whole, rooted).otherwise(relative), tail("?", query), tail("#", of(r, "fragment")))
+    return F.when((r != "") & scheme.isNotNull() & (own | of(b, "scheme").isNotNull()), out)

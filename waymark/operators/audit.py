@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze
+from ..functions.text import chain_key
 
 #: Order in which facets are shown.
 SOURCE_ORDER = ["google", "seeded", "manual", "osm"]
@@ -23,12 +23,12 @@ def source_facets(places: DataFrame, source: str = "source") -> DataFrame:
 
 
 def chains(places: DataFrame, name: str = "name", city: str = "city", least_count: int = 3, least_cities: int = 2) -> DataFrame:
-    """Names that repeat over cities: squeezed name, its longest form, count and sorted cities.
+    """Names that repeat over cities: name without accents and signs, its longest form, count and sorted cities.
 
     Of forms of equal length the first by ord stays.
     """
     best = F.max_by(F.col(name), F.struct(F.length(F.col(name)), -F.col("ord")))
-    out = places.filter(F.trim(F.col(name)) != "").groupBy(squeeze(F.col(name)).alias("normalized")).agg(best.alias("name"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(city)).alias("cities"))
+    out = places.filter(F.trim(F.col(name)) != "").groupBy(chain_key(F.col(name)).alias("normalized")).agg(best.alias("name"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(city)).alias("cities"))
     return out.filter((F.col("n") >= least_count) & (F.size("cities") >= least_cities))
 
 
@@ -47,6 +47,24 @@ def fallback(parts: list[DataFrame], filtered: bool) -> DataFrame:
     return parts[stage].withColumn("stage", F.lit(stage))
 
 
+def fallback_by(parts: list[DataFrame], key: str, filtered: bool = False) -> DataFrame:
+    """For each key the rows of the first part that has any, with its number as stage, in one plan without an action.
+
+    With active filters only the first part counts.  A null key is a key like others.
+    """
+    own = [p.withColumn("stage", F.lit(i)) for i, p in enumerate(parts)]
+    if filtered:
+        return own[0]
+    whole = own[0]
+    for p in own[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    light = own[0].select(key, "stage")
+    for p in own[1:]:
+        light = light.unionByName(p.select(key, "stage"))
+    first = light.groupBy(F.col(key).alias("_fallback_key")).agg(F.min("stage").alias("_fallback_stage"))
+    return whole.join(first, F.col(key).eqNullSafe(F.col("_fallback_key")) & (F.col("stage") == F.col("_fallback_stage"))).drop("_fallback_key", "_fallback_stage")
+
+
 def missing_address(address: Column) -> Column:
     return F.trim(F.coalesce(address, F.lit(""))) == ""
 

@@ -7,27 +7,35 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the session's checkpoint folder: its plan begins at files, whose sizes are known.
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder below the session's checkpoint folder, which all executors share; it goes when the session ends.
 
     A session without such a folder gets a temporary one in local mode; on a cluster that is an error.
-    The table goes when the session ends, or by ``discard``.
     """
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "waymark-checkpoints"))
     path = f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    files, at = _files(df, path)
+    files, at = filesystem(spark, path)
     files.deleteOnExit(at)
+    return path
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the session's checkpoint folder: its plan begins at files, whose sizes are known.
+
+    The table goes when the session ends, or by ``discard``.
+    """
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table
 
@@ -35,12 +43,12 @@ def materialised(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove materialised tables that no plan reads any more."""
     for t in tables:
-        files, at = _files(t, t._written_to)
+        files, at = filesystem(t.sparkSession, t._written_to)
         files.delete(at, True)
 
 
-def _files(df: DataFrame, path: str):
-    spark = df.sparkSession
+def filesystem(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 

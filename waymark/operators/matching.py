@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 from ..functions.text import bigrams, dice, jaccard, tokens
+from .graph import materialised
 
 
 def distance_band(metres: Column) -> Column:
@@ -41,3 +42,35 @@ def geocode_score(display: Column, name: Column, kind: Column, category: Column,
     points = F.when(F.contains(text(display), text(name)) & (F.length(text(name)) > 2), 38).when(overlap >= 0.6, 28).when(overlap >= 0.35, 16).otherwise(0)
     points = points + F.when(F.lower(category) == "amenity", 14).otherwise(0) + F.when(F.lower(kind).isin("cafe", "coffee_shop", "restaurant", "coffee"), 12).otherwise(0)
     return points + F.greatest(F.lit(0.0), 32 - km * 2.5) - F.when(km > 25, 35).otherwise(0)
+
+
+def contained(left: DataFrame, right: DataFrame, text: str, other: str, order: str, grams: int = 3) -> DataFrame:
+    """The rows of ``left`` with ``match`` (a struct of the row of ``right``): equal texts first, else the first by ``order``
+    of those whose text holds the other or is held by it; null if there is none.
+
+    A text that is held shares each of its n-grams with the one that holds it.  So it looks the other up by one
+    of them, the one that the fewest holding texts have, and the few that meet there are tested.  Texts shorter
+    than ``grams`` are looked up by all that they are.  Null and empty texts match nothing; equal texts ask once.
+    """
+    asked = left.select(F.col(text).alias("t")).filter("t != ''").distinct()
+    own = right.select(F.col(other).alias("o"), F.col(order).alias("ord"), F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias("r")).filter("o != ''")
+    first = materialised(own.groupBy("o").agg(F.min("ord").alias("ord"), F.min_by("r", "ord").alias("r")))
+    names = first.select("o", "ord")
+    down = _holding(asked.withColumnRenamed("t", "whole"), names.select(F.col("o").alias("part"), "ord"), grams).select(F.col("whole").alias("t"), F.col("part").alias("o"), "ord")
+    up = _holding(names.select(F.col("o").alias("whole"), "ord"), asked.withColumnRenamed("t", "part"), grams).select(F.col("part").alias("t"), F.col("whole").alias("o"), "ord")
+    best = down.unionByName(up).groupBy("t").agg(F.min(F.struct((F.col("t") != F.col("o")).alias("other"), "ord", "o")).alias("b")).select("t", F.col("b.o").alias("o"))
+    found = best.join(first.select("o", "r"), "o").select(F.col("t").alias("_asked"), F.col("r").alias("match"))
+    return left.join(found, F.col(text) == F.col("_asked"), "left").drop("_asked")
+
+
+def _holding(wholes: DataFrame, parts: DataFrame, grams: int) -> DataFrame:
+    """Pairs of a text (whole) and one that it holds (part), with the other columns of both."""
+    cut = lambda t, n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(*[cut(F.col("whole"), F.lit(n)) for n in range(1, grams + 1)]))
+    index = materialised(wholes.select("*", F.explode(every).alias("gram")))
+    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    size = F.least(F.length("part"), F.lit(grams))
+    looked = parts.select("part", F.explode(F.array_distinct(cut(F.col("part"), size))).alias("gram"))
+    rarest = looked.join(often, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    asked = parts.join(rarest, "part").withColumn("gram", F.col("g.gram")).drop("g")
+    return asked.join(index, "gram").filter(F.contains("whole", "part")).drop("gram")

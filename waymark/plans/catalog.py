@@ -482,4 +482,4 @@ def ext_session_window(spark, sf):
     return live.sessions(adapters.read(spark, sf, "events")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-from . import curation  # noqa: E402, F401  (registers its queries)
+from . import curation, search, streams  # noqa: E402, F401  (register their queries)

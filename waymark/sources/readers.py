@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.text import parse_number
+from . import json_walk
 
-PLACE = "name string, address string, formattedAddress string, vicinity string, latitude string, longitude string, lat string, lon string, googleMapsUrl string, photoUrl string, types string, notes string, description string, specialtyScore double, status string"
+PLACE = "name string, address string, formattedAddress string, vicinity string, latitude string, longitude string, lat string, lon string, lng string, coords map<string,string>, location map<string,string>, googleMapsUrl string, photoUrl string, types string, notes string, description string, specialtyScore double, status string"
 LISTS = f"exportedAt string, lists array<struct<url string, error string, places array<struct<{', '.join(f'{c.split()[0]}:{c.split()[1]}' for c in PLACE.split(', '))}>>>>".replace("url string, error string, places ", "url:string,error:string,places:")
 ELEMENTS = "elements array<struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>"
 SEEDED = "name string, address string, source string, isSpecialty boolean, needsCoords boolean, lat string, lon string, photoUrl string, notes string, id string, city string, cityName string, state string, country string, phone string, score double, specialtyScore double, placeType string, types string"
@@ -27,14 +29,20 @@ def string_or_array(value: Column) -> Column:
     return F.filter(F.coalesce(as_array, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
 
 
-def lists(spark: SparkSession, path: str) -> DataFrame:
-    """Places of list documents, one row each, with an id from their positions."""
+def lists(spark: SparkSession, path: str, center: tuple[float, float] | None = None) -> DataFrame:
+    """Places of list documents, one row each, with an id from their positions.
+
+    Of all fields that may hold coordinates the pair nearest to ``center`` counts, where one is given, else the first sound one.
+    """
     doc = _json(spark, path, LISTS)
     rows = doc.select(F.posexplode("lists").alias("list", "l")).select("list", F.posexplode("l.places").alias("pos", "p")).select("list", "pos", "p.*")
     address = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("address", "formattedAddress", "vicinity")])
+    read = lambda *fields: [parse_number(F.col(f)) for f in fields]
+    best = geo.best_coordinates(read("lat", "latitude", "coords.lat", "location.lat"), read("lon", "lng", "longitude", "coords.lon", "coords.lng", "location.lon", "location.lng"), *[F.lit(x).cast("double") for x in center or (None, None)])
+    rows = rows.withColumn("best", best)
     return rows.select(
         F.concat_ws("-", F.lit("google"), "list", "pos").alias("id"), "name", F.regexp_replace(address, "^[‎‏‪-‮]+", "").alias("address"),
-        F.coalesce(parse_number(F.col("lat")), parse_number(F.col("latitude"))).alias("lat"), F.coalesce(parse_number(F.col("lon")), parse_number(F.col("longitude"))).alias("lon"),
+        F.col("best.lat").alias("lat"), F.col("best.lon").alias("lon"),
         F.col("googleMapsUrl").alias("url"), F.col("photoUrl").alias("photo_url"), string_or_array(F.col("types")).alias("types"), string_or_array(F.col("notes")).alias("notes"), "description", "status", F.lit("google").alias("source"),
     )
 
@@ -59,6 +67,14 @@ def seeded(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, SEEDED).withColumn("city_file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)).withColumn("lat", parse_number(F.col("lat"))).withColumn("lon", parse_number(F.col("lon"))).withColumn("types", string_or_array(F.col("types")))
 
 
+def city_places(spark: SparkSession, path: str, cities: DataFrame) -> DataFrame:
+    """Places that ``writers.write_by_city`` wrote, of the given cities (rows of its index) alone.
+
+    Only those cities' folders are read: what the filter on ``cities`` leaves prunes the scan while it runs.
+    """
+    return spark.read.parquet(path).join(F.broadcast(cities.select("city_slug").distinct()), "city_slug", "left_semi")  # one row a city
+
+
 def list_urls(spark: SparkSession, path: str) -> DataFrame:
     """Trimmed lines of text files that are neither blank nor comments."""
     return spark.read.text(path).select(F.trim("value").alias("url")).filter("url != '' and not startswith(url, '#')")
@@ -83,10 +99,34 @@ def url_coordinates(url: Column) -> Column:
     return out
 
 
+def named_coordinates(html: Column) -> Column:
+    """struct(lat, lon) from the first members called exactly latitude and longitude in a page's text."""
+    lat, lon = (F.regexp_extract(html, rf'(?i)"{k}"\s*:\s*"?(-?\d+(?:\.\d+)?)"?', 1).try_cast("double") for k in ("latitude", "longitude"))
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
+def marker_coordinates(html: Column, marker: str = "marker-cafe.png") -> Column:
+    """struct(lat, lon) from a static map's marker, marker(lon,lat)/lon,lat,zoom."""
+    num = r"(-?\d+(?:\.\d+)?)"
+    pattern = rf"(?i)\Q{marker}\E\({num},{num}\)/{num},{num},\d+"
+    lon, lat = (F.regexp_extract(html, pattern, i).try_cast("double") for i in (1, 2))
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
 def page_coordinates(html: Column) -> Column:
-    """struct(lat, lon) from a page's text: latitude and longitude members, else a map marker."""
-    lat, lon = (F.regexp_extract(html, rf'(?i)"?{k}"?\s*[:=]\s*"?(-?\d+(?:\.\d+)?)', 1).try_cast("double") for k in ("latitude", "longitude"))
-    return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon"))).otherwise(url_coordinates(html))
+    """struct(lat, lon) from a page's text: named members, else a map marker, else a map's URL."""
+    return F.coalesce(named_coordinates(html), marker_coordinates(html), url_coordinates(html))
+
+
+def page_points(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, lat, lon, stage) of the pages that have coordinates: linked data before the page's text.
+
+    ``key`` names a page; stage is linked or text.
+    """
+    linked = json_walk.linked_points(pages, html, key).select(F.col(key).alias("_page"), F.struct("lat", "lon").alias("_linked"))
+    both = pages.select(F.col(key), page_coordinates(F.col(html)).alias("_text")).join(linked, F.col(key).eqNullSafe(F.col("_page")), "left")
+    point, stage = F.coalesce("_linked", "_text"), F.when(F.col("_linked").isNotNull(), "linked").otherwise("text")
+    return both.select(key, point.alias("p"), stage.alias("stage")).filter("p is not null").select(key, "p.lat", "p.lon", "stage")
 
 
 def page_links(pages: DataFrame, pattern: str, html: str = "html") -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import folded
+
 
 def slug(text: Column) -> Column:
-    s = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "-")
+    """A name for paths: letters without accents and digits, joined by hyphens; "city" if nothing is left."""
+    s = F.lower(F.regexp_replace(folded(F.coalesce(text, F.lit(""))), "[^a-zA-Z0-9]+", "-"))
     return F.coalesce(F.nullif(F.regexp_replace(s, "^-+|-+$", ""), F.lit("")), F.lit("city"))
 
 
@@ -48,9 +51,21 @@ def export_manual(places: DataFrame, path: str) -> None:
 
 
 def import_manual(spark: SparkSession, path: str, current: DataFrame) -> DataFrame:
-    """The places of an export in place of the current ones; a path without any leaves those as they are."""
+    """The places of an export in place of the current ones, also where it holds none.
+
+    A path that is not there, or whose files hold something else than JSON objects or one array of them, leaves
+    the current places as they are.
+    """
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
         return current
-    new = spark.read.schema(current.schema).json(path)
-    return current if new.isEmpty() else new
+    text = spark.read.text(path, wholetext=True).filter("trim(value) != ''")  # a user's own places: each file fits a task
+    listed = F.ltrim(F.col("value")).startswith("[")
+    documents = text.select(F.explode(F.when(listed, F.array("value")).otherwise(F.split(F.trim("value"), r"[\r\n]+"))).alias("value"))
+    kind = current.schema.simpleString()
+    one = F.when(listed, F.from_json("value", f"array<{kind}>", {"mode": "FAILFAST"})).otherwise(F.array(F.from_json("value", kind, {"mode": "FAILFAST"})))
+    parsed = F.try_parse_json("value")
+    sound = F.schema_of_variant(parsed).rlike("^(OBJECT|ARRAY<(OBJECT|VOID))")
+    if documents.filter(~F.coalesce(sound, F.lit(False))).limit(1).count():
+        return current
+    return documents.select(F.explode(one).alias("p")).select("p.*")
