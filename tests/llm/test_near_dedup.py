@@ -159,3 +159,56 @@ def test_clashing_columns_stay(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert d.classes(df).count() == 0 and d.deduplicated(df).count() == 0
+
+
+def two_groups(n, m, r, words):
+    """Two groups of near copies whose bases have 0.6 of their shingles in common; edits of both are often the same."""
+    first = r.choices(words, k=200)
+    second = list(first)
+    second[10:55] = r.choices(words, k=45)  # 49 of 196 shingles differ: 147 of 245 are common
+
+    def near(base):
+        t = list(base)
+        for _ in range(3):
+            t[r.randrange(150, 196)] = r.choice(words[:3])
+        return " ".join(t)
+
+    return [near(first) for _ in range(n)], [near(second) for _ in range(m)]
+
+
+def test_meetings_do_not_grow_with_the_square_of_a_group(spark):
+    """All in one bucket; the cells of edits lie in both classes."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(21)
+    words = ["".join(r.choices("abcdefghij", k=7)) for _ in range(5000)]
+    first, second = two_groups(400, 560, r, words)
+    for k in (100, 400):
+        rows = list(enumerate(first[:k] + second[: k * 7 // 5]))
+        scratch = d.Scratch(spark)
+        docs = d._rows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+        sketch = scratch.keep(d._sketch(docs))
+        nodes = sketch.select("node", "n", F.array(F.lit(7).cast("long")).alias("keys")).dropDuplicates(["node"])
+        stars = scratch.keep(d._stars(nodes, scratch))
+        sets = scratch.keep(d._sets(docs, sketch.select("id", "h")))
+        leader = stars.first().b
+        side = {bytes(x.node): x.id < k for x in sketch.collect()}  # the group is the class
+        labels = spark.createDataFrame([(bytearray(n), bytes([s])) for n, s in side.items()], "node binary, label binary")
+        seen = []
+        possible, across = d._possible, d._across
+        d._possible = lambda x: (seen.append(x.count()), possible(x))[1]  # noqa: B023
+        d._across = lambda x, y: (seen.append((out := y.keep(across(x, y))).count()), out)[1]  # noqa: B023
+        try:
+            pairs = d._apart(stars, labels, sets, scratch).count()
+        finally:
+            d._possible, d._across = possible, across
+        assert seen[0] > k and seen[1] <= 2 * len(rows) and pairs <= 2 * len(rows), (seen, pairs, leader)
+
+
+def test_classes_of_a_cell_meet_once_and_never_themselves(spark):
+    r = random.Random(4)
+    rows = [(b, x, la, i) for b in range(3) for x in range(4) for la in range(r.randint(1, 9)) for i in range(r.randint(1, 4))]
+    df = spark.createDataFrame(rows, "b int, x int, la int, a int")
+    got = Counter(((p.b, p.x), frozenset([(p.la, p.a), (p.la_, p.a_)])) for p in d._across(df, d.Scratch(spark)).collect())
+    want = Counter(((p[0], p[1]), frozenset([p[2:], q[2:]])) for p in rows for q in rows if p[:2] == q[:2] and p[2] < q[2])
+    assert got == want and len(want) > 100

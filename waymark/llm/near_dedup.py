@@ -8,13 +8,14 @@ the lesser weights is at least 0.8 of the sum of the greater ones, which for tex
 shingle is the Jaccard similarity of the sets.  Classes are what links connect.
 
 Texts with the same weighted shingles are one node.  A bucket's nodes are checked exactly against its
-leader, so a group of copies costs one link a member.  Nodes of one leader that are then still apart
-can only be alike where they differ from the leader in the same shingles: they meet on the rarest of
-their differences, as many as an exact bound asks for, and are checked exactly too.  No link between
-texts of one bucket is lost; only the bands can miss one (at a similarity of 0.8 with a chance of 6e-5).
-
-Texts without words (null, empty, white space) are left alone: each is a class of its own.  Ties go
-to the least (id, text hash), null ids last.  Repeated rows are one class.  Columns other than id and
+leader, so a group of copies costs one link a member.  Nodes of one leader that are then still in different
+classes can only be alike where they differ from the leader in the same shingles: they meet on the rarest of
+their differences, as many as an exact bound asks for, and are checked exactly too.  Differences that one
+class alone has bring no nodes together, and nodes of one class never meet.  No link between texts of one
+bucket is lost; only the bands can miss one (at a similarity of 0.8 with a chance of 6e-5).
+
+Texts without words (null, empty, white space) are left alone: each is a class of its own.  Very long texts
+are taken whole; an empty table gives no classes.  Ties go to the least (id, text hash), null ids last.  Repeated rows are one class.  Columns other than id and
 text play no part, whatever their names.
 """
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, free_name, table
@@ -204,7 +205,7 @@ def _apart(stars: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratc
     a pair differs in |Da| + |Db| - 2 |Da & Db| cells, and is a link if 9 times that is at most S.  So
     a link has 2 |Da & Db| >= ea + eb, where e = |D| - n / 9.  One of the two is no link of the leader
     (else they were of one component), which means e > m / 9 for the leader's m cells; for links of
-    the leader e >= -m / 9.  As |Da & Db| <= |Db| too, |Da & Db| >= ea - n / 4 for a node's sizes.  From the least
+    the leader e >= -m / 9.  As |Da & Db| <= |Db| too, |Da & Db| >= |Da| - n / 4 for a node's sizes.  From the least
     overlap t that this gives each node, the |D| - t + 1 rarest cells of D contain one that a link
     shares, and from its place on there are enough cells left in both.
     """
@@ -215,19 +216,51 @@ def _apart(stars: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratc
     apart = led.join(_of(sets, "a"), "a").join(_of(sets, "b"), "b")
     apart = apart.select("a", "b", "la", "n", "m", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("d"))
     cells = scratch.keep(apart).select("a", "b", "la", "n", "m", F.size("d").alias("d"), F.explode("d").alias("x"))
-    often = cells.groupBy("b", "x").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # cells that one class alone has can be of no link between classes: they come first in the order, as those of no other node do
+    often = cells.groupBy("b", "x").agg(F.count(F.lit(1)).alias("c"), F.min("la").alias("low"), F.max("la").alias("high")).filter("low < high").select("b", "x", "c")
     shared = cells.join(often, ["b", "x"]).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("la", "n", "m", "d")], F.array_sort(F.collect_list(F.struct("c", "x"))).alias("xs"))
     e = 9 * F.col("d") - F.col("n")  # 9 e
     t = F.when(e > F.col("m"), F.greatest(2 * (e - F.col("m")), 36 * F.col("d") - 9 * F.col("n"))).otherwise(2 * (e + F.col("m")))
     least = F.greatest(F.ceil(t / 36), F.lit(1))  # t: 36 times the overlap
-    alone = F.col("d") - F.size("xs")  # cells of no other node come first and take places of the rarest
+    alone = F.col("d") - F.size("xs")
     shared = shared.withColumn("alone", alone).withColumn("most", F.col("d") - least + 1 - alone).filter("most > 0")
     rarest = shared.select("a", "b", "la", "n", "d", F.posexplode(F.slice("xs", F.lit(1), F.col("most").cast("int"))).alias("at", "x"), "alone")
     rarest = scratch.keep(rarest.select("a", "b", "la", "n", "d", F.col("x.x").alias("x"), (F.col("d") - F.col("alone") - F.col("at")).alias("left")))
-    other = rarest.select(*[F.col(c).alias(f"{c}_") for c in ("a", "la", "n", "d", "left")], "b", "x")
+    met = _across(_possible(rarest), scratch)
     enough = 18 * F.least("left", "left_") >= 9 * (F.col("d") + F.col("d_")) - F.col("n") - F.col("n_")
-    pairs = rarest.join(other, ["b", "x"]).filter((F.col("a") < F.col("a_")) & (F.col("la") != F.col("la_")) & _close("n", "n_") & enough)
-    return pairs.select("a", F.col("a_").alias("b")).distinct()
+    return met.filter(_close("n", "n_") & enough).select(F.least("a", "a_").alias("a"), F.greatest("a", "a_").alias("b")).distinct()
+
+
+def _possible(rows: DataFrame) -> DataFrame:
+    """The rows that some row of another class in their cell may be alike to, by what the pairs are later asked for.
+
+    The classes of a cell say how many cells their rows have left at most, and how few common ones they ask for.
+    """
+    asks = 9 * F.col("d") - F.col("n")
+    each = rows.groupBy("b", "x", "la").agg(F.max("left").alias("most"), F.min(asks).alias("least"))
+    of = Window.partitionBy("b", "x").orderBy("la")  # one row a class
+    sides = [of.rowsBetween(Window.unboundedPreceding, -1), of.rowsBetween(1, Window.unboundedFollowing)]
+    others = each.select("b", "x", "la", F.greatest(*[F.max("most").over(w) for w in sides]).alias("most"), F.least(*[F.min("least").over(w) for w in sides]).alias("least"))
+    return rows.join(others, ["b", "x", "la"]).filter(18 * F.least("left", "most") >= asks + F.col("least")).drop("most", "least")
+
+
+def _across(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each pair of rows (b, x, la and others) of one cell (b, x) and different classes la once; the other row's columns end in _.
+
+    The classes of a cell are numbered.  Two numbers first differ in one bit: there the row with 0 meets the
+    row with 1, by the cell, the bit and the bits before it.  So a row is dealt out once a bit, and rows of one
+    class never meet, however many there are.  Spark splits what is left of a hot cell.
+    """
+    classes = rows.select("b", "x", "la").distinct()
+    of = Window.partitionBy("b", "x")  # one row a class
+    numbered = classes.withColumn("number", F.row_number().over(of.orderBy("la")) - 1).withColumn("of", F.count(F.lit(1)).over(of)).filter("of > 1")
+    bits = F.sequence(F.lit(0), F.floor(F.log2(F.col("of") - F.lit(0.5))).cast("int"))
+    dealt = rows.join(numbered, ["b", "x", "la"]).withColumn("bit", F.explode(bits))
+    dealt = scratch.keep(dealt.withColumn("before", F.expr("shiftright(number, bit + 1)")).withColumn("side", F.expr("shiftright(number, bit) & 1")).drop("number", "of"))
+    key = ["b", "x", "bit", "before"]
+    other = dealt.filter("side = 1").drop("side")
+    other = other.select(*key, *[F.col(c).alias(f"{c}_") for c in other.columns if c not in key])
+    return dealt.filter("side = 0").drop("side").join(other, key)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
