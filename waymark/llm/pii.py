@@ -8,7 +8,8 @@ over features of the span and its surroundings).  Candidates of the four base ki
 strict form are always spans; the classifier decides on all others.
 
 Null texts count as empty.  An empty table or one without candidates gives no added spans.
-Positions count code points, the end exclusive.  Repeated rows give repeated results.  Other columns
+Positions count code points, the end exclusive.  Repeated rows give repeated results.  Very long texts are
+taken whole, in time that grows with them and their candidates.  Other columns
 may have any names; one called spans is replaced by the result of ``find``.
 """
 
@@ -20,11 +21,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import below, let, running
 from .common import cut_lineage, packed, table, unpacked
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn", "local_phone", "iban")
 LABELERS, PATTERNS, FEATURES, BUCKETS = 4, 81, 6, 64
+#: Characters of a text in which spans are replaced at a time.
+PIECE = 4096
 
 # The patterns match what the plain ones of the base kinds match, from the same places; possessive
 # quantifiers and look-behind keep the time linear and the matcher's stack flat in long runs.
@@ -124,13 +128,8 @@ def add_candidates(docs: DataFrame, text: str = "text", into: str = "candidates"
     g = {k: F.col(f"_g{k}") for k in patterns}
 
     def starts(k: str) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-
-        def step(acc: Column, i: Column) -> Column:
-            here = acc["at"] + F.length(F.get(g[k], i))
-            return F.struct((here + F.length(F.get(m[k], i))).alias("at"), F.concat(acc["all"], F.array(here)).alias("all"))
-
-        return F.when(F.size(m[k]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m[k]) - 1), zero, step)["all"])
+        steps = F.transform(m[k], lambda v, i: F.length(v) + F.length(F.get(g[k], i + 1)))
+        return F.when(F.size(m[k]) > 0, F.transform(running(steps, F.length(F.get(g[k], F.lit(0))), lambda x, y: x + y), lambda x: x))
 
     df = df.select(*others, *m.values(), *g.values(), *[starts(k).alias(f"_s{k}") for k in patterns])
     order = {"e": F.lit(0), "i": F.lit(1), "c": F.lit(2), "p": F.lit(3)}
@@ -220,11 +219,24 @@ def add_spans(df: DataFrame, model: Model, column: str = "candidates", into: str
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (into, column)]
     c = F.col(column)
     flat = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["base"].alias("base"))
-    df = df.select(*kept, c, F.transform(F.filter(c, lambda x: x["base"]), flat).alias("_base"))
-    base = F.col("_base")
-    free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    added = F.transform(F.filter(c, lambda x: ~x["base"] & verdict(x) & free(x)), flat)
-    return df.select(*kept, F.array_sort(F.concat(base, added)).alias(into))
+    base = F.array_sort(F.transform(F.filter(c, lambda x: x["base"]), flat))
+
+    def whole(bounds: Column) -> Column:
+        def free(x: Column) -> Column:
+            before = below(bounds["starts"], x["end"])  # base spans that begin before the candidate ends
+            return (before == 0) | (F.get(bounds["ends"], before - 1) <= x["start"])
+
+        added = F.transform(F.filter(c, lambda x: ~x["base"] & verdict(x) & free(x)), flat)
+        return F.array_sort(F.concat(bounds["base"], added))
+
+    bounds = let(base, lambda b: F.struct(b.alias("base"), F.transform(b, lambda x: x["start"]).alias("starts"), farthest(b).alias("ends")))
+    return df.select(*kept, let(bounds, whole).alias(into))
+
+
+def farthest(spans: Column) -> Column:
+    """For each span the greatest end of it and those before it."""
+    more = lambda x, y: F.greatest(x, y)
+    return let(F.transform(spans, lambda x: x["end"]), lambda ends: F.zip_with(running(ends, F.lit(0), more), ends, more))
 
 
 def _listed(spans: Column) -> Column:
@@ -240,6 +252,41 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     return add_spans(found, fit(found)).select(*unpacked(kept), "spans")
 
 
+def merged(spans: Column) -> Column:
+    """Spans, sorted, with those that overlap as one struct(start, end, kind) of the first one's kind."""
+
+    def whole(ends: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(ends, i - 1) <= F.get(spans, i)["start"]))
+        last = lambda firsts, q: F.coalesce(F.get(firsts, q + 1) - 1, F.size(spans) - 1)
+        one = lambda firsts: lambda i, q: F.struct(F.get(spans, i)["start"].alias("start"), F.get(ends, last(firsts, q)).alias("end"), F.get(spans, i)["kind"].alias("kind"))
+        return let(first, lambda firsts: F.transform(firsts, one(firsts)))
+
+    return let(farthest(spans), whole)
+
+
+def _marked(text: Column, spans: Column) -> Column:
+    """The text with each of its spans, which do not overlap, replaced by its kind in brackets.
+
+    Pieces of ``PIECE`` characters are done one by one, each with the spans that lie in it or reach into it.
+    """
+    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+
+    def piece(p: Column, i: Column, starts: Column, ends: Column) -> Column:
+        begin = i * PIECE
+        first = below(ends, begin + 1)  # those before end in earlier pieces
+        own = F.slice(spans, first + 1, F.greatest(below(starts, begin + PIECE) - first, F.lit(0)))
+
+        def step(acc: Column, s: Column) -> Column:
+            mark = F.when(s["start"] >= begin, F.get(kinds, s["kind"])).otherwise(F.lit(""))
+            return F.struct((s["end"] - begin).alias("at"), F.concat(acc["out"], F.substring(p, acc["at"] + 1, F.greatest(s["start"] - begin - acc["at"], F.lit(0))), mark).alias("out"))
+
+        return F.aggregate(own, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(p, acc["at"] + 1, F.lit(PIECE))))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    edges = F.struct(F.transform(spans, lambda s: s["start"]).alias("starts"), F.transform(spans, lambda s: s["end"]).alias("ends"))
+    return let(edges, lambda e: F.array_join(F.transform(pieces, lambda p, i: piece(p, i, e["starts"], e["ends"])), ""))
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with each span replaced by its kind in brackets; n_chars, if there, is renewed.
 
@@ -248,18 +295,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     found = cut_lineage(add_candidates(packed(docs, F.col(f"`{text}`").alias("text"))))
     df = add_spans(found, fit(found))
-    t, spans = F.col("text"), F.col("spans")
-    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.get(marks, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
-
-    def end(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t)))
-
-    df = df.select("row", F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, end)).otherwise(t).alias("clean"))
+    df = df.select("row", "text", "spans", F.when(F.size("spans") > 0, let(F.col("spans"), merged)).alias("marks"))
+    df = df.select("row", F.when(F.col("marks").isNull(), F.col("text")).otherwise(_marked(F.col("text"), F.col("marks"))).alias("clean"))
     new = {text: F.col("clean").alias(text)}
     if "n_chars" in docs.columns and text != "n_chars":
         old = F.col("row").getField("n_chars")
