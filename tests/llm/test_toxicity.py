@@ -59,3 +59,13 @@ def test_hits_are_distinct_and_stay_within_rows():
         t = t.decode("utf-32-le")
         want = {t[a : a + n] for n in m.SIZES for a in range(len(t) - n + 1)}
         assert (row == i).sum() == len(want)
+
+
+def test_the_decay_is_chosen_on_folds():
+    r = np.random.default_rng(3)
+    noise = r.normal(size=(240, 300)).astype(np.float32)
+    y = (r.random(240) < 0.5).astype(float)
+    assert m.choose_decay(noise, y) == max(m.DECAYS)  # nothing to learn: the strongest
+    clear = noise[:, :3] * 0.1 + np.float32(4) * (2 * y[:, None] - 1).astype(np.float32)
+    assert m.choose_decay(clear, y) == min(m.DECAYS)
+    assert m.choose_decay(noise[:2], np.array([0.0, 1.0])) in m.DECAYS
