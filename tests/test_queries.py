@@ -19,8 +19,8 @@ def test_query_equals_sql(spark, con, name):
     assert oracle.differences(catalog.QUERIES[name](spark, SF), con, catalog.ORACLE[name]) == ""
 
 
-#: Queries that SQL cannot express; each is held against a plain loop, here, in test_operators or in test_search.
-PLAIN = {"rank_places", "geo_dedupe_greedy", "photo_match_best", "photo_replacement"}
+#: Queries that SQL cannot express; each is held against a plain loop, here, in test_operators, test_search or test_city.
+PLAIN = {"rank_places", "geo_dedupe_greedy", "photo_match_best", "photo_replacement", "city_view", "city_view_filtered"}
 
 
 def test_every_query_has_sql_or_a_plain_loop():

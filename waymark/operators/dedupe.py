@@ -132,22 +132,24 @@ def _alike(r: tuple, s: tuple, close: float, name: float, address: float) -> boo
     return metres <= FARTHEST * 1000 and (same_address and metres <= address or same_name and metres <= name or variant and metres <= max(name, 55.0) or metres <= close and (same_name or no_address))
 
 
-def greedy_near(places: DataFrame, quality: str = "quality", id_: str = "id", city: str = "city") -> DataFrame:
+def greedy_near(places: DataFrame, quality: str = "quality", id_: str = "id", city: str = "city", apart: str | None = None) -> DataFrame:
     """``greedy`` over ``duplicate_pairs``, without the pairs.
 
     The rule goes by the order, so the records of a group are read in order by one task; but the task
     holds the kept records of the group alone and compares each record with those near it.  Groups are
     the cells of one city that near records connect: they may be wider than the links ask for, which
-    changes nothing, since records without a link have no influence on each other.
+    changes nothing, since records without a link have no influence on each other.  Ids are unique; records
+    that differ in the text ``apart`` are never alike.  Only the columns that the rule needs are read from
+    ``places`` before the last join, so a table that is costly to make should be written first.
     """
-    named = F.concat_ws("/", F.col("_row"), F.col("_col"), F.col("city"))
+    named = F.concat_ws("/", F.col("_row"), F.col("_col"), F.col("city"), F.col("apart"))
     row, col = cell(F.col("lat"), F.col("lon"), FARTHEST)
     base = places.select(
-        F.col(id_).alias("id"), "ord", F.col(city).alias("city"), F.col("lat").cast("double"), F.col("lon").cast("double"), F.col(quality).cast("double").alias("q"), place_text(F.col("name")).alias("n"), place_text(F.col("address")).alias("a")
+        F.col(id_).alias("id"), "ord", F.col(city).alias("city"), F.col("lat").cast("double"), F.col("lon").cast("double"), F.col(quality).cast("double").alias("q"), place_text(F.col("name")).alias("n"), place_text(F.col("address")).alias("a"), F.coalesce(F.col(apart), F.lit("")).alias("apart") if apart else F.lit("").alias("apart")
     ).dropna(subset=["id", "ord", "city", "lat", "lon"])
     base = materialised(base.withColumn("_row", row).withColumn("_col", col).withColumn("cell", named).drop("_row", "_col"))
     cells = base.select("cell").distinct()
-    steps = reached(base.select("cell", "city", "lat", "lon").distinct(), FARTHEST).select(F.col("cell").alias("a"), named.alias("b")).filter("a != b").distinct()
+    steps = reached(base.select("cell", "city", "apart", "lat", "lon").distinct(), FARTHEST).select(F.col("cell").alias("a"), named.alias("b")).filter("a != b").distinct()
     labels = groups(steps.join(cells, F.col("b") == F.col("cell"), "left_semi"))
     grouped = base.join(labels.withColumnRenamed("node", "cell"), "cell", "left").withColumn("group", F.coalesce("label", "cell"))
     p = profile(F.col("city"))

@@ -9,6 +9,7 @@ from ..functions import curation, decisions, geo, scoring
 from ..functions import vocab as v
 from ..functions.text import joined
 from ..operators import audit, dedupe, locate, state
+from ..operators.graph import materialised
 from . import adapters
 
 
@@ -56,7 +57,7 @@ def rank_places(places: DataFrame, cities: DataFrame, ratings: DataFrame, mode:
     df = df.withColumn("_b", scoring.boosted(F.col("score"), F.col("place_type"), F.col("rating"), F.col("tags")))
     df = df.withColumn("score", F.col("_b.score")).withColumn("place_type", F.col("_b.place_type")).drop("_b")
     df = df.withColumn("quality", scoring.quality(F.col("address"), F.col("source"), F.col("score")).cast("double"))
-    df = dedupe.greedy_near(df)
+    df = dedupe.greedy_near(materialised(df))  # scored once, and read twice
     w = Window.partitionBy("city").orderBy(F.desc("score"), "ord")
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
@@ -68,10 +69,16 @@ def rank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlay(places: DataFrame, overrides: DataFrame) -> DataFrame:
     """Field and score overrides applied; rows deleted by an override go."""
+    df = overlay_fields(places, overrides)
+    return df.withColumn("score", state.override_score(F.col("patch"), F.col("score"))) if "score" in df.columns else df
+
+
+def overlay_fields(places: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Field overrides applied, the patch kept for those of computed fields; rows deleted by an override go."""
     df = state.with_override(places, overrides).filter("not deleted")
     for c in ("name", "address", "notes"):
         if c in df.columns:
             df = df.withColumn(c, state.patched(F.col("patch"), c, F.col(c)))
     for c in ("lat", "lon"):
         df = df.withColumn(c, state.patched(F.col("patch"), c, F.col(c), number=True))
-    return df.withColumn("score", state.override_score(F.col("patch"), F.col("score"))) if "score" in df.columns else df
+    return df

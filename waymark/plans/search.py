@@ -8,7 +8,7 @@ from ..functions import text
 from ..operators import assign, audit, matching
 from ..operators.graph import materialised, scratch_path
 from ..sources import json_walk, readers, writers
-from . import adapters
+from . import adapters, city
 from .catalog import _PLACE, query
 
 
@@ -104,3 +104,17 @@ def photo_replacement(spark, sf):
     p = adapters.places(spark, sf).select("id", "ord", "city", F.concat(F.lit("u"), (F.col("ord") % 30).cast("string")).alias("photo_url"))
     wishes = p.select("id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("place"), "ord").withColumn("url", F.concat(F.lit("c"), ((F.col("ord") * 7 + F.col("place") * 13) % 900).cast("string")))
     return assign.replace_photos(p, wishes.drop("ord")).select("id", "city", "photo_url", "replaced")
+
+
+@query()
+def city_view(spark, sf):
+    """Every city's places as a user sees them, with overrides, ratings, hidden ids, curated places and fallbacks."""
+    out = city.see(**city.given(spark, sf))
+    return out.select("city", "rank", "id", "name", "score", "place_type", F.coalesce("rating", F.lit(0)).alias("rating"), "open", F.element_at(F.array(*[F.lit(s) for s in city.STAGES]), F.col("stage") + 1).alias("stage"))
+
+
+@query()
+def city_view_filtered(spark, sf):
+    """The same with a least score, open places only and a text: cities without such places are empty."""
+    view = city.View(least=40.0, filters={"open_now": True, "text": "e"})
+    return city.see(**city.given(spark, sf), view=view).select("city", "rank", "id", "score", "open")
