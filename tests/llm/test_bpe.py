@@ -80,3 +80,11 @@ def test_tokenizers_that_keep_white_space_are_rejected(tmp_path):
     t.save(str(tmp_path / "added.json"))
     with pytest.raises(ValueError, match="white space"):
         bpe.ChunkEncoder(str(tmp_path / "added.json"))
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "Some words"), (2, None)], "`the.id` long, `a.text` string")
+    got = bpe.encode(df, text="a.text").orderBy("`the.id`")
+    assert got.columns == ["the.id", "a.text", "n_tokens", "ids"]
+    back = bpe.decode(got)
+    assert [(r["the.id"], r.n_tokens, r.decoded.strip()) for r in back.collect()] == [(1, 2, "some words"), (2, 0, "")]

@@ -7,7 +7,8 @@ whole, and the join grows until it reaches white space on both sides.  The vocab
 across white space, so from there on the tokens agree exactly with those of the undivided text.
 Tokenizers that keep white space in their tokens are rejected with an error.
 
-Null texts count as empty; an empty text has no tokens.  Any other column of the input is kept,
+Null texts count as empty; an empty text has no tokens; very long texts are encoded whole; an empty table
+gives no rows.  Any other column of the input is kept,
 except those named as a result column, which are replaced.  Repeated rows give repeated results.
 """
 
@@ -187,7 +188,7 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ou
     """
     path = tokenizer or default_tokenizer()
     names = {"ids": ("n_tokens", "ids"), "digests": ("n_tokens", "ids_sha256", "decoded_sha256")}[output]
-    kept = without(docs, *(n for n in names if n != text)).withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    kept = without(docs, *(n for n in names if n != text)).withColumn(text, F.coalesce(F.col(f"`{text}`"), F.lit("")))
     extra = [T.StructField("n_tokens", T.LongType())]
     extra += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if output == "ids" else [T.StructField(n, T.StringType()) for n in names[1:]]
     schema = T.StructType([*kept.schema.fields, *extra])
