@@ -87,4 +87,4 @@ def test_names_with_dots(spark):
     got = bpe.encode(df, text="a.text").orderBy("`the.id`")
     assert got.columns == ["the.id", "a.text", "n_tokens", "ids"]
     back = bpe.decode(got)
-    assert [(r["the.id"], r.n_tokens, r.decoded.strip()) for r in back.collect()] == [(1, 2, "some words"), (2, 0, "")]
+    assert [(r["the.id"], r.n_tokens, r.decoded.replace("</w>", "")) for r in back.collect()] == [(1, 2, "some words"), (2, 0, "")]

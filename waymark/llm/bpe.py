@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pack, table, without
+from .common import map_frames, pack, table, without
 
 #: One cut in about so many bytes (a power of two).
 CHUNK_BYTES = 256
@@ -207,7 +207,7 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ou
                     more["decoded_sha256"] = [hashlib.sha256(encoder.decode(x)).hexdigest() for x in done]
                 yield batch.iloc[part].assign(**more)[schema.names]
 
-    return kept.mapInPandas(run, schema)
+    return map_frames(kept, run, schema)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", tokenizer: str | None = None, into: str = "decoded") -> DataFrame:
@@ -224,7 +224,7 @@ def decode(encoded: DataFrame, ids: str = "ids", tokenizer: str | None = None, i
             texts = [tokenizer.decode([] if x is None else list(x), skip_special_tokens=False) for x in batch[ids]]
             yield batch.assign(**{into: texts})[schema.names]
 
-    return kept.mapInPandas(run, schema)
+    return map_frames(kept, run, schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,13 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -114,6 +117,23 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType) -> DataFrame:
+    """``df.mapInPandas`` for columns of any name: a dot in one is no step into a struct.  ``run`` yields the columns of ``schema`` in order."""
+    names = df.columns
+    plain = T.StructType([T.StructField(f"_{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch.columns = names
+            yield batch
+
+    def renamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in run(named(batches)):
+            yield batch.set_axis(plain.names, axis=1)
+
+    return df.toDF(*[f"_{i}" for i in range(len(names))]).mapInPandas(renamed, plain).toDF(*schema.names)
+
+
 def pack(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of ``texts`` end to end, and the offsets at which each begins (one more at the end)."""
     ends = np.cumsum([0, *map(len, texts)], dtype=np.int64)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, without
+from .common import map_frames, table, without
 
 # Element and role names of HTML and ARIA.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -240,7 +240,7 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
             found = [main_text(h if isinstance(h, str) else None) for h in batch[html]]
             yield batch.assign(**{text: found, "n_chars": [len(t) for t in found]})[schema.names]
 
-    return kept.mapInPandas(run, schema)
+    return map_frames(kept, run, schema)
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

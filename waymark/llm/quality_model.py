@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, labelled_sample, table, without
+from .common import held_out, labelled_sample, map_frames, table, without
 from .quality_rules import Counted
 
 #: The bound of the labelled sample: rows of each label.
@@ -135,7 +135,7 @@ def score(docs: DataFrame, model: Trees, text: str = "text", into: str = "score"
             x = np.array([statistics(t) for t in batch[text]]).reshape(len(batch), len(STATISTICS))
             yield batch.assign(**{into: model.score(x)})[schema.names]
 
-    return kept.mapInPandas(run, schema)
+    return map_frames(kept, run, schema)
 
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

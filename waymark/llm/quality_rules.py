@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, without
+from .common import map_frames, table, without
 
 WINDOW, FEWEST_WORDS, REPEATED_PERCENT = 8, 20, 30
 #: Documents on which costs and selectivities are estimated (expected number).
@@ -137,7 +137,7 @@ def cascade(docs: DataFrame, text: str = "text", rules=RULES, sample: int = SAMP
             more = pd.DataFrame(rows, columns=list(results), index=batch.index)
             yield pd.concat([batch, more], axis=1)[schema.names]
 
-    return kept.mapInPandas(run, schema)
+    return map_frames(kept, run, schema)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

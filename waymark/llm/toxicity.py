@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, free_name, held_out, labelled_sample, pack, table, window_hashes, without
+from .common import cut_lineage, free_name, held_out, labelled_sample, map_frames, pack, table, window_hashes, without
 
 BUCKETS, SIZES, KEPT = 1 << 20, (3, 4, 5, 6), 2048
 #: The bound of the labelled sample: rows of each label.
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
             found = [model.score(part, place) for part in _slices(map(_bytes, batch[text]))]
             yield batch.assign(**{into: np.concatenate(found) if found else np.zeros(0)})[schema.names]
 
-    return kept.mapInPandas(run, schema)
+    return map_frames(kept, run, schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
