@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -110,3 +111,29 @@ def test_defined_cases(spark):
 def test_never_fails(s):
     out = html.main_text(s)
     assert out == " ".join(out.split())
+
+
+def stripped(page):
+    """A page whose elements, classes, ids and roles say nothing of their part in it."""
+    page = re.sub(r"<(/?)(?:article|main|nav|header|footer|aside|form|section|menu|dialog|figure)\b", r"<\1div", page, flags=re.I)
+    return re.sub(r"\s(?:class|id|role|aria-\w+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+def test_ratios_find_the_same_text_on_pages_without_marks(monkeypatch):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    marked, bare = [html.main_text(p) for p in pages], [html.main_text(stripped(p)) for p in pages]
+    assert sum(a == b for a, b in zip(marked, bare, strict=True)) >= 0.96 * len(pages)
+    assert all(a in b for a, b in zip(marked, bare, strict=True))
+    monkeypatch.setattr(html, "threshold", lambda values: values.min())
+    assert sum(html.main_text(stripped(p)) != a for p, a in zip(pages, marked, strict=True)) > 0.5 * len(pages)
+
+
+def test_loose_lines_do_not_widen_the_region():
+    long_ = "a sentence with many words " * 5
+    page = f"<body><div>An advert that is long enough to count.</div><div><h2>Head</h2><p>{long_}</p><p>{long_}</p></div><div>An imprint of some length, as they are.</div></body>"
+    text = " ".join(f"Head {long_} {long_}".split())
+    assert html.main_text(page) == text
+    two = page.replace("</body>", f"<div><p>{long_}</p><p>{long_}</p></div></body>")  # another container of its kind does
+    assert text in html.main_text(two) and html.main_text(two).endswith(" ".join(f"{long_} {long_}".split()))

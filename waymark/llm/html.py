@@ -2,9 +2,9 @@
 
 The standard library's parser streams events; from them a page becomes lines, one a block, each
 with its characters, its number of tags and the element it stands in.  The text-to-tag ratio of the
-lines is smoothed by a Gaussian and split in two by threshold clustering.  The lines above the
-threshold, and those within article and main elements, are content; their smallest common container
-is the region, and every line of it is kept, short paragraphs included.  Menus, page headers, footers,
+lines is smoothed by a Gaussian and split in two by threshold clustering.  The containers of several
+lines with text above the threshold, and lines within article and main elements, are content; their
+smallest common container is the region, and every line of it is kept, short paragraphs included.  Menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are told by element, role and
 class, and never kept.  A class tells only as a whole: each part of its name is a word for boilerplate
 or for a piece of a page (``share-links``, not ``share-price``); within article and main elements it
@@ -194,7 +194,9 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The main text of one page, blocks joined by one space.
 
     The region is the innermost container, of several lines or a content element (article, main), that holds
-    all lines above the threshold and all lines of content elements.  Only boilerplate is dropped within it.
+    all containers of several lines with text above the threshold and all lines of content elements.  Single
+    lines around the container with the most such text, as adverts and imprints are, do not widen it.  Only
+    boilerplate is dropped within it.
     """
     if not html:
         return ""
@@ -214,14 +216,27 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     within = [False] * len(parser.parent)  # an element's number is greater than that of the one around it
     for k in range(1, len(within)):
         within[k] = k in parser.content or within[parser.parent[k]]
-    held, several = [0] * len(within), [0] * len(within)
-    for (_, _, at), over in zip(lines, above.tolist(), strict=True):
+    several, held = [0] * len(within), [0] * len(within)
+    for _, _, at in lines:
         several[at] += 1
-        held[at] += over or within[at]
     for k in range(len(within) - 1, 0, -1):
         several[parser.parent[k]] += several[k]
+    holds = [(k in parser.content or k in parser.holders) and several[k] > 1 for k in range(len(within))]
+    home = [0] * len(within)  # the nearest container of several lines
+    for k in range(1, len(within)):
+        home[k] = k if holds[k] else home[parser.parent[k]]
+    weight = [0] * len(within)
+    for (t, _, at), over in zip(lines, above.tolist(), strict=True):
+        weight[home[at]] += len(t) * over
+    loose, k = set(), max(range(len(within)), key=lambda k: (weight[k], k))  # the container with the most text above
+    while k:
+        k = parser.parent[k]
+        loose.add(k)
+    for (_, _, at), over in zip(lines, above.tolist(), strict=True):
+        held[at] += over and home[at] not in loose or within[at]
+    for k in range(len(within) - 1, 0, -1):
         held[parser.parent[k]] += held[k]
-    common = [k for k in range(1, len(within)) if held[k] == held[0] and (k in parser.content or k in parser.holders and several[k] > 1)]
+    common = [k for k in range(1, len(within)) if held[k] == held[0] and (k in parser.content or holds[k])]
     if not common:
         return " ".join(t for t, _, _ in lines)
     region = [False] * len(within)
