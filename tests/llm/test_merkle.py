@@ -108,3 +108,11 @@ def test_proofs_can_be_checked_alone(spark):
 
 def test_no_rows(spark):
     assert merkle.manifest(spark.createDataFrame([], "doc_id long, source string, text string"), ["text"]).collect() == []
+
+
+def test_query_equals_sql(spark):
+    from tests import oracle
+    from waymark.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    assert oracle.differences(merkle.op11_merkle(spark, sf), oracle.connect(sf), queries.ORACLE["op11_merkle"]) == ""

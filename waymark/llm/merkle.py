@@ -292,3 +292,29 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     proved = manifest(table(spark, sf_dir, "documents"), columns, keep=["doc_id"], claimed=claimed, proofs=False)
     hex_of = lambda c, name=None: F.lower(F.hex(c)).alias(name or c)
     return proved.select("doc_id", *map(hex_of, ("leaf", "subroot", "root")), hex_of("proof", "proof_sha256"), hex_of("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_ENCODED = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+_CRC32 = """xor(4294967295, list_reduce(flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [unicode(substr(doc_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT))"""
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes of the trees of ``leaves`` (g, i, h, n) level by level, and their runs of siblings."""
+    return f"""{name} AS (SELECT g, 0 AS level, i, h, n FROM {leaves}
+  UNION ALL SELECT g, level + 1, i // {ARITY}, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + {ARITY - 1}) // {ARITY} FROM {name} WHERE n > 1 GROUP BY g, level, i // {ARITY}),
+{name}_runs AS (SELECT g, level, i // {ARITY} AS run, list(h ORDER BY i) AS hs FROM {name} WHERE n > 1 GROUP BY ALL),
+{name}_steps AS (SELECT l.g, l.i, r.level, [array_to_string(r.hs[:pos], ''), array_to_string(r.hs[pos + 2:], '')] AS step
+  FROM (SELECT g, i, level, (i // power({ARITY}, level + 1)::BIGINT) AS run, (i // power({ARITY}, level)::BIGINT) % {ARITY} AS pos FROM {leaves}, range(12) v(level)) l JOIN {name}_runs r USING (g, level, run)),
+{name}_ways AS (SELECT g, i, list(step ORDER BY level) AS steps FROM {name}_steps GROUP BY ALL)"""
+
+
+OP11_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS g, {_ENCODED('text')} AS leaf, {_ENCODED(f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')")} AS lowered, coalesce({_CRC32} % 5 = 0, false) AS tampered FROM documents),
+l AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_tree_sql('t', 'l')},
+s AS (SELECT '' AS g, g AS of, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+{_tree_sql('u', 's')},
+p AS (SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, CASE WHEN l.tampered THEN l.lowered ELSE l.leaf END AS claimed, list_concat(coalesce(a.steps, []), coalesce(b.steps, [])) AS steps
+  FROM l JOIN s ON s.of = l.g LEFT JOIN t_ways a ON a.g = l.g AND a.i = l.i LEFT JOIN u_ways b ON b.i = s.i),
+f AS (SELECT *, list_reduce(steps, lambda acc, x: [sha256(x[1] || acc[1] || x[2])], [claimed])[1] AS folded_root FROM p)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(flatten(steps), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f"""

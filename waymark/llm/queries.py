@@ -22,4 +22,5 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }
