@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import vocab as v
 from .curation import first_image
-from .text import domain
+from .text import domain, squeeze
 
 
 def _full(x: Column) -> Column:
@@ -88,3 +88,17 @@ def breakdown(components: Column) -> Column:
     """Score components, the greatest effect first, equal ones in their order."""
     numbered = F.transform(components, lambda c, i: F.struct((-F.abs(c["points"])).alias("o"), i.alias("i"), c.alias("c")))
     return F.transform(F.array_sort(numbered), lambda x: x["c"])
+
+
+def import_text(name: Column, description: Column, notes: Column, address: Column, types: Column, source: Column) -> Column:
+    """The text that an importer tags: with the address and the types, in lower case, white space single."""
+    return squeeze(F.concat_ws(" ", *[F.nullif(x, F.lit("")) for x in (name, description, notes, address, F.array_join(types, " "), source)]))
+
+
+def import_sources(source: Column, map_url: Column, source_url: Column, website: Column) -> Column:
+    """An importer's sources in its order: array of struct(id, type, title, url, domain)."""
+    one = lambda id_, kind, title, url: F.when(_full(url).isNotNull(), F.struct(F.lit(id_).alias("id"), F.lit(kind).alias("type"), title.alias("title"), url.alias("url"), F.lower(F.try_parse_url(url, F.lit("HOST"))).alias("domain")))
+    none = F.lit(None).cast("string")
+    dataset = F.when(_full(source).isNotNull(), F.struct(F.lit("source-primary").alias("id"), F.lit("dataset").alias("type"), F.upper(source).alias("title"), none.alias("url"), none.alias("domain")))
+    rest = [one("google-maps-url", "map", F.lit("Google Maps"), map_url), one("source-url", "source_url", F.lit("Source"), source_url), one("website", "website", F.lit("Website"), website)]
+    return F.array_compact(F.array(dataset, *rest))

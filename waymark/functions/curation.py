@@ -152,3 +152,8 @@ def output_row(score: Column, rating: Column, confidence: Column, place_type: Co
         (F.coalesce(needs_coords, F.lit(False)) & ~has_coords).alias("missing_coordinates"), (F.coalesce(place_type, F.lit("")) != "").__and__(place_type != "coffee").alias("non_pure"),
         (~rated & F.coalesce(confidence < 40, F.lit(False))).alias("low_data"), (~rated & (F.coalesce(source, F.lit("")) != "google")).alias("editorial"), (F.trim(F.coalesce(address, F.lit(""))) == "").alias("missing_address"),
     )
+
+
+def shown_reasons(reasons: Column, most: int = 3) -> Column:
+    """The first reasons of a score, as many as a card has room for."""
+    return F.slice(F.coalesce(reasons, F.array().cast("array<struct<label:string,points:double>>")), 1, most)

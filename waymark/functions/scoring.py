@@ -192,3 +192,10 @@ def review_flags(components: Column, score: Column, sources: Column, quality_: C
         F.when(~leading, "no_specialty_signals"), F.when(bucket == "weak", "coffee_profile_weak"),
     ]
     return F.array_distinct(F.filter(F.array(*flags), lambda x: x.isNotNull()))
+
+
+def leans_from_coffee(bucket: Column, sources: Column, band: Column, flags: Column, tags: Column) -> Column:
+    """Whether a reviewed place is weak, or bakery and brunch without a leading coffee tag; null parts of a review count as none."""
+    has_tag = lambda names: F.coalesce(F.arrays_overlap(tags, F.array(*[F.lit(x) for x in names])), F.lit(False))
+    weak = (bucket == "weak") | (sources == "weak") | (band == "low") | F.arrays_overlap(flags, F.array(*[F.lit(x) for x in ("weak_sources", "low_score", "no_specialty_signals")]))
+    return F.coalesce(weak, F.lit(False)) | (bucket.isNotNull() & has_tag(v.BAKERY_BRUNCH_TAGS) & ~has_tag(v.LEADING_TAGS))

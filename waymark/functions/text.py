@@ -253,3 +253,17 @@ def absolute_url(reference: Column, base: Column) -> Column:
     tail = lambda mark, part: F.coalesce(F.concat(F.lit(mark), part), F.lit(""))
     out = F.concat(scheme, F.lit(":"), F.coalesce(F.concat(F.lit("//"), authority), F.lit("")), F.when(own | whole, rooted).otherwise(relative), tail("?", query), tail("#", of(r, "fragment")))
     return F.when((r != "") & scheme.isNotNull() & (own | of(b, "scheme").isNotNull()), out)
+
+
+def component(text: Column) -> Column:
+    """Percent-encoded as a part of a URL, where letters, digits and -_.!~*'() stay."""
+    out = link_part(text)
+    for code, sign in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return out
+
+
+def direct_link(url: Column, name: Column, address: Column, search: str) -> Column:
+    """A place's own link, else ``search`` and its name and address, else nothing."""
+    asked = F.concat_ws(" ", *[F.nullif(F.trim(F.coalesce(x, F.lit(""))), F.lit("")) for x in (name, address)])
+    return F.coalesce(F.nullif(url, F.lit("")), F.when(asked != "", F.concat(F.lit(search), component(asked))).otherwise(F.lit("")))

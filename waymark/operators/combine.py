@@ -20,6 +20,31 @@ def with_new(base: DataFrame, more: DataFrame, city: str = "city", name: str = "
     return new.withColumn("stage", F.lit(0)).unionByName(base.withColumn("stage", F.lit(1)), allowMissingColumns=True)
 
 
+def names_not_in(new: DataFrame, known: DataFrame, by: str = "city_key", name: str = "name") -> DataFrame:
+    """Rows whose lower-case name the known ones of their city do not have."""
+    have = known.select(F.col(by).alias("_by"), F.lower(name).alias("_name")).distinct()
+    return new.join(have, (F.col(by) == F.col("_by")) & (F.lower(F.col(name)) == F.col("_name")), "left_anti")
+
+
+def name_scan(asked: DataFrame, elements: DataFrame, km: float = 12.0) -> DataFrame:
+    """For each name asked for around a point (asked, city_lat, city_lon) the first element by ord that is called so, coffee before others.
+
+    ``elements``: id, ord, name, lat, lon and tags; a name holds the asked one whatever its case.  Points are
+    few; each name is tested against the elements near its points alone.
+    """
+    near = locate.radius_join(elements, asked.withColumn("_asked", F.lower("asked")), km).filter(F.contains(F.lower(F.col("name")), F.col("_asked")))
+    tags = F.col("tags")
+    coffee = F.lower(tag(tags, "amenity")).isin("cafe", "coffee") | (F.lower(tag(tags, "shop")) == "coffee")
+    key = F.struct("asked", "city_lat", "city_lon")
+    return prefer(near.withColumn("_point", key), "_point", coffee).drop("_point", "_asked")
+
+
+def street_scan(elements: DataFrame, points: DataFrame, pattern: str, metres: float, street: str = "addr:street") -> DataFrame:
+    """Elements near a point whose street matches a pattern, whatever its case; named or not."""
+    wanted = F.coalesce(tag(F.col("tags"), street), F.lit("")).rlike("(?i)" + pattern)
+    return locate.radius_join(elements.filter(wanted), points, metres / 1000)
+
+
 def by_mode(mode: str, mapped: DataFrame, listed: DataFrame) -> DataFrame:
     """The sources that a mode shows: lists alone, or the map before the lists."""
     return listed if mode == "google" else mapped.unionByName(listed, allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
-from ..functions.text import bigrams, dice, jaccard, tokens
+from ..functions.text import bigrams, chain_key, dice, jaccard, tokens
 from .graph import materialised
 
 
@@ -34,16 +34,29 @@ def best_candidates(pairs: DataFrame, id_: str, score: str, order: str) -> DataF
 
 
 def geocode_score(display: Column, name: Column, kind: Column, category: Column, lat: Column, lon: Column, city_lat: Column, city_lon: Column) -> Column:
-    """Points of a geocoder's answer; accepted from 32, or from 24 within 12 km."""
-    a, b = tokens(display), tokens(name)
-    overlap = F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).otherwise(F.lit(0.0))
-    text = lambda x: F.array_join(tokens(x), " ")
+    """Points of a geocoder's answer."""
     km = haversine_km(city_lat, city_lon, lat, lon)
-    points = F.when(F.contains(text(display), text(name)) & (F.length(text(name)) > 2), 38).when(overlap >= 0.6, 28).when(overlap >= 0.35, 16).otherwise(0)
-    points = points + F.when(F.lower(category) == "amenity", 14).otherwise(0) + F.when(F.lower(kind).isin("cafe", "coffee_shop", "restaurant", "coffee"), 12).otherwise(0)
+    whole, asked = chain_key(display), chain_key(name)
+    words = lambda t: F.array_distinct(F.filter(F.split(t, " "), lambda w: F.length(w) > 1))
+    a, b = words(whole), words(asked)
+    overlap = F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).otherwise(F.lit(0.0))
+    points = F.when(F.contains(whole, asked) & (F.length(asked) > 2), 38).when(overlap >= 0.6, 28).when(overlap >= 0.35, 16).otherwise(0)
+    points = points + F.when(F.lower(F.trim(category)) == "amenity", 14).otherwise(0) + F.when(F.lower(F.trim(kind)).isin("cafe", "coffee_shop", "restaurant", "coffee"), 12).otherwise(0)
     return points + F.greatest(F.lit(0.0), 32 - km * 2.5) - F.when(km > 25, 35).otherwise(0)
 
 
+def best_geocode(answers: DataFrame, id_: str = "id", order: str = "rank") -> DataFrame:
+    """Of each place the answer with the most points, the first of equals, and whether it is accepted: from 32 points, or from 24 within 12 km.
+
+    ``answers``: id, rank, name (asked for), display, kind, category, lat, lon, city_lat and city_lon; those without a point go.
+    """
+    km = haversine_km(F.col("city_lat"), F.col("city_lon"), F.col("lat"), F.col("lon"))
+    scored = answers.filter("lat is not null and lon is not null").withColumn("km", km)
+    scored = scored.withColumn("points", geocode_score(*map(F.col, ("display", "name", "kind", "category", "lat", "lon", "city_lat", "city_lon"))))
+    best = scored.groupBy(id_).agg(F.max_by(F.struct("points", "km", order, "lat", "lon"), F.struct("points", -F.col(order))).alias("b")).select(id_, "b.*")
+    return best.withColumn("accepted", (F.col("points") >= 32) | ((F.col("points") >= 24) & (F.col("km") <= 12)))
+
+
 def contained(left: DataFrame, right: DataFrame, text: str, other: str, order: str, grams: int = 3) -> DataFrame:
     """The rows of ``left`` with ``match`` (a struct of the row of ``right``): equal texts first, else the first by ``order``
     of those whose text holds the other or is held by it; null if there is none.

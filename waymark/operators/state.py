@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import finite, id_part, parse_stable_id, squeeze
+from . import matching
 
 TOLERANCE = 0.0002
 
@@ -97,6 +98,47 @@ def coerce_manual(raw: DataFrame) -> DataFrame:
     return ok.groupBy("id").agg(*[F.min_by(c, "ord").alias(c) for c in raw.columns if c != "id"])
 
 
+_TEXTS, _NUMBERS = ("name", "address", "notes", "cityName", "source"), ("lat", "lon", "specialtyScore", "updatedAt")
+
+
+def coerce_overrides(raw: DataFrame) -> DataFrame:
+    """(id, patch, deleted) out of a user's overrides (id, entry: a JSON object).
+
+    Ids are trimmed, and those that are blank go.  Texts that are there are trimmed, null and false read as empty;
+    numbers count if they are finite (scores from 0 to 100), and only a true ``deleted`` deletes.  Entries that are
+    no objects, and those of which nothing is left, go.
+    """
+    values, kinds = F.from_json("entry", "map<string,string>"), F.from_json("entry", "map<string,variant>")
+    rows = raw.select(F.trim(F.coalesce("id", F.lit(""))).alias("id"), F.when(F.ltrim("entry").startswith("{"), values).alias("v"), F.transform_values(kinds, lambda _, x: F.schema_of_variant(x)).alias("k"))
+    rows = rows.filter("id != '' and v is not null")
+    value, kind = (lambda n: F.try_element_at("v", F.lit(n))), (lambda n: F.try_element_at("k", F.lit(n)))
+
+    def text(n: str) -> Column:
+        empty = value(n).isNull() | ((kind(n) == "BOOLEAN") & (value(n) == "false")) | (kind(n).startswith("DECIMAL") | (kind(n) == "BIGINT")) & (value(n).try_cast("double") == 0)
+        return F.when(F.map_contains_key("v", n), F.when(empty, F.lit("")).otherwise(F.trim(value(n))))
+
+    def number(n: str) -> Column:
+        x = F.when(kind(n) == "BOOLEAN", (value(n) == "true").cast("double")).when(F.trim(F.coalesce(value(n), F.lit(""))) == "", F.lit(0.0)).otherwise(finite(F.trim(value(n)).try_cast("double")))
+        x = F.when(F.map_contains_key("v", n) & ~F.coalesce(kind(n).startswith("OBJECT") | kind(n).startswith("ARRAY"), F.lit(False)), x)
+        return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))) if n == "specialtyScore" else x
+
+    fields = [F.struct(F.lit(n).alias("key"), text(n).alias("value")) for n in _TEXTS] + [F.struct(F.lit(n).alias("key"), number(n).cast("string").alias("value")) for n in _NUMBERS]
+    patch = F.map_from_entries(F.filter(F.array(*fields), lambda e: e["value"].isNotNull()))
+    deleted = F.coalesce((kind("deleted") == "BOOLEAN") & (value("deleted") == "true"), F.lit(False))
+    return rows.select("id", patch.alias("patch"), deleted.alias("deleted")).filter((F.size("patch") > 0) | F.col("deleted"))
+
+
+def post_hidden(existing: DataFrame, posts: DataFrame, user: str = "user_id") -> DataFrame:
+    """Hidden ids (user, place_key) after each user's post (user, ids): they are added, an empty list clears, no list changes nothing.
+
+    A user posts once.  Blank ids go, and so do repeats.
+    """
+    cleared = posts.filter(F.size("ids") == 0).select(F.col(user).alias("_user"))
+    kept = existing.select(user, "place_key").join(cleared, F.col(user).eqNullSafe(F.col("_user")), "left_anti")
+    new = posts.select(user, F.explode("ids").alias("place_key")).filter("place_key != ''")
+    return kept.unionByName(new).distinct()
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     """The table with the rows of the same key replaced and new ones added."""
     return table.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
@@ -119,7 +161,12 @@ def spread_by_name(ratings: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def recover_indexed(ratings: DataFrame, places: DataFrame) -> DataFrame:
-    """Ratings under seeded-<city>-<index> moved to the id of the city's place at that position (pos)."""
+    """Ratings under seeded-<city>-<index> moved to the id of the city's place at that position (pos).
+
+    The city is the one of that name, else the first by name whose name holds the other or is held by it.
+    """
     parts = F.regexp_extract(F.col("place_id"), r"^seeded-(.+)-(\d+)$", 1)
     old = ratings.withColumn("c", id_part(parts, "")).withColumn("pos", F.regexp_extract("place_id", r"^seeded-(.+)-(\d+)$", 2).try_cast("int")).filter("c != '' and pos is not null")
-    return old.join(places.select(id_part(F.col("city"), "").alias("c"), "pos", "id"), ["c", "pos"]).groupBy(F.col("id").alias("place_id")).agg(F.max("rating").alias("rating"))
+    known = places.select(id_part(F.col("city"), "").alias("known")).distinct()
+    of = matching.contained(old.select("c").distinct(), known.withColumn("by", F.col("known")), "c", "known", "by").select("c", F.col("match.known").alias("known"))
+    return old.join(of, "c").join(places.select(id_part(F.col("city"), "").alias("known"), "pos", "id"), ["known", "pos"]).groupBy(F.col("id").alias("place_id")).agg(F.max("rating").alias("rating"))

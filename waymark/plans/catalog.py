@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decisions, geo, scoring, text
 from ..functions import vocab as v
-from ..operators import audit, dedupe, locate, matching, state
+from ..operators import audit, combine, dedupe, locate, matching, state
 from ..sources import readers, writers
 from ..streaming import live
 from . import adapters, rank
@@ -220,8 +220,7 @@ def keyword_groups(spark, sf):
 
 @query(f"WITH {_PLACE} SELECT city, count(*)::BIGINT AS n FROM places WHERE trim(coalesce(address, '')) = '' GROUP BY 1 ORDER BY n DESC, city LIMIT 15")
 def missing_addresses(spark, sf):
-    p = _places(spark, sf).filter(audit.missing_address(F.col("address")))
-    return p.groupBy("city").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "city").limit(15)
+    return audit.missing_by_city(_places(spark, sf))
 
 
 @query(f"""WITH {_PLACE}, g AS (SELECT city, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, count(*)::BIGINT AS n FROM places GROUP BY 1),
@@ -240,8 +239,8 @@ def bbox_by_city(spark, sf):
 
 @query(f"WITH {_PLACE} SELECT id FROM places p WHERE ord % 2 = 0 AND NOT EXISTS (SELECT 1 FROM places q WHERE q.ord % 2 = 1 AND q.city_key = p.city_key AND lower(q.name) = lower(p.name))")
 def name_anti_join(spark, sf):
-    p = _places(spark, sf).select("id", "ord", "city_key", F.lower("name").alias("n"))
-    return p.filter("ord % 2 = 0").join(p.filter("ord % 2 = 1").select("city_key", "n"), ["city_key", "n"], "left_anti").select("id")
+    p = _places(spark, sf)
+    return combine.names_not_in(p.filter("ord % 2 = 0"), p.filter("ord % 2 = 1")).select("id")
 
 
 _KEY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')"
@@ -482,4 +481,4 @@ def ext_session_window(spark, sf):
     return live.sessions(adapters.read(spark, sf, "events")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-from . import curation, search, streams  # noqa: E402, F401  (register their queries)
+from . import curation, rules, search, streams  # noqa: E402, F401  (register their queries)

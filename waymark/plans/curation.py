@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import agent, curation, decisions, scoring, text
 from ..functions import vocab as v
-from ..operators import combine
+from ..operators import audit, combine
 from ..sources import readers
+from ..streaming import live
 from . import adapters, rank
 from .catalog import _AGENT, _BOOST, _HINTS, _PLACE, _TAGS, _TEXT, SCORED, _agent, _any, _hav, _places, _q, _tagged, query
 
@@ -233,14 +233,13 @@ def city_sanity(spark, sf):
 @query(f"""WITH {_PLACE}, s AS (SELECT *, CASE WHEN ord % 3 = 0 THEN 0 WHEN ord % 3 = 1 THEN 2 ELSE 1 END AS lr FROM places), k AS (SELECT city, id, row_number() OVER (PARTITION BY city ORDER BY lr, ord) AS place FROM s) SELECT city, id, place::INT AS place FROM k WHERE place <= 30""")
 def live_order(spark, sf):
     open_ = F.when(F.col("ord") % 3 == 0, True).when(F.col("ord") % 3 == 1, False)
-    w = Window.partitionBy("city").orderBy(F.when(open_, 0).when(~open_, 2).otherwise(1), "ord")
-    return _places(spark, sf).withColumn("place", F.row_number().over(w)).filter("place <= 30").select("city", "id", "place")
+    return rank.live_order(_places(spark, sf), open_, 30).select("city", "id", "place")
 
 
 @query(f"WITH {_PLACE} SELECT city, count(*)::BIGINT AS n, count(*) FILTER (source = 'google') > 0 AS listed FROM places WHERE contains(lower(name), 'bar') GROUP BY 1")
 def result_counts(spark, sf):
     p = _places(spark, sf).filter(F.contains(F.lower("name"), F.lit("bar")))
-    return p.groupBy("city").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("source") == "google") > 0).alias("listed"))
+    return audit.found_by_city(p)
 
 
 _LAT_TEXT = "CASE ord % 5 WHEN 0 THEN '52,' || ord WHEN 1 THEN ' 1.5 ' WHEN 2 THEN 'x' WHEN 3 THEN '' ELSE '-' || ord || '.25' END"
@@ -307,18 +306,17 @@ def latest_request(spark, sf):
 
 @query(f"WITH {_PLACE} SELECT DISTINCT city, CASE {' '.join(f"WHEN contains(lower(name), '{w}') THEN '{w}'" for w in _HINTS)} END AS area FROM places WHERE area IS NOT NULL")
 def distinct_city_areas(spark, sf):
-    return _places(spark, sf).select("city", text.first_of(F.lower("name"), _HINTS).alias("area")).filter("area is not null").distinct()
+    return audit.areas(_places(spark, sf), text.first_of(F.lower("name"), _HINTS))
 
 
 @query("SELECT conv_id, count(*)::BIGINT AS n, arg_min(text, turn) AS first_text FROM conversations GROUP BY 1")
 def list_totals(spark, sf):
-    lists = adapters.read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("places"))
-    return lists.select("conv_id", F.size("places").cast("long").alias("n"), F.col("places")[0]["text"].alias("first_text"))
+    return audit.list_sizes(adapters.read(spark, sf, "conversations"), "conv_id", "turn", "text")
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
 def in_flight_once(spark, sf):
     """The first of equal requests of a user; the stream form drops later ones within its watermark (``live.cached``)."""
     e = adapters.read(spark, sf, "events")
-    return e.groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select("user_id", "event_id")
+    return live.first_in_flight(e, ["user_id", "event_type"]).select("user_id", "event_id")
 

@@ -46,6 +46,13 @@ def filters(
     return df
 
 
+def live_order(places: DataFrame, open_: Column, top: int | None = None, city: str = "city", order: str = "ord") -> DataFrame:
+    """Places of each city numbered (place): open ones, those of which it is not known, closed ones."""
+    by = Window.partitionBy(city).orderBy(F.when(open_.isNull(), 1).when(open_, 0).otherwise(2), order)
+    df = places.withColumn("place", F.row_number().over(by))
+    return df.filter(F.col("place") <= top) if top else df
+
+
 def rank_places(places: DataFrame, cities: DataFrame, ratings: DataFrame, mode: str = "coffeeAndBakery", radius_km: float = 3.5, top: int = 20, weights: str = "balanced") -> DataFrame:
     """The ``top`` places of each city: in scope and radius, listed, scored, boosted by rating, without duplicates."""
     df = scored(places, weights)

@@ -60,8 +60,8 @@ def import_manual(spark: SparkSession, path: str, current: DataFrame) -> DataFra
     if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
         return current
     text = spark.read.text(path, wholetext=True).filter("trim(value) != ''")  # a user's own places: each file fits a task
-    listed = F.ltrim(F.col("value")).startswith("[")
-    documents = text.select(F.explode(F.when(listed, F.array("value")).otherwise(F.split(F.trim("value"), r"[\r\n]+"))).alias("value"))
+    listed = F.col("value").rlike(r"^\s*\[")
+    documents = text.select(F.explode(F.when(listed, F.array("value")).otherwise(F.split("value", r"[\r\n]+"))).alias("value")).filter("trim(value) != ''")
     kind = current.schema.simpleString()
     one = F.when(listed, F.from_json("value", f"array<{kind}>", {"mode": "FAILFAST"})).otherwise(F.array(F.from_json("value", kind, {"mode": "FAILFAST"})))
     parsed = F.try_parse_json("value")

@@ -51,6 +51,11 @@ def cached(results: DataFrame, minutes: int = 30, ts: str = "ts") -> DataFrame:
     return results.withWatermark(ts, f"{minutes} minutes").dropDuplicatesWithinWatermark(["key"])
 
 
+def first_in_flight(requests: DataFrame, keys: list[str], ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Batch form of dropping equal requests: the first of each."""
+    return requests.groupBy(*keys).agg(F.min_by(tie, F.struct(ts, tie)).alias(tie))
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by event type and window; an extension, batch or stream."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
