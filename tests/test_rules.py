@@ -57,3 +57,29 @@ def test_queue_and_scans(spark):
     asked = spark.createDataFrame([("Samy", 0.0, 0.0), ("nobody", 0.0, 0.0)], "asked string, city_lat double, city_lon double")
     assert [(r.asked, r.id) for r in combine.name_scan(asked, e).collect()] == [("Samy", "y")]
     assert [r.id for r in combine.street_scan(e, asked.limit(1), "shlomo hamelech", 500.0).collect()] == ["q"]
+
+
+def test_best_matches_equal_all_pairs_without_making_them(spark):
+    """A hot point of many copies: kinds meet, and not their members."""
+    import random
+
+    from pyspark.sql import Window
+
+    from waymark.operators import locate
+
+    r = random.Random(7)
+    names, streets = ["Café Zoo", "cafe  ZOO", "Zoo Bar", "Bar & Co", "x", "", None], ["Main St 1", "main st 1", None, ""]
+    rows = [(i, i % 90, r.choice(names[:3]), r.choice(streets), 1.0, 1.0) for i in range(400)]
+    rows += [(400 + i, i, r.choice(names), r.choice(streets), 1 + r.randint(0, 9) / 2000, 1 + r.randint(0, 9) / 2000) for i in range(120)]
+    rows += [(600, 1, "alone", None, 5.0, 5.0), (601, 1, "no point", None, None, 1.0)]
+    p = spark.createDataFrame(rows, "id int, ord int, name string, address string, lat double, lon double")
+    c = p.toDF("cid", "cord", "cname", "caddress", "clat", "clon")
+    got = {x.id: (x.cid, round(x.total, 9), x.strong) for x in matching.best_matches(p, c).collect()}
+    pairs = locate.radius_join(p.drop("ord"), c.withColumnsRenamed({"clat": "city_lat", "clon": "city_lon"}), 0.7).filter("id != cid")
+    pairs = pairs.withColumn("m", matching.match_score(F.col("name"), F.col("cname"), F.col("address"), F.col("caddress"), F.col("km") * 1000))
+    w = Window.partitionBy("id").orderBy(F.desc("m.total"), "cord", "cid")
+    want = {x.id: (x.cid, round(x.m.total, 9), x.m.strong) for x in pairs.withColumn("n", F.row_number().over(w)).filter("n = 1").collect()}
+    assert got == want and len(want) == 520
+    many = p.filter("id < 400").withColumn("id", F.explode(F.sequence(F.col("id") * 100, F.col("id") * 100 + 99)))  # 40,000 at one point
+    kinds = matching.best_matches(many, many.toDF("cid", "cord", "cname", "caddress", "clat", "clon"))
+    assert kinds.count() == 40_000  # 1.6e9 pairs, were they made

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
-from ..functions.text import bigrams, chain_key, dice, jaccard, tokens
+from ..functions.text import bigrams, chain_key, dice, jaccard, match_text, tokens
+from . import locate
 from .graph import materialised
 
 
@@ -33,6 +34,31 @@ def best_candidates(pairs: DataFrame, id_: str, score: str, order: str) -> DataF
     return pairs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def best_matches(places: DataFrame, candidates: DataFrame, km: float = 0.7) -> DataFrame:
+    """The best candidate within ``km`` of each place (id), not the place itself: id, cid, total and strong; of equals the first by order.
+
+    ``places``: id, name, address, lat, lon; ``candidates``: cid, cord, cname, caddress, clat, clon.  Records that
+    read alike at one point are one kind, whose first two stand for it: a place that is one of them takes the
+    other.  So the kinds near each other are compared, and not their members, and a place meets the few
+    that stand for its two best kinds.  Records without a point match nothing.
+    """
+    kind = lambda name, address, lat, lon: F.struct(match_text(F.col(name)).alias("name"), F.array_join(tokens(F.col(address)), " ").alias("address"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+    asked = materialised(places.select("id", kind("name", "address", "lat", "lon").alias("asked")).filter("asked.lat is not null and asked.lon is not null"))
+    offered = materialised(candidates.select(F.struct(F.col("cord").alias("ord"), F.col("cid").alias("id")).alias("c"), kind("cname", "caddress", "clat", "clon").alias("kind")).filter("kind.lat is not null and kind.lon is not null"))
+    first = offered.groupBy("kind").agg(F.min("c").alias("first"))
+    second = offered.join(first, "kind").filter(F.col("c") > F.col("first")).groupBy("kind").agg(F.min("c").alias("second"))
+    kinds = materialised(first.join(second, "kind", "left").select("kind", F.array_compact(F.array("first", "second")).alias("members")))
+    left = asked.select("asked").distinct().select("asked", F.col("asked.lat").alias("lat"), F.col("asked.lon").alias("lon"))
+    right = kinds.select("kind", "members", F.col("kind.lat").alias("city_lat"), F.col("kind.lon").alias("city_lon"))
+    near = locate.radius_join(left, right, km)
+    near = near.withColumn("m", match_score(F.col("asked.name"), F.col("kind.name"), F.col("asked.address"), F.col("kind.address"), F.col("km") * 1000))
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("m.total"), F.col("members")[0]))
+    few = near.withColumn("place", place).filter("place <= 2").select("asked", "m", F.explode("members").alias("c"))
+    met = asked.join(few, "asked").filter(F.col("c.id") != F.col("id"))
+    best = met.groupBy("id").agg(F.min_by(F.struct(F.col("c.id").alias("cid"), F.col("m.total").alias("total"), F.col("m.strong").alias("strong")), F.struct(-F.col("m.total"), F.col("c"))).alias("b"))
+    return best.select("id", "b.*")
+
+
 def geocode_score(display: Column, name: Column, kind: Column, category: Column, lat: Column, lon: Column, city_lat: Column, city_lon: Column) -> Column:
     """Points of a geocoder's answer."""
     km = haversine_km(city_lat, city_lon, lat, lon)

@@ -342,11 +342,9 @@ def bigram_dice(spark, sf):
 
 @query()
 def photo_match_best(spark, sf):
-    p = _places(spark, sf).select("id", "ord", "name", "address", "lat", "lon", "city_key")
-    c = p.select(F.col("id").alias("cid"), F.col("ord").alias("cord"), F.col("name").alias("cname"), F.col("address").alias("caddress"), F.col("lat").alias("city_lat"), F.col("lon").alias("city_lon"))
-    near = locate.radius_join(p, c, 0.7).filter("id != cid")
-    near = near.withColumn("m", matching.match_score(F.col("name"), F.col("cname"), F.col("address"), F.col("caddress"), F.col("km") * 1000)).withColumn("total", F.col("m.total"))
-    return matching.best_candidates(near, "id", "total", "cord").select("id", "cid", F.round("total", 6).alias("total"), "m.strong")
+    p = _places(spark, sf).select("id", "ord", "name", "address", "lat", "lon")
+    c = p.select(F.col("id").alias("cid"), F.col("ord").alias("cord"), F.col("name").alias("cname"), F.col("address").alias("caddress"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    return matching.best_matches(p, c).select("id", "cid", F.round("total", 6).alias("total"), "strong")
 
 
 @query(f"""WITH {_PLACE}, h AS (SELECT id, lower(opening_hours) AS h, unnest(string_split_regex(lower(opening_hours), '[;,]')) AS raw FROM places WHERE opening_hours <> ''),
