@@ -82,3 +82,15 @@ def test_mixed_keeps_clashing_columns_and_repeats(spark):
     assert Counter((r.doc_id, r.source) for r in out) == Counter({k: n for k, n in want.items() if n})
     assert all((r._size, r.row) == ("a", "b") and (r.doc_id is None or r.h == r.doc_id and r.text == text(r.doc_id)) for r in out)
     assert mixing.mixed(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_dealt_to_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 100)
+    df = spark.createDataFrame([(1, "a", "same words here")] * 5000 + [(i, "b", "w " * (i % 7)) for i in range(300)], "doc_id long, source string, text string")
+    numbered = mixing._numbered(df.selectExpr("doc_id", "source", "cast(3 as long) as size", "xxhash64(text) as h"))
+    assert numbered.count() == 5300 and numbered.filter("source = 'a'").select("nth").distinct().count() == 5000
+    got = mixing.mix(df, block=128).collect()
+    assert len(got) == 5300
+    taken = sum(r.taken for r in got if r.source == "a")
+    assert abs(taken - next(r.target for r in got if r.source == "a")) <= 3
+    assert {r.copies for r in got if r.source == "a"} <= {0, 1, 2}

@@ -7,9 +7,10 @@ documents), so that totals stay exact, until a handful of documents per block ar
 undecided of all blocks of a source are gathered into fewer blocks and flown again, level by level;
 the few that are left of a source at the end land on the rounding whose words come nearest.
 
-Null texts have size 0, as have empty ones; they join by their fraction but count no words.  Null
-sources are a source of their own.  Repeated rows are separate documents.  Everything follows from
-hashes of the rows, so reruns agree.
+Null texts have size 0, as have empty ones; they join by their fraction but count no words.  Very long
+texts count all their words.  Null sources are a source of their own.  Repeated rows are separate documents,
+and are dealt to blocks by their number, so that none gets all of them.  An empty table has an empty mix.
+Everything follows from hashes of the rows, so reruns agree.  Columns may have any names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ WEIGHTS, SHARE, MOST_REPEATS = (3, 1, 2), 1.5, 2.0
 BLOCK = 2048
 #: With at most so many sources their table is broadcast; with more it is joined by shuffle.
 FEW_SOURCES = 10_000
+#: Repeated rows of one kind that a task makes at a time.
+REPEATS = 100_000
 _EPS = 1e-9
 
 
@@ -108,24 +111,32 @@ def _with_source(df: DataFrame, per_source: DataFrame, few: bool) -> DataFrame:
     return df.join(F.broadcast(other) if few else other, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with equal ones told apart by a number (nth); a kind that is repeated often comes from several tasks."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {REPEATS}")))).repartition("h", "run")
+    first = F.col("run") * REPEATS
+    return runs.select(*rows.columns, F.explode(F.sequence(first, F.least(first + REPEATS, F.col("n")) - 1)).alias("nth"))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Per document doc_id, source, size, source_size, target, taken (words), copies (0, 1 or 2) and h (its hash)."""
     key, of, t = F.col(f"`{doc_id}`"), F.col(f"`{source}`"), F.col(f"`{text}`")
     sized = docs.select(key.alias("doc_id"), of.alias("source"), n_words(t).alias("size"), F.xxhash64(key, of, t).alias("h"))
     per_source = cut_lineage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("left"))))
     few = per_source.count() <= FEW_SOURCES
-    sized = _with_source(sized, per_source, few)
+    sized = _with_source(_numbered(sized), per_source, few)
     # the documents of a source without words are expected as often as those of an average source
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(SHARE))
     sized = sized.withColumn("sure", F.floor(rate + _EPS).cast("int")).withColumn("p", F.greatest(rate - F.col("sure"), F.lit(0.0)))
     flown, level, done = sized, 0, None
     while True:
         blocks = F.greatest(F.ceil(F.col("left") / block), F.lit(1))
-        flown = flown.withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), blocks)).withColumn("last", F.col("left") <= block)
+        flown = flown.withColumn("block", F.pmod(F.xxhash64("h", "nth", F.lit(level)), blocks)).withColumn("last", F.col("left") <= block)
         schema = flown.drop("left", "block", "last").schema
 
         def fly(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values(["h", "doc_id", "size"], kind="stable")
+            part = part.sort_values(["h", "nth", "doc_id", "size"], kind="stable")
             p, size = part["p"].to_numpy(float), part["size"].to_numpy(float)
             r = flight(p, np.column_stack([size, np.ones(len(p))]))
             if part["last"].iloc[0]:
