@@ -479,4 +479,4 @@ def ext_session_window(spark, sf):
     return live.sessions(adapters.read(spark, sf, "events")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-from . import curation, rules, search, streams  # noqa: E402, F401  (register their queries)
+from . import curation, pieces, rules, search, streams  # noqa: E402, F401  (register their queries)
