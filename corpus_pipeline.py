@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm import bpe, mixing, near_dedup, pii, toxicity
-from waymark.llm.common import cut_lineage, table
+from waymark.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage keeps is written once for the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage keeps is written once for the next, and goes when that one has been written."""
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark), []
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if i == 0 else cut_lineage(docs), sf_dir)
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.keep(docs)
+            if before:
+                scratch.drop(*before)
+            before = [docs]
     return docs

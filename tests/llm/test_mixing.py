@@ -94,3 +94,9 @@ def test_repeated_rows_are_dealt_to_many_blocks(spark, monkeypatch):
     taken = sum(r.taken for r in got if r.source == "a")
     assert abs(taken - next(r.target for r in got if r.source == "a")) <= 3
     assert {r.copies for r in got if r.source == "a"} <= {0, 1, 2}
+
+
+def test_very_long_texts_count_all_their_words(spark):
+    rows = [(1, "a", "w " * 500_000), (2, "a", "x" * 1_000_000)] + [(i, "b", "w w") for i in range(3, 60)]
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert (got[1].size, got[2].size, got[1].source_size) == (500_000, 1, 500_001) and got[1].taken in (0, 500_000, 1_000_000)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from waymark.llm import quality_model as m
 from waymark.llm.common import held_out
@@ -47,3 +48,12 @@ def test_no_labels_and_no_rows(spark):
     docs, labels = corpus(spark, 20)
     assert {r.score for r in m.score(docs, m.train(docs, labels.limit(0))).collect()} == {0.5}
     assert m.score(docs.limit(0), m.train(docs, labels)).count() == 0
+
+
+def test_one_label_and_clashing_names(spark):
+    docs, labels = corpus(spark, 60)
+    one = {r.score for r in m.score(docs, m.train(docs, labels.filter("quality = 1"))).collect()}
+    assert len(one) == 1 and 0.5 < one.pop() < 1
+    clash = docs.withColumn("Score", F.lit("mine")).withColumn("a.b", F.lit("its")).withColumn("y", F.lit(1))
+    got = m.score(clash, m.train(clash, labels))
+    assert [c for c in got.columns if c.lower() == "score"] == ["score"] and {(r["a.b"], r.y) for r in got.collect()} == {("its", 1)}

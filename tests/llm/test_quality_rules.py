@@ -46,5 +46,12 @@ def test_order_is_by_rejections_per_cost():
     assert q.ordered([("a", 1.0, 0.1), ("b", 0.1, 0.1), ("c", 1.0, 0.9), ("d", 0.1, 0.0)]) == ["b", "c", "a", "d"]
 
 
+def test_ties_keep_the_given_order(spark):
+    assert q.ordered([("c", 1.0, 0.5), ("a", 2.0, 1.0), ("b", 0.5, 0.25), ("d", 0.0, 0.0), ("e", 0.0, 0.0)]) == ["c", "a", "b", "d", "e"]
+    texts = [("LOUD words here and there " * 8 + f"{i} {i + 1}",) for i in range(30)]
+    got = q.cascade(spark.createDataFrame(texts, "`the.text` string"), text="the.text")
+    assert got.columns[0] == "the.text" and got.count() == 30
+
+
 def test_empty_table(spark):
     assert q.cascade(spark.createDataFrame([], "doc_id long, text string")).count() == 0

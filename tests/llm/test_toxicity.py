@@ -61,6 +61,14 @@ def test_hits_are_distinct_and_stay_within_rows():
         assert (row == i).sum() == len(want)
 
 
+def test_buckets_that_differ_alike_are_kept_in_order(spark, monkeypatch):
+    monkeypatch.setattr(m, "KEPT", 5)
+    docs = spark.createDataFrame([(i, "aaaa bbbb" if i % 2 else "cccc dddd") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    one, two = m.train(docs, labels), m.train(docs.repartition(7), labels)
+    assert len(one.buckets) == 5 and one.buckets.tolist() == two.buckets.tolist() == sorted(one.buckets.tolist())
+
+
 def test_the_decay_is_chosen_on_folds():
     r = np.random.default_rng(3)
     noise = r.normal(size=(240, 300)).astype(np.float32)

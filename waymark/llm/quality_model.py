@@ -4,8 +4,10 @@ The statistics come from the whole text alone.  The trees are grown in numpy on
 sample, binned by its quantiles, and flattened into arrays of features, cuts and leaves that every
 task traverses for a batch of documents at once.
 
-Null texts count as empty; their statistics are zeros and they get the score those lead to.
-Without labelled rows every score is 0.5.  Repeated rows get repeated results.
+Null texts count as empty; their statistics are zeros and they get the score those lead to.  Very long
+texts are counted whole.  Without labelled rows every score is 0.5, and a sample of one label gives that
+label's smoothed share.  Repeated rows get repeated results; an empty table gives none.  The result
+replaces an input column of its name; all other names are free.
 """
 
 from __future__ import annotations
