@@ -83,3 +83,24 @@ def test_best_matches_equal_all_pairs_without_making_them(spark):
     many = p.filter("id < 400").withColumn("id", F.explode(F.sequence(F.col("id") * 100, F.col("id") * 100 + 99)))  # 40,000 at one point
     kinds = matching.best_matches(many, many.toDF("cid", "cord", "cname", "caddress", "clat", "clon"))
     assert kinds.count() == 40_000  # 1.6e9 pairs, were they made
+
+
+def test_strict_ids_keep_signs_and_cities(spark):
+    ids = {"seeded-madrid-foo-40.41680--3.70380": ("foo", 40.4168, -3.7038), "seeded-madrid-foo-bar--1.50000-na": ("foo-bar", -1.5, None), "seeded-madrid-7": None, "node-5": None, "seeded-tel-aviv-x-1.00000-2.00000": ("aviv-x", 1.0, 2.0)}
+    df = spark.createDataFrame([(i,) for i in ids], "i string")
+    got = {r.i: (r.p and (r.p.name_key, r.p.lat, r.p.lon)) for r in df.select("i", text.parse_strict_id(F.col("i")).alias("p")).collect()}
+    assert got == ids
+    named = df.select("i", text.parse_strict_id(F.col("i"), F.lit("Tel Aviv")).alias("p")).filter("p is not null").collect()
+    assert [(r.p.city_key, r.p.name_key) for r in named] == [("tel-aviv", "x")]
+
+
+def test_a_replaced_table_leaves_a_copy(spark, tmp_path):
+    from waymark.sources import writers
+
+    path = str(tmp_path / "t")
+    writers.replace_table(spark.range(3), path, "1")
+    assert not (tmp_path / "t.before-1").exists()
+    more = spark.read.parquet(path).filter("id > 0")
+    assert writers.replace_table(more, path, "2", write=False).count() == 2 and spark.read.parquet(path).count() == 3
+    writers.replace_table(more, path, "2")
+    assert spark.read.parquet(path).count() == 2 and spark.read.parquet(path + ".before-2").count() == 3

@@ -102,3 +102,33 @@ def import_sources(source: Column, map_url: Column, source_url: Column, website:
     dataset = F.when(_full(source).isNotNull(), F.struct(F.lit("source-primary").alias("id"), F.lit("dataset").alias("type"), F.upper(source).alias("title"), none.alias("url"), none.alias("domain")))
     rest = [one("google-maps-url", "map", F.lit("Google Maps"), map_url), one("source-url", "source_url", F.lit("Source"), source_url), one("website", "website", F.lit("Website"), website)]
     return F.array_compact(F.array(dataset, *rest))
+
+
+#: The sentences of an imported place's story.
+ROASTERY_STORY = "A roastery-forward coffee spot with specialty signals in its public-facing metadata."
+BAKERY_STORY = "A bakery-and-coffee stop with visible espresso cues and a broader cafe profile."
+PLAIN_STORY = "A coffee-oriented venue with structured public source references."
+CUE_STORY = ("A specialty-leaning cafe with clear ", " signals in its public-facing metadata.")
+REFERENCE_STORY = "Source metadata references "
+ADDRESS_STORY = "Address metadata is available for location context."
+POUR_TAGS = ["pour_over", "v60", "chemex", "aeropress"]
+
+
+def import_story(tags: Column, sources_: Column, address: Column) -> Column:
+    """struct(summary, source_ids) of an imported place: what its tags say, up to two of its sources, and whether it has an address.
+
+    ``sources_``: array of struct with id, title, url and domain.
+    """
+    has = lambda *names: F.arrays_overlap(tags, F.array(*[F.lit(n) for n in names]))
+    specialty, espresso, pour = has("specialty_coffee"), has("espresso_bar"), has(*POUR_TAGS)
+    cues = F.array_compact(F.array(F.when(pour, F.lit("pour-over")), F.when(espresso, F.lit("espresso"))))
+    cues = F.when(F.size(cues) > 0, F.array_join(cues, " and ")).otherwise(F.lit("specialty coffee"))
+    first = (
+        F.when(has("roastery") & specialty, ROASTERY_STORY).when(has("bakery") & (espresso | specialty), BAKERY_STORY)
+        .when(specialty | espresso | pour, F.concat(F.lit(CUE_STORY[0]), cues, F.lit(CUE_STORY[1]))).otherwise(PLAIN_STORY)
+    )
+    named = F.transform(F.filter(sources_, lambda s: _full(s["url"]).isNotNull()), lambda s: F.coalesce(_full(s["domain"]), _full(s["title"])))
+    named = F.slice(F.array_distinct(F.array_compact(named)), 1, 2)
+    second = F.when(F.size(named) > 0, F.concat(F.lit(REFERENCE_STORY), F.array_join(named, " and "), F.lit(".")))
+    summary = F.concat_ws(" ", first, second, F.when(_full(address).isNotNull(), ADDRESS_STORY))
+    return F.struct(summary.alias("summary"), F.transform(sources_, lambda s: s["id"]).alias("source_ids"))

@@ -95,6 +95,20 @@ def _stable_parts(parts: Column) -> Column:
     return F.get(kept, F.lit(0))
 
 
+def parse_strict_id(value: Column, city: Column | None = None) -> Column:
+    """``parse_stable_id`` with the signs of its numbers and whole words of the city, if that is given; "na" reads as null.
+
+    Without ``city`` its key is the first hyphened part.  Null for what is no such id, or one of another city.
+    """
+    number = r"(-?\d+(?:\.\d+)?|na)"
+    key = id_part(city, "city") if city is not None else F.regexp_extract(value, r"^seeded-([^-]+)-", 1)
+    rest = F.substring(value, F.length(key) + 9, F.length(value))  # after seeded-<city>-
+    pattern = rf"^(.*[^-])-{number}-{number}$"
+    part = lambda i: F.regexp_extract(rest, pattern, i)
+    read = F.struct(key.alias("city_key"), part(1).alias("name_key"), part(2).try_cast("double").alias("lat"), part(3).try_cast("double").alias("lon"))
+    return F.when((key != "") & value.startswith(F.concat(F.lit("seeded-"), key, F.lit("-"))) & rest.rlike(pattern), read)
+
+
 def stable_hash(text: Column) -> Column:
     """h = h * 31 + code, modulo 2**32, over the characters (those of the basic plane)."""
     chars = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))

@@ -183,3 +183,29 @@ def best_coordinates(spark, sf):
     return places(spark, sf).select("id", best.alias("b")).select("id", F.round("b.lat", 6).alias("lat"), F.round("b.lon", 6).alias("lon"))
 
 
+
+
+_TAGGED = ORACLE["imported_agent"].split("SELECT id, array_to_string(", 1)
+
+
+@query(f"""{_TAGGED[0].rstrip()}, k AS (SELECT *, list_sort(CASE WHEN score >= 80 AND NOT list_contains(t0, 'specialty_coffee') THEN list_append(t0, 'specialty_coffee') ELSE t0 END) AS tg FROM h),
+c AS (SELECT *, list_contains(tg, 'specialty_coffee') AS sp, list_contains(tg, 'espresso_bar') AS es, list_has_any(tg, {agent.POUR_TAGS}) AS po,
+  list_filter([CASE WHEN ord % 2 = 0 THEN 'x.example' END, CASE WHEN ord % 3 = 0 THEN 'y.example' END], lambda x: x IS NOT NULL) AS refs FROM k)
+SELECT id, concat_ws(' ', CASE WHEN list_contains(tg, 'roastery') AND sp THEN {_q(agent.ROASTERY_STORY)} WHEN list_contains(tg, 'bakery') AND (es OR sp) THEN {_q(agent.BAKERY_STORY)}
+  WHEN sp OR es OR po THEN {_q(agent.CUE_STORY[0])} || coalesce(nullif(array_to_string(list_filter([CASE WHEN po THEN 'pour-over' END, CASE WHEN es THEN 'espresso' END], lambda x: x IS NOT NULL), ' and '), ''), 'specialty coffee') || {_q(agent.CUE_STORY[1])} ELSE {_q(agent.PLAIN_STORY)} END,
+  CASE WHEN len(refs) > 0 THEN {_q(agent.REFERENCE_STORY)} || array_to_string(refs, ' and ') || '.' END, CASE WHEN coalesce(address, '') <> '' THEN {_q(agent.ADDRESS_STORY)} END) AS summary FROM c""")
+def imported_story(spark, sf):
+    """The story that an importer writes out of tags, sources and address."""
+    p = rank.scored(places(spark, sf))
+    said = agent.import_text(F.col("name"), F.col("description"), F.lit(None).cast("string"), F.col("address"), F.array(F.lit("bakery"), F.lit("cafe")), F.col("source"))
+    url = lambda n, host: F.when(F.col("ord") % n == 0, F.lit(f"https://{host}.example/a"))
+    found = agent.import_sources(F.col("source"), url(2, "X"), F.lit(None).cast("string"), url(3, "y"))
+    return p.select("id", agent.import_story(scoring.tag_rules(said, F.col("score")), found, F.col("address")).alias("s")).select("id", "s.summary")
+
+
+@query(f"WITH {_PLACE} SELECT id, CASE WHEN ord % 5 = 0 THEN NULL ELSE round(-lat, 5) END AS lat, round(lon, 5) AS lon FROM places")
+def strict_ids(spark, sf):
+    """Places out of the ids that were made of them, signs included."""
+    k, city = F.col("ord"), F.concat("city", F.lit(" Old-Town"))
+    ids = text.stable_id(city, F.col("name"), F.when(k % 5 != 0, -F.col("lat")), F.col("lon"))
+    return places(spark, sf).select("id", text.parse_strict_id(ids, city).alias("p")).select("id", "p.lat", "p.lon")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import folded
+from ..operators.graph import filesystem, materialised
 
 
 def slug(text: Column) -> Column:
@@ -36,6 +37,17 @@ def snapshot(state: DataFrame, path: str, stamp: str) -> None:
     state.write.mode("overwrite").parquet(f"{path}/history/{stamp}")
 
 
+def replace_table(df: DataFrame, path: str, stamp: str, write: bool = True) -> DataFrame:
+    """``df`` in place of the table at ``path``, whose rows are first copied to ``path``.before-``stamp``; a dry run only returns ``df``."""
+    if write:
+        spark, new = df.sparkSession, materialised(df)  # it may be read from the path that it replaces
+        files, at = filesystem(spark, path)
+        if files.exists(at):
+            spark.read.parquet(path).write.parquet(f"{path}.before-{stamp}")
+        new.write.mode("overwrite").parquet(path)
+    return df
+
+
 def append_log(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
