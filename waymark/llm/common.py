@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -10,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,6 +121,24 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, after which the worker gives the memory that it took back to the machine.
+
+    Workers live on beside later stages, and their allocators would keep what a task freed: some 300 MB each.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType) -> DataFrame:
     """``df.mapInPandas`` for columns of any name: a dot in one is no step into a struct.  ``run`` yields the columns of ``schema`` in order."""
     names = df.columns
@@ -131,7 +153,7 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
         for batch in run(named(batches)):
             yield batch.set_axis(plain.names, axis=1)
 
-    return df.toDF(*[f"_{i}" for i in range(len(names))]).mapInPandas(renamed, plain).toDF(*schema.names)
+    return df.toDF(*[f"_{i}" for i in range(len(names))]).mapInPandas(frugal(renamed), plain).toDF(*schema.names)
 
 
 def pack(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

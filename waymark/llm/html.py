@@ -25,7 +25,6 @@ from html.parser import HTMLParser
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_frames, table, without

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, table
+from .common import Scratch, free_name, frugal, table
 from .components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 6
@@ -145,7 +145,7 @@ def _sketch(rows: DataFrame) -> DataFrame:
                 out.append(seen[node])
             yield pd.concat([batch[["id", "h"]], pd.DataFrame(out, columns=["node", "n", "keys"], index=batch.index)], axis=1)
 
-    return rows.mapInPandas(run, "id long, h long, node binary, n long, keys array<long>")
+    return rows.mapInPandas(frugal(run), "id long, h long, node binary, n long, keys array<long>")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             found = [text_cells(t) for t in batch["text"]]
             yield pd.DataFrame({"node": [xxhash.xxh3_128_digest(s.tobytes()) for s in found], "s": [s.view(np.int64) for s in found]})
 
-    return some.mapInPandas(run, "node binary, s array<long>")
+    return some.mapInPandas(frugal(run), "node binary, s array<long>")
 
 
 def _of(sets: DataFrame, x: str) -> DataFrame:

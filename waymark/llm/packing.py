@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, frugal, table
 
 CAPACITY, END = 2048, 1
 #: Room that is left in a pack as padding, and not filled by cutting documents.
@@ -265,7 +265,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
                 columns = [names, pa.array(start, pa.int64()), pa.array(length, pa.int32()), ids, pa.array(crc, pa.int64()), pa.array(tokens), pa.array(np.full(len(of), part, np.int32)), pa.array(numbers), pa.array(nth, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "part", "row", "nth"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def _placed(made: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, cut_lineage, packed, table, unpacked
+from .common import WORD, cut_lineage, frugal, packed, table, unpacked
 
 MIN_WORDS, MIN_EXP = 24, 3
 #: Characters from which on the lags of a text are dealt out, and comparisons of one range of lags.
@@ -145,9 +145,9 @@ def find_runs(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, m
     of = F.greatest(F.lit(1), F.ceil(n * n / (min_exp * piece))).cast("int")
     texts = keyed.select("key", "text").dropDuplicates(["key"]).withColumn("of", of)
     dealt = texts.select("key", "text", "of", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("i")).repartition("key", "i")
-    found = dealt.mapInArrow(ranges, f"key string, runs {RUNS}").groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    long = keyed.join(found, "key").select("row", "text", "runs").mapInArrow(given, schema)
-    done = rows.filter(~is_long).mapInArrow(whole, schema).unionByName(long)
+    found = dealt.mapInArrow(frugal(ranges), f"key string, runs {RUNS}").groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    long = keyed.join(found, "key").select("row", "text", "runs").mapInArrow(frugal(given), schema)
+    done = rows.filter(~is_long).mapInArrow(frugal(whole), schema).unionByName(long)
     return done.select(*unpacked(own), *names)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, free_name, held_out, labelled_sample, map_frames, pack, table, window_hashes, without
+from .common import cut_lineage, free_name, frugal, held_out, labelled_sample, map_frames, pack, table, window_hashes, without
 
 BUCKETS, SIZES, KEPT = 1 << 20, (3, 4, 5, 6), 2048
 #: The bound of the labelled sample: rows of each label.
@@ -81,7 +81,7 @@ def _counts(sample: DataFrame) -> DataFrame:
         at = np.flatnonzero(total.any(axis=0))
         yield pd.DataFrame({"bucket": at, "pos": total[1][at], "neg": total[0][at]})
 
-    return sample.mapInPandas(run, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return sample.mapInPandas(frugal(run), "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, rounds: int = 400) -> np.ndarray:
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
                 on += np.split(feature.astype(np.int32), np.searchsorted(row, np.arange(1, len(part))))
             yield pd.DataFrame({"y": batch["y"].to_numpy(), "on": on})
 
-    rows = sample.mapInPandas(run, "y int, on array<int>").toPandas()  # at most 2 * most rows of KEPT numbers
+    rows = sample.mapInPandas(frugal(run), "y int, on array<int>").toPandas()  # at most 2 * most rows of KEPT numbers
     x = np.zeros((len(rows), len(buckets)), dtype=np.float32)
     for i, on in enumerate(rows["on"]):
         x[i, on] = ratio[on]
