@@ -23,6 +23,10 @@ def match_score(name: Column, other: Column, address: Column, other_address: Col
     """struct(total, name_score, addr_score, strong)."""
     name_score = F.greatest(dice(bigrams(name), bigrams(other)), jaccard(tokens(name), tokens(other)))
     addr = F.when(F.coalesce(address, F.lit("")) != "", jaccard(tokens(address), tokens(other_address))).otherwise(F.lit(0.0))
+    return _scored(name_score, addr, metres)
+
+
+def _scored(name_score: Column, addr: Column, metres: Column) -> Column:
     total = name_score * 0.62 + F.coalesce(distance_band(metres), F.lit(0.0)) * 0.28 + addr * 0.10
     strong = ((name_score >= 0.88) & (metres <= 500)) | ((name_score >= 0.78) & (metres <= 180)) | ((total >= 0.84) & (metres <= 250))
     return F.struct(total.alias("total"), name_score.alias("name_score"), addr.alias("addr_score"), F.coalesce(strong, F.lit(False)).alias("strong"))
@@ -48,10 +52,12 @@ def best_matches(places: DataFrame, candidates: DataFrame, km: float = 0.7) -> D
     first = offered.groupBy("kind").agg(F.min("c").alias("first"))
     second = offered.join(first, "kind").filter(F.col("c") > F.col("first")).groupBy("kind").agg(F.min("c").alias("second"))
     kinds = materialised(first.join(second, "kind", "left").select("kind", F.array_compact(F.array("first", "second")).alias("members")))
-    left = asked.select("asked").distinct().select("asked", F.col("asked.lat").alias("lat"), F.col("asked.lon").alias("lon"))
-    right = kinds.select("kind", "members", F.col("kind.lat").alias("city_lat"), F.col("kind.lon").alias("city_lon"))
+    # the sets that a score compares are made once a kind and not once a pair
+    sets = lambda k, x: [bigrams(F.col(f"{k}.name")).alias(f"{x}b"), tokens(F.col(f"{k}.name")).alias(f"{x}t"), tokens(F.col(f"{k}.address")).alias(f"{x}a")]
+    left = materialised(asked.select("asked").distinct().select("asked", F.col("asked.lat").alias("lat"), F.col("asked.lon").alias("lon"), *sets("asked", "l")))
+    right = materialised(kinds.select("kind", "members", F.col("kind.lat").alias("city_lat"), F.col("kind.lon").alias("city_lon"), *sets("kind", "r")))
     near = locate.radius_join(left, right, km)
-    near = near.withColumn("m", match_score(F.col("asked.name"), F.col("kind.name"), F.col("asked.address"), F.col("kind.address"), F.col("km") * 1000))
+    near = materialised(near.select("asked", "members", _scored(F.greatest(dice(F.col("lb"), F.col("rb")), jaccard(F.col("lt"), F.col("rt"))), jaccard(F.col("la"), F.col("ra")), F.col("km") * 1000).alias("m")))
     place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("m.total"), F.col("members")[0]))
     few = near.withColumn("place", place).filter("place <= 2").select("asked", "m", F.explode("members").alias("c"))
     met = asked.join(few, "asked").filter(F.col("c.id") != F.col("id"))
