@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import vocab as v
 from .scoring import tag
-from .text import any_of
+from .text import any_of, bound
 
 
 # The reasons below are fixed values: results show them.
@@ -22,6 +22,10 @@ def list_decision(text: Column, types: Column, status: Column, mode: str = "coff
 
     Modes: all, coffeeOnly, coffeeAndBakery.  The rules are tried in order.
     """
+    return bound(text, lambda t: _list_decision(t, types, status, mode, excluded, allowed))
+
+
+def _list_decision(text: Column, types: Column, status: Column, mode: str, excluded, allowed) -> Column:
     whole = F.concat_ws(" ", text, F.lower(status))
     coffee, bakery = any_of(text, v.COFFEE_WORDS), any_of(text, v.BAKERY_WORDS)
     leading = any_of(F.lower(F.array_join(types, " ")), v.LEADING_TYPES) | any_of(text, v.LEADING_WORDS)

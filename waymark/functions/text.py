@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value bound to a variable: its expression is evaluated once, and not wherever ``f`` reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are made once a row.
+
+    A filter on a column is else pushed below it and takes its expression along, with those that this reads in
+    turn; nothing is pushed below rows that are generated.
+    """
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], F.inline(F.array(F.struct(*[e.alias(c) for c, e in columns.items()]))))
+
+
 def any_of(text: Column, words: Sequence[str]) -> Column:
     """Whether a text contains one of the words, as raw substrings ("bar" is in "barn"); null: no.
 
@@ -102,11 +116,15 @@ def parse_strict_id(value: Column, city: Column | None = None) -> Column:
     """
     number = r"(-?\d+(?:\.\d+)?|na)"
     key = id_part(city, "city") if city is not None else F.regexp_extract(value, r"^seeded-([^-]+)-", 1)
-    rest = F.substring(value, F.length(key) + 9, F.length(value))  # after seeded-<city>-
     pattern = rf"^(.*[^-])-{number}-{number}$"
-    part = lambda i: F.regexp_extract(rest, pattern, i)
-    read = F.struct(key.alias("city_key"), part(1).alias("name_key"), part(2).try_cast("double").alias("lat"), part(3).try_cast("double").alias("lon"))
-    return F.when((key != "") & value.startswith(F.concat(F.lit("seeded-"), key, F.lit("-"))) & rest.rlike(pattern), read)
+
+    def read(id_: Column) -> Column:
+        rest = F.substring(id_["value"], F.length(id_["key"]) + 9, F.length(id_["value"]))  # after seeded-<city>-
+        part = lambda i: F.regexp_extract(rest, pattern, i)
+        parts = F.struct(id_["key"].alias("city_key"), part(1).alias("name_key"), part(2).try_cast("double").alias("lat"), part(3).try_cast("double").alias("lon"))
+        return F.when((id_["key"] != "") & id_["value"].startswith(F.concat(F.lit("seeded-"), id_["key"], F.lit("-"))) & rest.rlike(pattern), parts)
+
+    return bound(F.struct(value.alias("value"), key.alias("key")), read)
 
 
 def stable_hash(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chain_key
+from ..functions.text import bound, chain_key, once
 
 #: Order in which facets are shown.
 SOURCE_ORDER = ["google", "seeded", "manual", "osm"]
@@ -115,5 +115,5 @@ def missing_address(address: Column) -> Column:
 
 def excluded_rows(places: DataFrame, decision: Column, score: Column, least: float, limit: int = 40) -> DataFrame:
     """Rows that the rules or the least score turn away, with the reason, the first ``limit`` by ord."""
-    reason = F.when(~decision["included"], decision["reason"]).when(score < least, F.lit("score below minimum"))
-    return places.withColumn("reason", reason).filter("reason is not null").orderBy("ord").limit(limit)
+    reason = bound(decision, lambda d: F.when(~d["included"], d["reason"]).when(score < least, F.lit("score below minimum")))
+    return once(places, reason=reason).filter("reason is not null").orderBy("ord").limit(limit)
