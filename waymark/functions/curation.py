@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import vocab as v
 from .scoring import set_tags, tag
-from .text import any_of, joined
+from .text import any_of, bound, joined
 
 
 def normal_words(words: Column) -> Column:
@@ -78,7 +78,10 @@ def score_badge(score: Column) -> Column:
 
 def discovery_score(tags: Column) -> Column:
     """struct(score, total) of a map element's tags; candidates have a score of at least 18."""
-    text = joined(*[tag(tags, k) for k in ("name", "brand", "operator", "description", "cuisine")])
+    return bound(tags, lambda t: bound(joined(*[tag(t, k) for k in ("name", "brand", "operator", "description", "cuisine")]), lambda said: _discovery_score(t, said)))
+
+
+def _discovery_score(tags: Column, text: Column) -> Column:
     real = lambda keys: F.size(F.filter(set_tags(tags, keys), lambda k: ~F.lower(F.try_element_at(tags, k)).isin("no", "false", "0")))
     hits = lambda words: F.size(F.element_at(F.transform(F.array(text), lambda t: F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w))), 1))
     yes = lambda c, p: F.when(c, p).otherwise(0)
@@ -87,8 +90,7 @@ def discovery_score(tags: Column) -> Column:
         + F.least(F.lit(20), 4 * hits(v.DISCOVERY_TEXT)) + F.least(F.lit(12), 3 * hits(v.DISCOVERY_NAME)) + yes(F.lower(tag(tags, "cuisine")).rlike("coffee_shop|specialty_coffee"), 8) + yes(F.lower(tag(tags, "roasting")) == "yes", 8)
         - yes(any_of(text, v.DISCOVERY_NEGATIVE), 25)
     )
-    score = F.greatest(F.lit(0), score)
-    return F.struct(score.alias("score"), F.least(F.lit(100), v.DISCOVERY_FROM + score).alias("total"))
+    return bound(F.greatest(F.lit(0), score), lambda s: F.struct(s.alias("score"), F.least(F.lit(100), v.DISCOVERY_FROM + s).alias("total")))
 
 
 def import_passes(name: Column, address: Column, search: Column, tags: Column, score: Column, mode: str = "coffeeOnly", excluded=v.IMPORT_EXCLUDED, allowed=v.ALLOWED_WORDS) -> Column:

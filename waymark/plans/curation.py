@@ -137,7 +137,7 @@ s AS (SELECT id, greatest(0, CASE WHEN {_count(v.CORE_TAGS)} > 0 THEN 25 ELSE 0
 SELECT id, score::INT AS score, least(100, 60 + score)::INT AS total FROM s WHERE score >= 18""")
 def discovery_score(spark, sf):
     p = _places(spark, sf).withColumn("t", F.map_concat("tags", F.create_map(F.lit("name"), F.col("name"))))
-    return p.withColumn("d", curation.discovery_score(F.col("t"))).filter(F.col("d.score") >= v.DISCOVERY_LEAST).select("id", F.col("d.score").cast("int").alias("score"), F.col("d.total").cast("int").alias("total"))
+    return text.once(p.select("id", "t"), d=curation.discovery_score(F.col("t"))).filter(F.col("d.score") >= v.DISCOVERY_LEAST).select("id", F.col("d.score").cast("int").alias("score"), F.col("d.total").cast("int").alias("total"))
 
 
 _GATE = f"""g1 AS (SELECT *, lower(concat_ws(' ', nullif(name, ''), nullif(address, ''))) AS t2, {_TEXT} AS se, list_has_any(tg, {_LIST(v.LEADING_TAGS)}) AS strong FROM tagged),
