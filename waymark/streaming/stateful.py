@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.decisions import is_open
+from ..functions.text import once
+from ..operators.graph import materialised
 
 MINUTE, WEEK = 60_000_000, 7 * 24 * 60  # in microseconds; in minutes
 #: The first day of the epoch, a Thursday, counted from Sunday.
@@ -189,7 +191,10 @@ def status_changes(places: DataFrame, begin: Column, end: Column, id_: str = "id
     """Batch form of ``status_stream``: when each place opens and closes from ``begin`` up to ``end`` (id, at, open)."""
     first = F.floor((F.unix_micros(begin) / MINUTE + EPOCH_DAY * 1440) / WEEK) * WEEK - EPOCH_DAY * 1440  # Sunday before, in minutes
     weeks = F.sequence(first, F.floor(F.unix_micros(end) / MINUTE), F.lit(WEEK).cast("long"))
-    each = places.select(F.col(id_), F.explode(flips(F.col(hours))).alias("f")).select(id_, "f.open", F.col("f.minute").alias("minute"), F.explode(weeks).alias("week"))
+    # texts of hours are few and their weeks long to make: once a text; the table is written, so that it is broadcast only if it is small
+    texts = materialised(once(places.select(F.col(hours).alias("_hours")).distinct(), _flips=flips(F.col("_hours"))).filter(F.size("_flips") > 0))
+    known = places.select(F.col(id_), F.col(hours).alias("_asked")).join(texts, F.col("_asked") == F.col("_hours"))
+    each = known.select(F.col(id_), F.explode("_flips").alias("f")).select(id_, "f.open", F.col("f.minute").alias("minute"), F.explode(weeks).alias("week"))
     at = F.timestamp_micros((F.col("week") + F.col("minute")) * MINUTE)
     return each.select(id_, at.alias("at"), "open").filter((F.col("at") >= begin) & (F.col("at") < end))
 
