@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import vocab as v
 from .curation import first_image
-from .text import domain, squeeze
+from .text import bound, domain, squeeze
 
 
 def _full(x: Column) -> Column:
@@ -119,6 +119,10 @@ def import_story(tags: Column, sources_: Column, address: Column) -> Column:
 
     ``sources_``: array of struct with id, title, url and domain.
     """
+    return bound(F.struct(tags.alias("tags"), sources_.alias("sources")), lambda x: _import_story(x["tags"], x["sources"], address))
+
+
+def _import_story(tags: Column, sources_: Column, address: Column) -> Column:
     has = lambda *names: F.arrays_overlap(tags, F.array(*[F.lit(n) for n in names]))
     specialty, espresso, pour = has("specialty_coffee"), has("espresso_bar"), has(*POUR_TAGS)
     cues = F.array_compact(F.array(F.when(pour, F.lit("pour-over")), F.when(espresso, F.lit("espresso"))))
