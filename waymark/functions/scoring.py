@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as v
-from .text import any_of, js_round, weight
+from .text import any_of, bound, js_round, weight
 
 REASON = "struct<label:string,points:double>"
 
@@ -131,9 +131,9 @@ def quality(address: Column, source: Column, score: Column) -> Column:
 
 def tag_rules(text: Column, score: Column) -> Column:
     """Tags of a place by words in its text and by its score, sorted."""
-    found = F.filter(F.array(*[F.when(any_of(text, words), F.lit(name)) for name, words in v.TAG_RULES]), lambda x: x.isNotNull())
-    by_score = F.when((score >= 80) & ~F.array_contains(found, "specialty_coffee"), F.array(F.lit("specialty_coffee"))).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.concat(found, by_score))
+    found = bound(text, lambda t: F.filter(F.array(*[F.when(any_of(t, words), F.lit(name)) for name, words in v.TAG_RULES]), lambda x: x.isNotNull()))
+    by_score = lambda f: F.when((score >= 80) & ~F.array_contains(f, "specialty_coffee"), F.array(F.lit("specialty_coffee"))).otherwise(F.array().cast("array<string>"))
+    return bound(found, lambda f: F.array_sort(F.concat(f, by_score(f))))
 
 
 def tag_evidence(text: Column, score: Column) -> Column:
