@@ -55,3 +55,13 @@ def test_tags_of_an_importer_are_made_once(spark):
 def test_weeks_are_made_once_a_text_of_hours(spark):
     plan = _plan(catalog.QUERIES["opening_changes"](spark, SF))
     assert "regexp" not in plan and "_flips" in plan
+
+
+def test_kinds_are_compared_by_all_cores(spark, monkeypatch):
+    """The pairs of kinds were scored by one task, since the kinds were one small file."""
+    from waymark.operators import locate, matching
+
+    dealt, join = [], locate.radius_join
+    monkeypatch.setattr(matching.locate, "radius_join", lambda left, *a: dealt.append(left.rdd.getNumPartitions()) or join(left, *a))
+    catalog.QUERIES["photo_match_best"](spark, SF)
+    assert dealt and min(dealt) >= 24

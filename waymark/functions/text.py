@@ -199,12 +199,12 @@ def tokens(text: Column, stop: Sequence[str] = ()) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements of two sets (arrays without repeats); 0 if one is empty."""
     n = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), n / (F.size(a) + F.size(b) - n)).otherwise(F.lit(0.0))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), bound(n, lambda n: n / (F.size(a) + F.size(b) - n))).otherwise(F.lit(0.0))
 
 
 def bigrams(text: Column) -> Column:
-    s = F.regexp_replace(match_text(text), r"(?U)\s+", "")
-    return F.when(F.length(s) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2))))).when(s != "", F.array(s)).otherwise(F.array().cast("array<string>"))
+    pairs = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2))))
+    return bound(F.regexp_replace(match_text(text), r"(?U)\s+", ""), lambda s: F.when(F.length(s) >= 2, pairs(s)).when(s != "", F.array(s)).otherwise(F.array().cast("array<string>")))
 
 
 def dice(a: Column, b: Column) -> Column:
