@@ -65,3 +65,27 @@ def test_kinds_are_compared_by_all_cores(spark, monkeypatch):
     monkeypatch.setattr(matching.locate, "radius_join", lambda left, *a: dealt.append(left.rdd.getNumPartitions()) or join(left, *a))
     catalog.QUERIES["photo_match_best"](spark, SF)
     assert dealt and min(dealt) >= 24
+
+
+@pytest.mark.parametrize("chunk", [7, 1024])
+def test_pairs_of_one_point_are_compared_by_kinds(spark, monkeypatch, chunk):
+    """Each pair of places was compared and shuffled by itself; now the tables that meet have a row a chunk, and the pairs are those of all rows against all."""
+    from waymark.operators import dedupe
+    from waymark.functions.geo import haversine_km
+    from waymark.functions.text import place_text
+
+    names, addresses = ["Bean", "Bean Roastery", "Mill", "", None], ["1 A St", None, "2 B St"]
+    rows = [(f"p{i}", i // 2, "Rome" if i % 10 else None, 41.9 + (i % 3) * 0.0002, 12.5 + (i % 2) * 0.00005, names[i % 5], addresses[i % 4 % 3]) for i in range(200)]
+    p = spark.createDataFrame(rows, "id string, ord long, city string, lat double, lon double, name string, address string")
+    tables, write = [], dedupe.materialised
+    monkeypatch.setattr(dedupe, "materialised", lambda df: tables.append(write(df)) or tables[-1])
+    monkeypatch.setattr(dedupe, "CHUNK", chunk)
+    got = dedupe.duplicate_pairs(p, digits=6).collect()
+    cells = p.filter("city is not null").select(*[c.alias(n) for c, n in zip(dedupe.cell(F.col("lat"), F.col("lon"), dedupe.FARTHEST), "rc", strict=True)]).groupBy("r", "c").count().collect()
+    assert tables[0].count() == sum(-(-x["count"] // chunk) for x in cells) and tables[0].agg(F.sum(F.size("kinds"))).first()[0] < 180
+    base = p.select("id", "ord", "city", "lat", "lon", place_text(F.col("name")).alias("n"), place_text(F.col("address")).alias("a"))
+    x, y = (base.select(*[F.col(c).alias(s + c) for c in base.columns]) for s in "xy")
+    km = haversine_km(F.col("xlat"), F.col("xlon"), F.col("ylat"), F.col("ylon"))
+    all_ = x.join(y, (F.col("xcity") == F.col("ycity")) & (F.col("xord") < F.col("yord"))).withColumn("m", km * 1000).filter(F.col("m") <= dedupe.FARTHEST * 1000)
+    want = all_.filter(dedupe.alike(F.col("m"), F.col("xn"), F.col("yn"), F.col("xa"), F.col("ya"), dedupe.profile(F.col("xcity")))).select("xid", "yid", F.round("m", 6)).collect()
+    assert len(want) > 1000 and sorted(map(tuple, got)) == sorted(map(tuple, want))

@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
-from ..functions.geo import EARTH_KM, cell
-from ..functions.text import place_text
+from ..functions.geo import EARTH_KM, cell, haversine_km
+from ..functions.text import bound, place_text
 from .graph import groups, materialised
-from .locate import radius_join, reached
+from .locate import reached
 
 #: Records further apart than this, in km, are never duplicates.
 FARTHEST = 0.091
+#: Records of one cell that are handled as one.
+CHUNK = 1024
 
 
 def profile(city: Column) -> Column:
@@ -40,17 +42,42 @@ def alike(m: Column, na: Column, nb: Column, aa: Column, ab: Column, p: Column)
     )
 
 
-def duplicate_pairs(places: DataFrame, id_: str = "id", city: str = "city") -> DataFrame:
+def duplicate_pairs(places: DataFrame, id_: str = "id", city: str = "city", digits: int | None = None) -> DataFrame:
     """Pairs (a, b, metres) of likely duplicates of one city, the one with the lower ord first.
 
-    Candidates come from the distance grid, so only near records meet.
+    ``digits``: the metres are rounded to so many, once for all members of two kinds.
+    Records of a grid cell are dealt to chunks, and in a chunk to kinds: those that read alike at one point.
+    Chunks of near cells meet once, their kinds are compared once, and the members of kinds that are alike are
+    written out.  The pairs themselves are neither compared nor shuffled, and a task holds two chunks.
     """
+    row, col = cell(F.col("lat"), F.col("lon"), FARTHEST)
     base = places.select(F.col(id_).alias("id"), "ord", F.col(city).alias("city"), "lat", "lon", place_text(F.col("name")).alias("n"), place_text(F.col("address")).alias("a"))
-    left, right = (base.select(*[F.col(c).alias(f"{x}{c}") for c in base.columns]) for x in ("l", "r"))
-    near = radius_join(left, right, FARTHEST, ("llat", "llon"), ("rlat", "rlon"), (("lcity", "rcity"),)).filter(F.col("lord") < F.col("rord"))
-    near = near.withColumn("metres", F.col("km") * 1000)
-    ok = alike(F.col("metres"), F.col("ln"), F.col("rn"), F.col("la"), F.col("ra"), profile(F.col("lcity")))
-    return near.filter(ok).select(F.col("lid").alias("a"), F.col("rid").alias("b"), "metres")
+    base = base.dropna(subset=["ord", "city", "lat", "lon"]).withColumn("_row", row).withColumn("_col", col)
+    within = Window.partitionBy("city", "_row", "_col")
+    number = F.row_number().over(within.orderBy("lat", "lon", "n", "a", "ord"))
+    kinds = base.withColumn("_chunk", F.floor((number - 1) / CHUNK)).groupBy("city", "_row", "_col", "_chunk", "lat", "lon", "n", "a").agg(F.collect_list(F.struct("ord", "id")).alias("m"))
+    held = F.transform(F.collect_list(F.struct("lat", "lon", "n", "a", "m")), lambda x, i: F.struct(i.alias("k"), *[x[c].alias(c) for c in ("lat", "lon", "n", "a", "m")]))
+    chunks = materialised(kinds.groupBy("city", "_row", "_col", "_chunk").agg(held.alias("kinds")).withColumn("chunk", F.monotonically_increasing_id()))
+
+    at = chunks.select("city", F.col("_row").alias("_row0"), F.col("_col").alias("_col0"), F.explode("kinds").alias("x")).select("city", "_row0", "_col0", "x.lat", "x.lon").distinct()
+    steps = reached(at, FARTHEST).select("city", "_row0", "_col0", "_row", "_col").distinct()
+    names = chunks.select("city", "_row", "_col", "chunk")
+    met = steps.join(names.withColumnsRenamed({"_row": "_row0", "_col": "_col0", "chunk": "c"}), ["city", "_row0", "_col0"]).join(names.withColumnRenamed("chunk", "d"), ["city", "_row", "_col"])
+    met = met.select(F.least("c", "d").alias("left"), F.greatest("c", "d").alias("right")).distinct()
+
+    tasks = max(48, 6 * places.sparkSession.sparkContext.defaultParallelism)  # a few bytes become many rows, so their size is no measure
+    met = met.join(chunks.select(F.col("chunk").alias("left"), "city", F.col("kinds").alias("_l")), "left").repartition(tasks, "right").join(chunks.select(F.col("chunk").alias("right"), F.col("kinds").alias("_r")), "right")
+    fields = ("k", "lat", "lon", "n", "a", "m")
+    both = met.select(profile(F.col("city")).alias("p"), (F.col("left") == F.col("right")).alias("same"), "_r", F.inline("_l").alias(*[f"l{c}" for c in fields]))
+    both = both.select("p", "same", *[f"l{c}" for c in fields], F.inline("_r").alias(*[f"r{c}" for c in fields])).filter("not same or lk <= rk")
+    # bound, not chained: a row of two chunks would else become all its pairs in one step, and these would wait in memory
+    metres = lambda km: F.when((km <= FARTHEST) & alike(km * 1000, F.col("ln"), F.col("rn"), F.col("la"), F.col("ra"), F.col("p")), km * 1000)
+    both = both.withColumn("metres", bound(haversine_km(F.col("llat"), F.col("llon"), F.col("rlat"), F.col("rlon")), metres)).filter("metres is not null")
+    rounded = F.col("metres") if digits is None else F.round("metres", digits)
+    out = both.select(rounded.alias("metres"), (F.col("same") & (F.col("lk") == F.col("rk"))).alias("self"), "rm", F.inline("lm").alias("lord", "lid"))
+    out = out.select("metres", "self", "lord", "lid", F.inline("rm").alias("rord", "rid")).filter("lord < rord or (not self and lord > rord)")
+    first = F.col("lord") < F.col("rord")
+    return out.select(F.when(first, F.col("lid")).otherwise(F.col("rid")).alias("a"), F.when(first, F.col("rid")).otherwise(F.col("lid")).alias("b"), "metres")
 
 
 def greedy(places: DataFrame, pairs: DataFrame, quality: str = "quality", id_: str = "id") -> DataFrame:

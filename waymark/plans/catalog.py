@@ -312,7 +312,7 @@ pairs AS (SELECT a, b, metres FROM s WHERE (aa <> '' AND aa = ab AND metres <= 9
 
 @query(f"WITH {_PLACE}, {_PAIRS} SELECT a, b, round(metres, 6) AS metres FROM pairs")
 def geo_dedupe_pairs(spark, sf):
-    return dedupe.duplicate_pairs(_places(spark, sf)).withColumn("metres", F.round("metres", 6))
+    return dedupe.duplicate_pairs(_places(spark, sf), digits=6)
 
 
 @query()
