@@ -89,3 +89,11 @@ def test_pairs_of_one_point_are_compared_by_kinds(spark, monkeypatch, chunk):
     all_ = x.join(y, (F.col("xcity") == F.col("ycity")) & (F.col("xord") < F.col("yord"))).withColumn("m", km * 1000).filter(F.col("m") <= dedupe.FARTHEST * 1000)
     want = all_.filter(dedupe.alike(F.col("m"), F.col("xn"), F.col("yn"), F.col("xa"), F.col("ya"), dedupe.profile(F.col("xcity")))).select("xid", "yid", F.round("m", 6)).collect()
     assert len(want) > 1000 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_a_filter_on_the_nearest_city_measures_no_distance_again(spark):
+    from waymark.operators import locate
+
+    p, cities = adapters.places(spark, SF), adapters.cities(spark, SF)
+    plan = _plan(locate.nearest(p, cities, F.col("lat"), F.col("lon")).filter("nearest_city is not null and nearest_city = city"))
+    assert all("ATAN2" not in f.upper() for f in _filters(plan))

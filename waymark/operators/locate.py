@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell, column_width, haversine_km
-from ..functions.text import ascii_word
+from ..functions.text import ascii_word, once
 from .graph import materialised
 
 #: Up to so many cities go to each occupied cell as one array; more are found through the grid.
@@ -60,7 +60,7 @@ def nearest(df: DataFrame, cities: DataFrame, lat: Column, lon: Column, name: st
     cells = cells.withColumn("_far", far).withColumn("_most", F.array_min("_far") + 2 * CELL_REACH)
     near = materialised(cells.select("_r", "_c", F.filter("_cities", lambda c, i: F.get("_far", i) <= F.col("_most")).alias("_near")))
     best = F.array_min(F.transform("_near", lambda c: F.struct(haversine_km(lat, lon, c["la"], c["lo"]).alias("d"), c["o"].alias("o"), c["n"].alias("n"))))
-    out = df.join(near, (row == F.col("_r")) & (col == F.col("_c")), "left").withColumn("_best", best)
+    out = once(df.join(near, (row == F.col("_r")) & (col == F.col("_c")), "left"), _best=best)  # a filter on the city would measure all distances again
     return out.withColumn("nearest_city", F.col("_best.n")).withColumn("nearest_km", F.col("_best.d")).drop("_best", "_r", "_c", "_near")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import curation, decisions, geo, scoring
+from ..functions.text import once
 from ..operators import audit, combine, dedupe, locate, state
 from ..operators.graph import materialised
 from . import adapters, rank
@@ -45,23 +46,23 @@ def scored(listed: DataFrame, seeded: DataFrame, cities: DataFrame, ratings: Dat
     """
     none = F.lit(None).cast("boolean")
     both = listed.withColumn("part", F.lit("listed")).withColumn("is_specialty", none).unionByName(seeded.withColumn("part", F.lit("seeded")), allowMissingColumns=True)
-    df = rank.scored(rank.overlay_fields(both, overrides), view.weights)
-    floor = curation.seeded_floor(F.col("score"), F.col("place_type"), F.col("reasons"), F.col("is_specialty"))
-    df = df.withColumn("_f", floor).withColumns({c: F.col(f"_f.{c}") for c in ("score", "place_type", "reasons")}).drop("_f")
-    df = df.withColumn("score", state.override_score(F.col("patch"), F.col("score"))).drop("patch", "deleted")
-    df = locate.nearest(df, cities, F.col("lat"), F.col("lon"))
+    df = locate.nearest(rank.overlay_fields(both, overrides), cities, F.col("lat"), F.col("lon"))
     offshore = F.when(F.col("city") == "Tel Aviv", geo.offshore(F.col("lat"), F.col("lon"))).otherwise(F.lit(False))
     scope = locate.in_scope(F.lit(None).cast("string"), F.col("nearest_city"), F.col("city"), F.array().cast("array<string>"))
-    df = materialised(df.filter(scope & ~F.coalesce(offshore, F.lit(False))))
+    df = rank.scored(df.filter(scope & ~F.coalesce(offshore, F.lit(False))), view.weights)  # after the nearest city, which reads its rows twice
+    floor = curation.seeded_floor(F.col("score"), F.col("place_type"), F.col("reasons"), F.col("is_specialty"))
+    df = once(df, _f=floor).withColumns({c: F.col(f"_f.{c}") for c in ("score", "place_type", "reasons")}).drop("_f")
+    df = materialised(df.withColumn("score", state.override_score(F.col("patch"), F.col("score"))).drop("patch", "deleted"))
     df = state.rating_cascade(df, ratings)
     boost = scoring.boosted(F.col("score"), F.col("place_type"), F.col("rating"), F.col("tags"))
-    df = df.withColumn("_b", boost).withColumns({"score": F.col("_b.score"), "place_type": F.col("_b.place_type")}).drop("_b")
     decision = decisions.list_decision(rank.text_of(df), F.array().cast("array<string>"), F.lit(None).cast("string"), view.mode)
-    km, reach = geo.haversine_km(F.col("city_lat"), F.col("city_lon"), F.col("lat"), F.col("lon")), curation.radius_km(F.col("city"))
+    km = geo.haversine_km(F.col("city_lat"), F.col("city_lon"), F.col("lat"), F.col("lon"))
+    df = once(df, _b=boost, _d=decision, _km=km).withColumns({"score": F.col("_b.score"), "place_type": F.col("_b.place_type")})
+    decision, km, reach = F.col("_d"), F.col("_km"), curation.radius_km(F.col("city"))
     is_listed = F.col("part") == "listed"
     enough = (F.col("score") >= view.least) | (F.col("rating") > 0)  # the first pass spares rated places
     shown = [F.when(~is_listed, "seeded"), F.when(is_listed & decision["included"] & (km <= reach) & enough, "listed"), F.when(is_listed & (km <= reach * WIDER), "wide")]
-    df = df.withColumn("shown", F.array_compact(F.array(*shown))).withColumn("decision", decision["reason"])
+    df = once(df, shown=F.array_compact(F.array(*shown))).withColumn("decision", decision["reason"]).drop("_b", "_d", "_km")
     return df.withColumn("quality", scoring.quality(F.col("address"), F.col("source"), F.col("score")).cast("double"))
 
 
