@@ -140,6 +140,51 @@ def test_pairs_of_one_point_are_compared_by_kinds(spark, monkeypatch, chunk):
     assert len(want) > 1000 and sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+@pytest.mark.parametrize(("chunk", "run"), [(7, 3), (1024, 256)])
+def test_pairs_go_by_names_and_read_addresses_as_they_are_written(spark, monkeypatch, chunk, run):
+    """Records of one name and point that differ by address were compared one by one; now they are one kind, and the pairs are those of a plain loop."""
+    import math
+    import random
+
+    from waymark.functions import vocab as v
+    from waymark.operators import dedupe
+
+    r = random.Random(5)
+    cities = ["Rome", None, next(iter(v.DEDUPE_BY_CITY))]
+    step = 1 / 111_195  # a metre
+    rows = [(f"p{i}", i // 3, cities[i % 8 // 3], 41.9 + r.choice([0, 10, 17, 30, 50, 60, 80, 95]) * step, r.choice([12.5, 12.50001]), r.choice(["bean", "bean mill", "cafe", "mill", "ab", ""]), r.choice(["1 a", "2 b", ""])) for i in range(240)]
+    rows += [("nan", 1, "Rome", float("nan"), 12.5, "bean", ""), ("none", 1, "Rome", None, 12.5, "bean", "")]
+    tables, write = [], dedupe.materialised
+    monkeypatch.setattr(dedupe, "materialised", lambda df: tables.append(write(df)) or tables[-1])
+    monkeypatch.setattr(dedupe, "CHUNK", chunk)
+    monkeypatch.setattr(dedupe, "RUN", run)
+    p = spark.createDataFrame(rows, "id string, ord long, city string, lat double, lon double, name string, address string")
+    got = sorted((x.a, x.b, x.metres) for x in dedupe.duplicate_pairs(p, digits=3).collect())
+
+    def metres(a, b):
+        la, lb = math.radians(a[3]), math.radians(b[3])
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(b[4] - a[4]) / 2) ** 2
+        return 2000 * 6371 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    def like(a, b, m):
+        close, name, address = v.DEDUPE_BY_CITY.get(a[2], v.DEDUPE_DEFAULT)
+        short, long_ = sorted((a[5], b[5]), key=len)
+        same = a[5] == b[5] != ""
+        if a[6] == b[6] != "" and m <= address or same and m <= name or m <= close and (same or "" in (a[6], b[6])):
+            return True
+        return len(short) >= 3 and short not in v.GENERIC_TOKENS and short in long_ and m <= max(name, 55)
+
+    whole = [x for x in rows[:240] if x[2]]
+    near = [(a, b, metres(a, b)) for a in whole for b in whole if a[1] < b[1] and a[2] == b[2]]
+    want = sorted((a[0], b[0], round(m, 3)) for a, b, m in near if m <= 1000 * dedupe.FARTHEST and like(a, b, m))
+    assert len(want) > 1000 and [x[:2] for x in got] == [x[:2] for x in want] and max(abs(x[2] - y[2]) for x, y in zip(got, want, strict=True)) < 0.002
+
+    p = spark.range(600).select(F.col("id").cast("string"), F.col("id").alias("ord"), F.lit("Rome").alias("city"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), F.lit("bean").alias("name"), F.col("id").cast("string").alias("address"))
+    tables.clear()
+    assert dedupe.duplicate_pairs(p).count() == 600 * 599 / 2
+    assert tables[0].agg(F.sum(F.size("kinds"))).first()[0] <= 600 // run + 600 // chunk + 2  # 600 before
+
+
 def test_a_filter_on_the_nearest_city_measures_no_distance_again(spark):
     from waymark.operators import locate
 

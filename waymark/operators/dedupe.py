@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as v
 from ..functions.geo import EARTH_KM, cell, haversine_km
-from ..functions.text import bound, place_text
+from ..functions.text import bound, once, place_text
 from .graph import groups, materialised
 from .locate import reached
 
 #: Records further apart than this, in km, are never duplicates.
 FARTHEST = 0.091
-#: Records of one cell that are handled as one.
-CHUNK = 1024
+#: Records of one cell that are handled as one, and of those of one point and name.
+CHUNK, RUN = 1024, 256
 
 
 def profile(city: Column) -> Column:
@@ -31,32 +31,37 @@ def profile(city: Column) -> Column:
     return out
 
 
-def alike(m: Column, na: Column, nb: Column, aa: Column, ab: Column, p: Column) -> Column:
-    """Whether two records ``m`` metres apart are likely one, by normalised names and addresses."""
+def named_alike(m: Column, na: Column, nb: Column, p: Column) -> Column:
+    """Whether two records ``m`` metres apart are likely one by their normalised names alone."""
     short, long_ = F.when(F.length(na) <= F.length(nb), na).otherwise(nb), F.when(F.length(na) <= F.length(nb), nb).otherwise(na)
     variant = (F.length(short) >= 3) & ~short.isin(v.GENERIC_TOKENS) & F.contains(long_, short)
-    same_name = (na != "") & (na == nb)
-    return (
-        ((aa != "") & (aa == ab) & (m <= p["address"])) | (same_name & (m <= p["name"])) | (variant & (m <= F.greatest(p["name"], F.lit(55.0))))
-        | ((m <= p["close"]) & (same_name | (aa == "") | (ab == "")))
-    )
+    return ((na != "") & (na == nb) & (m <= F.greatest(p["name"], p["close"]))) | (variant & (m <= F.greatest(p["name"], F.lit(55.0))))
+
+
+def alike(m: Column, na: Column, nb: Column, aa: Column, ab: Column, p: Column) -> Column:
+    """Whether two records ``m`` metres apart are likely one, by normalised names and addresses."""
+    return ((aa != "") & (aa == ab) & (m <= p["address"])) | named_alike(m, na, nb, p) | ((m <= p["close"]) & ((aa == "") | (ab == "")))
 
 
 def duplicate_pairs(places: DataFrame, id_: str = "id", city: str = "city", digits: int | None = None) -> DataFrame:
     """Pairs (a, b, metres) of likely duplicates of one city, the one with the lower ord first.
 
     ``digits``: the metres are rounded to so many, once for all members of two kinds.
-    Records of a grid cell are dealt to chunks, and in a chunk to kinds: those that read alike at one point.
-    Chunks of near cells meet once, their kinds are compared once, and the members of kinds that are alike are
-    written out.  The pairs themselves are neither compared nor shuffled, and a task holds two chunks.
+    Records of a grid cell are dealt to chunks, and in a chunk to kinds: those of one name at one point.
+    Chunks of near cells meet once, and distances and names are compared once for two kinds.  What these leave open
+    goes by the addresses of the members, which are read as the pairs are written out.  The pairs themselves
+    are not shuffled, and a task holds two chunks.
     """
     row, col = cell(F.col("lat"), F.col("lon"), FARTHEST)
     base = places.select(F.col(id_).alias("id"), "ord", F.col(city).alias("city"), "lat", "lon", place_text(F.col("name")).alias("n"), place_text(F.col("address")).alias("a"))
     base = base.dropna(subset=["ord", "city", "lat", "lon"]).withColumn("_row", row).withColumn("_col", col)
     within = Window.partitionBy("city", "_row", "_col")
     number = F.row_number().over(within.orderBy("lat", "lon", "n", "a", "ord"))
-    kinds = base.withColumn("_chunk", F.floor((number - 1) / CHUNK)).groupBy("city", "_row", "_col", "_chunk", "lat", "lon", "n", "a").agg(F.collect_list(F.struct("ord", "id")).alias("m"))
-    held = F.transform(F.collect_list(F.struct("lat", "lon", "n", "a", "m")), lambda x, i: F.struct(i.alias("k"), *[x[c].alias(c) for c in ("lat", "lon", "n", "a", "m")]))
+    numbered = base.withColumn("_n", number - 1).withColumn("_chunk", F.floor(F.col("_n") / CHUNK)).withColumn("_run", F.floor(F.col("_n") / RUN))
+    members = F.sort_array(F.collect_list(F.struct("a", "ord", "id")))
+    kinds = numbered.groupBy("city", "_row", "_col", "_chunk", "lat", "lon", "n", "_run").agg(F.array_remove(F.collect_set("a"), "").alias("as"), F.bool_or(F.col("a") == "").alias("bare"), members.alias("m"))
+    fields = ("lat", "lon", "n", "as", "bare", "m")
+    held = F.transform(F.collect_list(F.struct(*fields)), lambda x, i: F.struct(i.alias("k"), *[x[c].alias(c) for c in fields]))
     chunks = materialised(kinds.groupBy("city", "_row", "_col", "_chunk").agg(held.alias("kinds")).withColumn("chunk", F.monotonically_increasing_id()))
 
     at = chunks.select("city", F.col("_row").alias("_row0"), F.col("_col").alias("_col0"), F.explode("kinds").alias("x")).select("city", "_row0", "_col0", "x.lat", "x.lon").distinct()
@@ -67,15 +72,18 @@ def duplicate_pairs(places: DataFrame, id_: str = "id", city: str = "city", digi
 
     tasks = max(48, 6 * places.sparkSession.sparkContext.defaultParallelism)  # a few bytes become many rows, so their size is no measure
     met = met.join(chunks.select(F.col("chunk").alias("left"), "city", F.col("kinds").alias("_l")), "left").repartition(tasks, "right").join(chunks.select(F.col("chunk").alias("right"), F.col("kinds").alias("_r")), "right")
-    fields = ("k", "lat", "lon", "n", "a", "m")
+    fields = ("k", *fields)
     both = met.select(profile(F.col("city")).alias("p"), (F.col("left") == F.col("right")).alias("same"), "_r", F.inline("_l").alias(*[f"l{c}" for c in fields]))
     both = both.select("p", "same", *[f"l{c}" for c in fields], F.inline("_r").alias(*[f"r{c}" for c in fields])).filter("not same or lk <= rk")
+    both = once(both, km=haversine_km(F.col("llat"), F.col("llon"), F.col("rlat"), F.col("rlon"))).filter(F.col("km") <= FARTHEST).withColumn("m", F.col("km") * 1000)
+    rule = {"named": named_alike(F.col("m"), F.col("ln"), F.col("rn"), F.col("p")), "close": F.col("m") <= F.col("p.close"), "reach": F.col("m") <= F.col("p.address")}
+    both = once(both, **rule)
+    some = F.col("named") | (F.col("close") & (F.col("lbare") | F.col("rbare"))) | (F.col("reach") & F.arrays_overlap("las", "ras"))
     # bound, not chained: a row of two chunks would else become all its pairs in one step, and these would wait in memory
-    metres = lambda km: F.when((km <= FARTHEST) & alike(km * 1000, F.col("ln"), F.col("rn"), F.col("la"), F.col("ra"), F.col("p")), km * 1000)
-    both = both.withColumn("metres", bound(haversine_km(F.col("llat"), F.col("llon"), F.col("rlat"), F.col("rlon")), metres)).filter("metres is not null")
-    rounded = F.col("metres") if digits is None else F.round("metres", digits)
-    out = both.select(rounded.alias("metres"), (F.col("same") & (F.col("lk") == F.col("rk"))).alias("self"), "rm", F.inline("lm").alias("lord", "lid"))
-    out = out.select("metres", "self", "lord", "lid", F.inline("rm").alias("rord", "rid")).filter("lord < rord or (not self and lord > rord)")
+    metres = bound(F.col("m"), lambda m: m if digits is None else F.round(m, digits))
+    out = both.filter(some).select(metres.alias("metres"), (F.col("same") & (F.col("lk") == F.col("rk"))).alias("self"), *rule, "rm", F.inline("lm").alias("la", "lord", "lid"))
+    out = out.select("metres", "self", *rule, "la", "lord", "lid", F.inline("rm").alias("ra", "rord", "rid")).filter("lord < rord or (not self and lord > rord)")
+    out = out.filter("named or (close and (la = '' or ra = '')) or (reach and la != '' and la = ra)")
     first = F.col("lord") < F.col("rord")
     return out.select(F.when(first, F.col("lid")).otherwise(F.col("rid")).alias("a"), F.when(first, F.col("rid")).otherwise(F.col("lid")).alias("b"), "metres")
 
